@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import linededup, sharding, sql
+from matchloom.llm import linededup, quality, sharding, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_ring_shards": op6_ring_shards}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and verdict of every document."""
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rules_failed").cast("int").alias("rules_failed"))
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_ring_shards": op6_ring_shards, "op8_quality_rules": op8_quality_rules}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

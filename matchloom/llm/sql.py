@@ -32,3 +32,54 @@ kept AS (
 SELECT page_id, host, n_lines, n_dropped, length(text)::BIGINT AS kept_chars, md5(text) AS kept_md5 FROM kept
 """
 )
+
+#: Grids of quality.GRIDS; 53 cutoffs; risk 0.02 over 4 rules; error 0.05.
+GRID_ROWS = """VALUES ('s_symbols', [0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000]),
+  ('s_dup_lines', [0, 50, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900]),
+  ('s_repeats', [0, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 450]),
+  ('s_word_len', [4500, 5000, 5500, 6000, 6500, 7000, 7500, 8000, 9000, 10000, 12000, 15000, 20000])"""
+
+ORACLES["op8_quality_rules"] = (
+    r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+    [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM documents),
+windows AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+s AS (
+  SELECT d.doc_id, d.lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id),
+scored AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS s_symbols,
+    CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS s_dup_lines,
+    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS s_repeats,
+    CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS s_word_len
+  FROM s),
+good AS (SELECT * FROM scored WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+grid AS (SELECT rule, unnest(cutoffs) AS cutoff FROM ("""
+    + GRID_ROWS
+    + r""") g(rule, cutoffs)),
+counts AS (
+  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE CASE rule WHEN 's_symbols' THEN s_symbols WHEN 's_dup_lines' THEN s_dup_lines WHEN 's_repeats' THEN s_repeats ELSE s_word_len END > cutoff) AS k
+  FROM good, grid GROUP BY lang, rule, cutoff),
+tests AS (
+  SELECT lang, rule, cutoff, CASE WHEN k > n * 0.005 THEN 1 ELSE
+    (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995))) FROM (SELECT unnest(range(0, k + 1)) AS i)) END AS p,
+    53 * (SELECT count(DISTINCT coalesce(lang, '?')) FROM good) AS m
+  FROM counts),
+limits AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tests WHERE p <= 0.05 / m GROUP BY lang, rule),
+wide AS (
+  SELECT lang, min(cutoff) FILTER (WHERE rule = 's_symbols') AS c1, min(cutoff) FILTER (WHERE rule = 's_dup_lines') AS c2,
+    min(cutoff) FILTER (WHERE rule = 's_repeats') AS c3, min(cutoff) FILTER (WHERE rule = 's_word_len') AS c4 FROM limits GROUP BY lang),
+judged AS (
+  SELECT s.*, (coalesce(s_symbols > c1, false)::INT + coalesce(s_dup_lines > c2, false)::INT + coalesce(s_repeats > c3, false)::INT + coalesce(s_word_len > c4, false)::INT) AS rules_failed
+  FROM scored s LEFT JOIN wide w ON s.lang IS NOT DISTINCT FROM w.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules_failed = 0 AS kept, rules_failed FROM judged
+"""
+)
