@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import linededup, quality, sharding, sql
+from matchloom.llm import langid, linededup, quality, sharding, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +30,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rules_failed").cast("int").alias("rules_failed"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_ring_shards": op6_ring_shards, "op8_quality_rules": op8_quality_rules}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_language_id": op5_language_id, "op6_ring_shards": op6_ring_shards, "op8_quality_rules": op8_quality_rules}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
