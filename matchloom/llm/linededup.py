@@ -4,10 +4,11 @@ Documents are grouped by host. A line counts once per page; its frequency is the
 divided by the host's page total. Lines above `ratio` on at least `min_pages` pages are boilerplate and are dropped.
 A line is compared after trimming white space; lines without a word are never boilerplate.
 
-Distribution: a page's distinct lines become (host, line key) pairs with a count of one; partial aggregation shrinks
-hot lines before the shuffle, and only pairs seen on `min_pages` pages go on. Pages never travel by host. The drop list
-joins the pages' line keys (a hot key is split by the adaptive skew join), and only (page, dropped keys) travels back
-to the text. Line keys are the first 16 bytes of a line's SHA-256, so no text is shuffled for counting.
+Distribution: each page's distinct line keys are computed once and kept in the shared folder; they become (host, key)
+pairs whose partial aggregation shrinks hot lines before the shuffle, and only pairs seen on `min_pages` pages go on.
+Pages never travel by host. The drop list joins the pages' keys (a hot key is split by the adaptive skew join), and only
+(page, dropped keys) travels back to the text. A key is a 64-bit hash compared within one host only, and a page is found
+again by a 64-bit hash of host and text with the length, so no text is shuffled for counting.
 
 Defined results: a null host is a host of its own; a null text stays null with zero lines; an empty text is one empty
 line; a page whose lines are all dropped keeps an empty text; repeated rows count as pages and are all kept; an empty
@@ -19,46 +20,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm._spark import cut
+
 RATIO = 0.2
 MIN_PAGES = 3
-SPACE = r"[ \t\n\x0B\f\r]+"
+SPACE = " \t\n\x0b\f\r"
 
 
 def line_key(line: Column) -> Column:
-    """16-byte key of a trimmed line; null for a line without a word."""
-    trimmed = F.regexp_replace(line, f"^{SPACE}|{SPACE}$", "")
-    return F.when(trimmed != "", F.substring(F.unhex(F.sha2(trimmed, 256)), 1, 16))
+    """64-bit key of a trimmed line; null for a line without a word."""
+    trimmed = F.btrim(line, F.lit(SPACE))
+    return F.when(trimmed != "", F.xxhash64(trimmed))
+
+
+def page_keys(pages: DataFrame, host: str, text: str) -> DataFrame:
+    """(host, row, size, distinct line keys) of each page with a text, computed once. Equal pages of a host have equal rows."""
+    keys = F.array_distinct(F.transform(F.split(F.col(text), "\n"), line_key))
+    return cut(pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(F.col(host), F.col(text)).alias("row"), F.length(text).alias("size"), F.filter(keys, lambda k: k.isNotNull()).alias("keys")))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, key, pages, total) of each line above the ratio on its host."""
-    keyed = pages.select(F.col(host).alias("_h"), F.array_distinct(F.transform(F.split(F.col(text), "\n"), line_key)).alias("_ks"))
-    totals = pages.groupBy(F.col(host).alias("_h")).agg(F.count(F.lit(1)).alias("total"))
-    counts = keyed.select("_h", F.explode("_ks").alias("key")).where("key is not null").groupBy("_h", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    t = totals.withColumnRenamed("_h", "_h2")
-    return counts.join(t, counts["_h"].eqNullSafe(t["_h2"])).where(F.col("pages") > F.lit(ratio) * F.col("total")).select(F.col("_h").alias("host"), "key", "pages", "total")
+def boilerplate(keyed: DataFrame, totals: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, key, pages, total) of each line above the ratio on its host. `totals`: (host, total)."""
+    counts = keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    t = totals.withColumnRenamed("host", "_host")
+    return counts.join(t, counts["host"].eqNullSafe(t["_host"])).where(F.col("pages") > F.lit(ratio) * F.col("total")).drop("_host")
 
 
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, stats: bool = False) -> DataFrame:
-    """Pages with boilerplate lines removed from `text`; with `stats`, also `n_lines` and `n_dropped`.
-
-    Only the keys of a page's boilerplate lines are joined to it, through a row number of its own.
-    """
-    drop = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("_bh"), F.col("key").alias("_bk"))
-    row = F.xxhash64(F.col(host), F.col(text))
-    keyed = pages.where(F.col(text).isNotNull()).select(F.col(host).alias("_h"), F.col(text).alias("_t"))
-    lines = keyed.select("_h", F.xxhash64("_h", "_t").alias("_r"), F.length("_t").alias("_n"), F.explode(F.array_distinct(F.transform(F.split("_t", "\n"), line_key))).alias("_k")).where("_k is not null")
-    hit = lines.join(drop, lines["_h"].eqNullSafe(drop["_bh"]) & (lines["_k"] == drop["_bk"])).groupBy("_r", "_n").agg(F.collect_set("_k").alias("_gone"))
-    named = pages.withColumns({"_row": row, "_len": F.length(text)})
-    out = named.join(hit, (named["_row"] == hit["_r"]) & (named["_len"] == hit["_n"]), "left")
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<binary>"))
+    """Pages with boilerplate lines removed from `text`; with `stats`, also `n_lines` and `n_dropped`."""
+    keyed = page_keys(pages, host, text)
+    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("total"))
+    drop = boilerplate(keyed, totals, ratio, min_pages).select(F.col("host").alias("_host"), F.col("key").alias("_key"))
+    lines = keyed.select("host", "row", "size", F.explode("keys").alias("key"))
+    hits = lines.join(drop, lines["host"].eqNullSafe(drop["_host"]) & (lines["key"] == drop["_key"])).groupBy("row", "size").agg(F.collect_set("key").alias("_gone"))
+    named = pages.withColumns({"_row": F.xxhash64(F.col(host), F.col(text)), "_size": F.length(text)})
+    out = named.join(hits, (named["_row"] == hits["row"]) & (named["_size"] == hits["size"]), "left")
+    gone = F.col("_gone")
     all_lines = F.split(F.col(text), "\n")
     kept = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(gone, line_key(x)), F.lit(False)))
-    new = F.when(F.size(gone) == 0, F.col(text)).otherwise(F.array_join(kept, "\n"))
+    new = F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     columns = [new.alias(c) if c == text else named[c] for c in pages.columns]
     if stats:
         n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long")
-        columns += [n.alias("n_lines"), F.when(F.size(gone) == 0, F.lit(0)).otherwise(F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped")]
+        columns += [n.alias("n_lines"), F.when(gone.isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped")]
     return out.select(*columns)
 
 
