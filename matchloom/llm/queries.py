@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, linededup, quality, sharding, sql
+from matchloom.llm import langid, linededup, pii, quality, secretscan, sharding, sql
 from matchloom.llm._spark import written
 
 
@@ -36,5 +36,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_language_id": op5_language_id, "op6_ring_shards": op6_ring_shards, "op8_quality_rules": op8_quality_rules}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op10_secret_scan)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
