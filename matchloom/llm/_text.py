@@ -88,12 +88,19 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of the words of every row; a word never crosses a row."""
+def punctuation_table() -> np.ndarray:
+    """White space and every other ASCII byte that is no letter or digit."""
+    t = np.zeros(256, bool)
+    t[:128] = [not chr(i).isalnum() for i in range(128)]
+    return t
+
+
+def word_spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the words of every row; a word never crosses a row. `between`: bytes that separate words."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~space_table()[data]
+    word = ~(space_table() if between is None else between)[data]
     first = np.zeros(len(data) + 1, bool)
     first[offs[:-1]] = True
     first = first[: len(data)]
@@ -108,9 +115,9 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, salt: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, salt: int = 1, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row, start and end of each word, A-Z lower-cased."""
-    starts, ends, rows = word_spans(data, offs)
+    starts, ends, rows = word_spans(data, offs, between)
     table = spread(256, salt)[lower_table()]
     return range_hash(prefix_hash(data, table), starts, ends), rows, starts, ends
 

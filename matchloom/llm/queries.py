@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, linededup, pii, quality, secretscan, sharding, sql
+from matchloom.llm import decontam, langid, linededup, pieces, pii, quality, secretscan, sharding, sql
 from matchloom.llm._spark import written
 
 
@@ -46,5 +46,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op10_secret_scan)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with their alignment scores."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    return pieces.encode(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
