@@ -159,3 +159,18 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
 def binary_column(blob: np.ndarray, ends: np.ndarray) -> pa.Array:
     """An Arrow binary array from concatenated bytes and cumulative ends (starting with 0)."""
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(blob, dtype=np.uint8))]).cast(pa.binary())
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the concatenated ranges [start, start + size)."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offs, data = column.buffers()
+    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offs[0] : offs[-1]], offs - offs[0]

@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi.
 
 A text gets a leading space, spaces become the space piece, and it falls into words at the start of each run of spaces
-(no piece has that character after another one, which is checked, so no piece crosses words and the best segmentation
-of a text is that of its words). Distinct words of a slice are grouped by length; those of one length advance together:
+(no piece has that character after another one, which is checked, so no piece crosses words and a text's segmentation
+is that of its words). Words not met before in the task are grouped by length; those of one length advance together:
 hashes of all their substrings up to the longest piece probe the sorted hashes of the pieces, and a maximum over piece
 lengths at each position stores the backpointer. A character without a piece becomes its UTF-8 byte pieces.
 
-The segmentation is the one with the largest sum of the model's piece scores. (For a model of type BPE, whose scores are
-merge ranks, this is a well-defined segmentation with the same pieces, but not the merge order's.) Decoding is the exact
-inverse for every text: a space character of the model that stands in the text itself is written in byte pieces.
+A unigram model maximises the sum of piece scores. A model of type BPE (its scores are whole merge ranks) scores a
+candidate 1 if it may follow the best piece before it and 0 otherwise; two pieces may be neighbours if merging their
+joined text in rank order gives them back, which is worked out from the merges at their common edge, latest first. Just
+one candidate passes at each position, so the backpointers give the merge order's own segmentation, the library's ids.
+
+Decoding is the exact inverse for every text: a space character of the model that stands in the text itself is written
+in byte pieces (the library would turn it into a space).
 
 Distribution: a map over whole texts, without a shuffle; the model is read on the driver and has a fixed size.
 
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from matchloom.llm._text import mix, text_slices
+from matchloom.llm._text import mix, ragged, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -32,22 +36,53 @@ CELLS = 1 << 21
 U64 = np.uint64
 
 
+FAR = np.int64(1 << 62)
+
+
+def merge(text: str, rank: dict[str, int]) -> list[tuple[str, str, str]]:
+    """Symbols left after merging in rank order, leftmost first among equals, each with the halves of its last merge."""
+    parts = [(c, "", "") for c in text]
+    while len(parts) > 1:
+        r, i = min((rank.get(parts[i][0] + parts[i + 1][0], FAR), i) for i in range(len(parts) - 1))
+        if r == FAR:
+            break
+        x, y = parts[i][0], parts[i + 1][0]
+        parts[i : i + 2] = [(x + y, x, y)]
+    return parts
+
+
 class Model:
-    """Piece tables as arrays: hashes in order, ids, scores, and the bytes of each piece."""
+    """Piece tables as arrays: hashes in order, ids, scores, merge ranks and halves, and the bytes of each piece."""
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], special: set[int]) -> None:
         normal = [i for i in range(len(pieces)) if i not in special and pieces[i]]
         if any(chr(SPACE) in pieces[i].lstrip(chr(SPACE)) for i in normal):
             raise ValueError("a piece has a space after another character")
+        self.bpe = all(float(scores[i]).is_integer() for i in normal)
+        level = {x: r for r, x in enumerate(sorted({-scores[i] for i in normal}))}
+        self.rank_of = {pieces[i]: level[-scores[i]] for i in normal}
+        halves = {}
+        if self.bpe:
+            halves = {i: m[0] for i in normal if len(m := merge(pieces[i], self.rank_of)) == 1}
+            normal = list(halves)  # a piece that no merge makes is never used
         self.longest = max((len(pieces[i]) for i in normal), default=1)
         hashes = np.array([self.string_hash(pieces[i]) for i in normal], U64)
         order = np.argsort(hashes)
         self.keys = hashes[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys >> U64(44)).astype(np.int64)] = True
         self.ids = np.array(normal, np.int32)[order]
         self.scores = np.array([scores[i] for i in normal])[order]
         self.unknown = float(self.scores.min() - 10) if normal else -10.0
+        own = [pieces[i] for i in self.ids]
+        number = {p: k for k, p in enumerate(own)}
+        self.rank = np.array([self.rank_of[p] if len(p) > 1 else -1 for p in own], np.int64)
+        self.left, self.right = (np.array([number.get(halves[i][h], -1) if i in halves and halves[i][h] else -1 for i in self.ids], np.int64) for h in (1, 2))
+        self.sums = np.array([self.string_sum(p) for p in own], U64)
+        self.chars = np.array([len(p) for p in own], np.int64)
+        self.ups = ups(2 * self.longest + 1)
         self.bytes = np.array([byte_ids[b] for b in range(256)], np.int32)
         raw = [b""] * len(pieces)
         for i in normal:
@@ -58,14 +93,45 @@ class Model:
         self.start = np.cumsum(self.size) - self.size
         self.blob = np.frombuffer(b"".join(raw), np.uint8)
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of the piece with each hash, -1 if there is none; a bitmap of hash prefixes spares most binary searches."""
+        out = np.full(hashes.shape, -1, np.int64)
+        at = self.maybe[(hashes >> U64(44)).astype(np.int64)]
+        h = hashes[at]
+        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        out[at] = np.where(self.keys[i] == h, i, -1)
+        return out
+
+    def neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each pair of pieces stays apart: no merge across their edge comes before the merges that make them."""
+        ok = np.ones(len(left), bool)
+        live = np.arange(len(left))
+        limit = np.full(len(left), FAR)
+        while len(live):
+            size = self.chars[left] + self.chars[right]
+            joined = self.find(mix(self.sums[left] + self.sums[right] * self.ups[self.chars[left]] + size.astype(U64)))
+            across = np.where(joined >= 0, self.rank[joined], FAR)
+            stay = across >= limit
+            ok[live[~stay]] = False
+            a, b = self.rank[left], self.rank[right]
+            stay &= (a >= 0) | (b >= 0)
+            live, left, right, a, b = live[stay], left[stay], right[stay], a[stay], b[stay]
+            back = a > b  # the left piece was made later, so its merge is undone first
+            limit = np.where(back, a, b + 1)
+            left, right = np.where(back, self.right[left], left), np.where(back, right, self.left[right])
+        return ok
+
     @staticmethod
     def code_values(cps: np.ndarray) -> np.ndarray:
         return mix(cps.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1)) | U64(1)
 
+    @classmethod
+    def string_sum(cls, s: str) -> int:
+        return int((cls.code_values(np.frombuffer(s.encode("utf-32-le"), np.uint32)) * ups(len(s))).sum(dtype=U64))
+
     @classmethod
     def string_hash(cls, s: str) -> int:
-        v = cls.code_values(np.frombuffer(s.encode("utf-32-le"), np.uint32))
-        return int(mix((v * ups(len(s))).sum(dtype=U64).reshape(1) + U64(len(s)))[0])
+        return int(mix(np.array([cls.string_sum(s)], U64) + U64(len(s)))[0])
 
 
 def ups(n: int) -> np.ndarray:
@@ -101,37 +167,42 @@ def viterbi(words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     best = np.full((n, size + 1), -np.inf)
     best[:, 0] = 0
     back = np.zeros((n, size + 1), np.int16)
-    found = np.zeros((n, size + 1), np.int32)
+    found = np.full((n, size + 1), -1, np.int64)
+    rows = np.arange(n)
     block = max(1, CELLS // (n * most))
     for e0 in range(1, size + 1, block):
         ends = np.arange(e0, min(e0 + block, size + 1))
         lens = np.arange(1, most + 1)
         s = ends[:, None] - lens[None]
-        ok = s >= 0
         at = np.maximum(s, 0)
-        hashes = mix((prefix[:, ends][:, :, None] - prefix[:, at]) * down[at] + lens.astype(U64))
-        i = np.minimum(np.searchsorted(model.keys, hashes), len(model.keys) - 1)
-        hit = (model.keys[i] == hashes) & ok
-        score = np.where(hit, model.scores[i], -np.inf)
-        ids = model.ids[i]
-        lone = ~hit[:, :, 0]
-        score[:, :, 0][lone] = model.unknown
-        ids[:, :, 0][lone] = -1
+        piece = np.full((n, len(ends), most), -1, np.int64)
+        inside = s >= 0
+        piece[:, inside] = model.find(mix((prefix[:, ends][:, :, None] - prefix[:, at])[:, inside] * down[at[inside]] + np.broadcast_to(lens, s.shape)[inside].astype(U64)))
         for j, e in enumerate(ends):
-            total = best[:, at[j]] + score[:, j]
+            own = piece[:, j]
+            if model.bpe:
+                score = np.where(own >= 0, lens / 100, -np.inf)
+                before = found[:, at[j]]
+                ask = (own >= 0) & (before >= 0) & (s[j] > 0)
+                score[ask] += model.neighbours(before[ask], own[ask]) - 1.0
+                total = score
+            else:
+                total = best[:, at[j]] + np.where(own >= 0, model.scores[own], -np.inf)
+            lone = own[:, 0] < 0
+            total[lone, 0] = (0.0 if model.bpe else best[lone, e - 1] + model.unknown)
             k = total.argmax(1)
-            rows = np.arange(n)
             best[:, e] = total[rows, k]
             back[:, e] = k + 1
-            found[:, e] = ids[rows, j, k]
+            found[:, e] = own[rows, k]
     out = np.zeros((n, size), np.int64)
     counts = np.zeros(n, np.int64)
     pos = np.full(n, size)
     live = np.arange(n)
     while len(live):
         p = pos[live]
-        ids = found[live, p].astype(np.int64)
+        ids = found[live, p]
         unknown = ids < 0
+        ids = model.ids[ids].astype(np.int64)
         ids[unknown] = -words[live[unknown], p[unknown] - 1].astype(np.int64) - 1
         counts[live] += 1
         out[live, size - counts[live]] = ids
@@ -140,12 +211,6 @@ def viterbi(words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices of the concatenated ranges [start, start + size)."""
-    ends = np.cumsum(size)
-    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def encode_words(cps: np.ndarray, start: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all words one after the other, and each word's count."""
     counts = np.zeros(len(start), np.int64)
@@ -178,7 +243,37 @@ def encode_words(cps: np.ndarray, start: np.ndarray, size: np.ndarray, model: Mo
     return flat[at], counts
 
 
-def encode_texts(data: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+class Store:
+    """Ids of the words met in a task; emptied when it holds more than `most` words."""
+
+    def __init__(self, model: Model, most: int = 1 << 20) -> None:
+        self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.where = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, key: np.ndarray, cps: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers in the store of distinct words given by their keys, encoding those that are new."""
+        if len(self.keys) > self.most:
+            self.clear()
+        i = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        new = self.keys[i] != key if len(self.keys) else np.ones(len(key), bool)
+        out = self.where[i] if len(self.keys) else np.zeros(len(key), np.int64)
+        if new.any():
+            ids, counts = encode_words(cps, start[new], size[new], self.model)
+            out[new] = len(self.start) + np.arange(len(counts))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.ids = np.concatenate([self.ids, ids])
+            keys, where = np.concatenate([self.keys, key[new]]), np.concatenate([self.where, out[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.where = keys[order], where[order]
+        return out
+
+
+def encode_texts(data: np.ndarray, offs: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the rows of UTF-8 bytes."""
     n = len(offs) - 1
     raw = data.tobytes()
@@ -199,12 +294,11 @@ def encode_texts(data: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.n
     prefix = np.zeros(len(cps) + 1, U64)
     np.cumsum(Model.code_values(cps) * ups(len(cps)), out=prefix[1:])
     key = mix((prefix[start + size] - prefix[start]) * downs(len(cps))[start] + size.astype(U64))
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    ids, counts = encode_words(cps, start[first], size[first], model)
-    begin = np.cumsum(counts) - counts
-    flat = ids[ragged(begin[inverse], counts[inverse])]
-    total = np.concatenate([[0], np.cumsum(counts[inverse])])
-    return flat, total[np.searchsorted(start, doc)]
+    key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    word = store.look_up(key, cps, start[first], size[first])[inverse]
+    count = store.count[word]
+    total = np.concatenate([[0], np.cumsum(count)])
+    return store.ids[ragged(store.start[word], count)], total[np.searchsorted(start, doc)]
 
 
 def decode_ids(ids: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -224,9 +318,10 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
     model = load(path)
 
     def run(batches):
+        store = Store(model)
         for b in batches:
             for lo, hi, data, offs in text_slices(b, limit=SLICE):
-                ids, at = encode_texts(data, offs, model)
+                ids, at = encode_texts(data, offs, store)
                 back, ends = decode_ids(ids, at, model)
                 whole = np.array_equal(back, data) and np.array_equal(ends, offs)
                 same = np.ones(hi - lo, bool) if whole else np.array([np.array_equal(back[ends[i] : ends[i + 1]], data[offs[i] : offs[i + 1]]) for i in range(hi - lo)], bool)
