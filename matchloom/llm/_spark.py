@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,3 +28,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle and checkpoint files of steps that nothing refers to; it follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces, pii, quality, secretscan, sharding, sql
+from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup
 from matchloom.llm._spark import written
 
 
@@ -61,5 +61,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without repeated 200-byte strings."""
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
