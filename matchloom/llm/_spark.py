@@ -30,6 +30,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """`df` with its columns renamed by position, so that no name of it clashes with names used inside an operator, and
+    the new names of the columns `names`."""
+    new = [f"column_{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), [new[df.columns.index(n)] for n in names]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle and checkpoint files of steps that nothing refers to; it follows the driver's garbage collection."""
     gc.collect()

@@ -147,13 +147,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     return {"langs": langs, "code": code, "w": w, "acc": acc}
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str], gap: float = GAP) -> DataFrame:
+def predict(docs: DataFrame, model: dict, keep: list[str], gap: float = GAP, text: str = "text") -> DataFrame:
     """`keep` columns of every row with lang_pred, score, ambiguous."""
     langs, code = np.array(model["langs"] or ["und"], object), model["code"]
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offs in text_slices(b, limit=1 << 20):
+            for lo, hi, data, offs in text_slices(b, text, 1 << 20):
                 n = hi - lo
                 ok = has_letter(data, offs)
                 if code is None:
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str], gap: float = GAP) ->
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, ambiguous boolean"])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, gap: float = GAP) -> DataFrame:

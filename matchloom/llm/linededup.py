@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 Documents are grouped by host. A line counts once per page; its frequency is the number of the host's pages holding it
-divided by the host's page total. Lines above `ratio` on at least `min_pages` pages are boilerplate and are dropped.
+divided by the host's page total. Lines above `ratio` on at least `min_pages` pages are boilerplate and are dropped; both limits are
+high enough that a few copies of a page on a small host are left to document dedup, which keeps one of them.
 A line is compared after trimming white space; lines without a word are never boilerplate.
 
 Distribution: each page's distinct line keys are computed once and kept in the shared folder; they become (host, key)
@@ -20,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm._spark import cut
+from matchloom.llm._spark import cut, numbered
 
-RATIO = 0.2
-MIN_PAGES = 3
+RATIO = 0.25
+MIN_PAGES = 5
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -47,19 +48,20 @@ def boilerplate(keyed: DataFrame, totals: DataFrame, ratio: float = RATIO, min_p
 
 
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, stats: bool = False) -> DataFrame:
-    """Pages with boilerplate lines removed from `text`; with `stats`, also `n_lines` and `n_dropped`."""
+    """Pages with boilerplate lines removed from `text`; with `stats`, also `n_lines` and `n_dropped` (as last columns)."""
+    names = pages.columns
+    pages, (host, text) = numbered(pages, host, text)
     keyed = page_keys(pages, host, text)
     totals = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("total"))
     drop = boilerplate(keyed, totals, ratio, min_pages).select(F.col("host").alias("_host"), F.col("key").alias("_key"))
     lines = keyed.select("host", "row", "size", F.explode("keys").alias("key"))
-    hits = lines.join(drop, lines["host"].eqNullSafe(drop["_host"]) & (lines["key"] == drop["_key"])).groupBy("row", "size").agg(F.collect_set("key").alias("_gone"))
-    named = pages.withColumns({"_row": F.xxhash64(F.col(host), F.col(text)), "_size": F.length(text)})
-    out = named.join(hits, (named["_row"] == hits["row"]) & (named["_size"] == hits["size"]), "left")
-    gone = F.col("_gone")
+    hits = lines.join(drop, lines["host"].eqNullSafe(drop["_host"]) & (lines["key"] == drop["_key"])).groupBy("row", "size").agg(F.collect_set("key").alias("gone"))
+    out = pages.join(hits, (F.xxhash64(F.col(host), F.col(text)) == hits["row"]) & (F.length(text) == hits["size"]), "left")
+    gone = F.col("gone")
     all_lines = F.split(F.col(text), "\n")
     kept = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(gone, line_key(x)), F.lit(False)))
     new = F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    columns = [new.alias(c) if c == text else named[c] for c in pages.columns]
+    columns = [(new if c == text else F.col(c)).alias(name) for c, name in zip(pages.columns, names, strict=True)]
     if stats:
         n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long")
         columns += [n.alias("n_lines"), F.when(gone.isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped")]

@@ -23,6 +23,8 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm._spark import numbered
+
 RING = 1 << 32
 CELLS = 1 << 12
 VNODES = 160
@@ -79,14 +81,17 @@ def walk(counts: dict[int, int], shards: int, vnodes: int = VNODES, slack: float
 def shard_rows(rows: DataFrame, key: str, shards: int, vnodes: int = VNODES, slack: float = 0.0, cells: int = CELLS) -> DataFrame:
     """`rows` with `shard int, slot long`; slots of a shard run from 0 without gaps. Other columns are kept as they are."""
     spark: SparkSession = rows.sparkSession
+    names = rows.columns
+    rows, (key,) = numbered(rows, key)
     point = key_point(F.col(key))
-    placed = rows.withColumns({"_point": point, "_cell": (point / F.lit(RING // cells)).cast("int")})
-    counts = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `cells` rows
+    placed = rows.withColumns({"point": point, "own_cell": (point / F.lit(RING // cells)).cast("int")})
+    counts = {r["own_cell"]: r["n"] for r in placed.groupBy("own_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `cells` rows
     runs = spark.createDataFrame(walk(counts, shards, vnodes, slack, cells), RUN_SCHEMA)
-    w = Window.partitionBy("_cell").orderBy("_point", F.col(key))
-    ranked = placed.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
-    on = (ranked["_cell"] == runs["cell"]) & (ranked["_rank"] >= runs["lo"]) & (ranked["_rank"] < runs["hi"])
-    return ranked.join(F.broadcast(runs), on).select(*[ranked[c] for c in rows.columns], "shard", (F.col("slot0") + F.col("_rank") - F.col("lo")).alias("slot"))
+    w = Window.partitionBy("own_cell").orderBy("point", F.col(key))
+    ranked = placed.withColumn("place", F.row_number().over(w).cast("long") - 1)
+    on = (ranked["own_cell"] == runs["cell"]) & (ranked["place"] >= runs["lo"]) & (ranked["place"] < runs["hi"])
+    own = [F.col(c).alias(n) for c, n in zip(rows.columns, names, strict=True)]
+    return ranked.join(F.broadcast(runs), on).select(*own, "shard", (F.col("slot0") + F.col("place") - F.col("lo")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8, slack: float = 0.0) -> DataFrame:

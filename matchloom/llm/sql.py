@@ -23,7 +23,7 @@ ORACLES["op4_line_dedup"] = (
   FROM (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM shown)),
 totals AS (SELECT host, count(*) AS total FROM shown GROUP BY host),
 counts AS (SELECT host, k, count(DISTINCT page_id) AS n FROM lines WHERE k <> '' GROUP BY host, k),
-gone AS (SELECT c.host, c.k FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n >= 3 AND c.n > 0.2 * t.total),
+gone AS (SELECT c.host, c.k FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n >= 5 AND c.n > 0.25 * t.total),
 marked AS (SELECT l.*, g.k IS NOT NULL AS dropped FROM lines l LEFT JOIN gone g ON l.host IS NOT DISTINCT FROM g.host AND l.k = g.k),
 kept AS (
   SELECT page_id, host, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
