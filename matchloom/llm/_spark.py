@@ -17,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most `rows` rows, unless the session asks for fewer: rows here are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder; Spark's cleaner removes it when it is no longer referenced."""
     shared_dir(df.sparkSession)
@@ -27,7 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, for larger tables of which later steps read some columns."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table of `written` once everything derived from it is written itself."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm._spark import release, written
+from matchloom.llm._spark import drop, release, small_batches, written
 from matchloom.llm._text import binary_column, binary_parts, prefix_hash, ragged, range_hash, spread, text_slices
 
 LENGTH = 200
@@ -311,10 +311,16 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int
     spark = docs.sparkSession
     found = written(anchors(docs.where(F.col("nb") >= length), length, gram))
     place = F.struct("h", "nb", "place")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("anchor", "c")
-    hits = found.join(again, "anchor").groupBy("h", "nb").agg(F.collect_set(F.struct("place", "lo", "hi", "anchor", "c")).alias("hits"))  # as many as a text has
+    again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("anchor", "c"))
+    release(spark)
+    # both sides of the join are shuffled, so the adaptive skew join splits hot anchors
+    hits = written(found.join(again, "anchor").groupBy("h", "nb").agg(F.collect_set(F.struct("place", "lo", "hi", "anchor", "c")).alias("hits")))  # as many as a text has
+    drop(found)
+    drop(again)
+    release(spark)
     one = docs.where(F.col("nb") >= length).dropDuplicates(["h", "nb"])
     out = written(repeats(segments(one.join(hits, ["h", "nb"]).select("h", "nb", "text", "hits"), length, bound), length))
+    drop(hits)
     release(spark)
     spans = out.where("d1 IS NULL").select("h", "nb", "a", "b")
     windows = out.where("d1 IS NOT NULL")
@@ -326,6 +332,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int = BOUND) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("nb"))
     spans = written(covered(keyed.select("h", "nb", "text"), length, gram, bound))
