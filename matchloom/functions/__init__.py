@@ -1 +1 @@
-"""functions."""
+"""Column functions: text, statistics, pair predicates."""

@@ -1 +1 @@
-"""operators."""
+"""Operators: DataFrame in, DataFrame out, keyed by ids."""

@@ -1 +1 @@
-"""Registered queries: plans over the driver tables."""
+"""Whole pipelines and the registered queries."""

@@ -1,10 +1,706 @@
-"""Names, queries and SQL twins of everything outside the optional subpackage."""
+"""Registered queries over the driver tables, each with its SQL twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchloom.functions import predicates, stats, text
+from matchloom.operators import combine, corpus, distribution, evaluation, joins, profile, ranking, scoring, tfidf, vectors
+from matchloom.plans import sql
+from matchloom.sources import files, ontology
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(s: SparkSession, d: str, by: str | None = None) -> DataFrame:
+    data = table(s, d, "documents")
+    return corpus.build_corpora(data, ["text"], "doc_id", by=by) if by else corpus.build_corpus(data, ["text"], "doc_id")
+
+
+def both(s: SparkSession, d: str) -> DataFrame:
+    """Documents and benchmark passages as one corpus; ids d<doc_id> and b<item_id>."""
+    a = table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    b = table(s, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
+    return corpus.build_corpus(a.unionByName(b), ["text"], "id")
+
+
+def passages(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("doc_id"))
+
+
+def six(*cols: str) -> list:
+    """Columns rounded to six places under their own names."""
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+def scored(df: DataFrame) -> DataFrame:
+    return df.select("reference_id", "paired_id", *six("score"))
+
+
+# Text ----------------------------------------------------------------------------------------------------------------
+
+
+@query("tokens_clean", f"WITH {sql.tokens(sql.DOCS)} SELECT doc_id, array_to_string(tokens, ' ') AS tokens, len(tokens)::BIGINT AS n_tokens FROM toks")
+def tokens_clean(s, d):
+    return docs(s, d).select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query("vocabulary", f"WITH {sql.tokens(sql.DOCS)} SELECT DISTINCT unnest(tokens) AS term FROM toks")
+def vocabulary(s, d):
+    return tfidf.vocabulary(docs(s, d))
+
+
+@query("term_counts", f"WITH {sql.idf(sql.DOCS)} SELECT doc_id, term, tf FROM tf")
+def term_counts(s, d):
+    return tfidf.term_counts(docs(s, d)).select("doc_id", "term", "tf")
+
+
+@query("term_counts_given_vocabulary", f"WITH {sql.idf(sql.DOCS)} SELECT doc_id, term, tf FROM tf WHERE term IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) FROM benchmark)")
+def term_counts_given(s, d):
+    words = table(s, d, "benchmark").select(F.explode(text.tokenize(F.col("text"))).alias("term")).distinct()
+    return tfidf.term_counts(docs(s, d), words).select("doc_id", "term", "tf")
+
+
+@query("doc_freq", f"WITH {sql.idf(sql.BY_LANG)} SELECT corpus_id AS lang, term, df FROM df")
+def doc_freq(s, d):
+    return tfidf.document_frequency(tfidf.term_counts(docs(s, d, "lang"))).select(F.col("corpus_id").alias("lang"), "term", "df")
+
+
+def _idf(name: str, rows: str, by: str | None) -> None:
+    query(name, f"WITH {sql.idf(rows)} SELECT term, round(idf, 6) AS idf FROM idf")(lambda s, d: tfidf.idf(docs(s, d, by)).select("term", *six("idf")))
+
+
+_idf("idf_single", sql.DOCS, None)
+_idf("idf_multi_lang", sql.BY_LANG, "lang")
+_idf("idf_multi_source", sql.BY_SOURCE, "source")
+
+
+@query("tfidf_weights", f"WITH {sql.weights(sql.BY_LANG)} SELECT doc_id, term, round(weight, 6) AS weight FROM w")
+def tfidf_weights(s, d):
+    return tfidf.calc_tfidf(docs(s, d, "lang"))[1].select("doc_id", "term", *six("weight"))
+
+
+@query("lemmas", f"WITH {sql.LEMMAS} SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS tokens FROM places JOIN lemmas USING (word) GROUP BY doc_id UNION ALL SELECT doc_id, '' FROM toks WHERE len(tokens) = 0")
+def lemmas(s, d):
+    return corpus.lemmatize(docs(s, d)).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+# Scores --------------------------------------------------------------------------------------------------------------
+
+
+def item_scores(s, d, **kw):
+    weights = tfidf.calc_tfidf(both(s, d))[1]
+    names = table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"))
+    everything = kw.pop("everything", False)
+    return scoring.VariableSimilarityCalculator(passages(s, d), **kw).score_variables(weights, None if everything else names)
+
+
+@query("text_scores", f"WITH {sql.SCORES} SELECT reference_id, paired_id, round(score, 6) AS score FROM scores WHERE paired_id LIKE 'd%' AND score > 0")
+def text_scores(s, d):
+    return scored(item_scores(s, d))
+
+
+TOP = "row_number() OVER (PARTITION BY {} ORDER BY round(score, 10) DESC, paired_id)"
+
+
+@query("text_scores_top5", f"WITH {sql.SCORES} SELECT reference_id, paired_id, round(score, 6) AS score FROM (SELECT *, {TOP.format('reference_id')} AS k FROM scores WHERE paired_id LIKE 'd%') WHERE k <= 5 AND score > 0")
+def text_scores_top5(s, d):
+    return scored(item_scores(s, d, select_scores=scoring.TopN(5)))
+
+
+@query("text_scores_by_group", f"WITH {sql.SCORES} SELECT reference_id, paired_id, round(score, 6) AS score FROM (SELECT s.*, {TOP.format('reference_id, lang')} AS k FROM scores s JOIN documents ON paired_id = 'd' || doc_id WHERE lang IS NOT NULL) WHERE k <= 3 AND score > 0")
+def text_scores_by_group(s, d):
+    groups = table(s, d, "documents").where("lang IS NOT NULL").select(F.concat(F.lit("d"), "doc_id").alias("paired_id"), F.col("lang").alias("grp"))
+    return scored(item_scores(s, d, select_scores=scoring.TopNByGroup(3, groups)))
+
+
+@query("select_then_filter", f"WITH {sql.SCORES} SELECT reference_id, paired_id, round(score, 6) AS score FROM (SELECT *, {TOP.format('reference_id')} AS k FROM scores) WHERE k <= 3 AND score > 0 AND reference_id <> paired_id")
+def select_then_filter(s, d):
+    return scored(item_scores(s, d, everything=True, select_scores=scoring.TopN(3)))
+
+
+def initials(s, d):
+    return both(s, d).select("doc_id", F.substring(F.try_element_at("tokens", F.lit(1)), 1, 1).alias("initial"), F.size("tokens").alias("size"))
+
+
+INITIALS = "ini AS (SELECT doc_id, left(tokens[1], 1) AS initial, len(tokens) AS size FROM toks)"
+
+
+def _predicate(name: str, predicate, condition: str) -> None:
+    oracle = f"WITH {sql.SCORES}, {INITIALS} SELECT reference_id, paired_id, round(score, 6) AS score FROM scores JOIN ini r ON reference_id = r.doc_id JOIN ini p ON paired_id = p.doc_id WHERE paired_id LIKE 'd%' AND {condition}"
+    query(name, oracle)(lambda s, d: scored(item_scores(s, d, pairable=predicate, attributes=initials(s, d))))
+
+
+_predicate("pairs_differ_in_group", predicates.pairable_by_group("initial"), "score > 0 AND r.initial <> p.initial")
+_predicate("pairs_differ_in_column", predicates.vals_differ_in_col("initial"), "r.initial <> p.initial")
+_predicate("pairs_differ_in_all_columns", predicates.vals_differ_in_all_cols(["initial", "size"]), "r.initial <> p.initial AND r.size <> p.size")
+
+
+@query("one_vs_all", f"WITH {sql.weights(sql.DOCS)}, one AS (SELECT p.doc_id, sum(r.weight * p.weight) AS score FROM w r JOIN w p USING (term) WHERE r.doc_id = 0 GROUP BY p.doc_id) SELECT d.doc_id AS paired_id, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT doc_id FROM w) d LEFT JOIN one USING (doc_id) WHERE d.doc_id <> 0")
+def one_vs_all(s, d):
+    return scoring.calculate_similarity(tfidf.calc_tfidf(docs(s, d))[1], 0).select("paired_id", *six("score"))
+
+
+@query("zero_scores_kept", f"WITH {sql.SCORES}, names AS (SELECT DISTINCT doc_id FROM w) SELECT r.doc_id AS reference_id, p.doc_id AS paired_id, round(coalesce(score, 0), 6) AS score FROM names r JOIN names p ON r.doc_id LIKE 'b%' AND p.doc_id LIKE 'd%' LEFT JOIN scores ON reference_id = r.doc_id AND paired_id = p.doc_id")
+def zero_scores_kept(s, d):
+    return scored(item_scores(s, d, pairable=predicates.always))
+
+
+@query("top5_with_description", f"WITH {sql.SCORES} SELECT reference_id, paired_id, round(score, 6) AS score, source FROM (SELECT *, {TOP.format('reference_id')} AS k FROM scores WHERE paired_id LIKE 'd%' AND score > 0) JOIN documents ON paired_id = 'd' || doc_id WHERE k <= 5")
+def top5_with_description(s, d):
+    about = table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "source")
+    return scoring.top_with_description(item_scores(s, d), about).select("reference_id", "paired_id", *six("score"), "source")
+
+
+# Vectors -------------------------------------------------------------------------------------------------------------
+
+
+def unit_vectors(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("vec"))
+    return vectors.normalize_doc_vectors(e)
+
+
+def stated(v: DataFrame) -> DataFrame:
+    """The stated query set: ids divisible by 50."""
+    return v.where("doc_id % 50 = 0")
+
+
+@query("embed_cosine", f"WITH {sql.UNIT} SELECT r.vec_id AS reference_id, p.vec_id AS paired_id, round(list_dot_product(r.v, p.v), 6) AS score FROM u r, u p WHERE r.vec_id % 50 = 0 AND round(list_dot_product(r.v, p.v), 10) > 0 AND r.vec_id <> p.vec_id")
+def embed_cosine(s, d):
+    v = unit_vectors(s, d)
+    calc = scoring.VariableSimilarityCalculator(stated(v), pairable=lambda r, p: (F.round("score", 10) > 0) & (F.col("paired_id") != F.col("reference_id")))
+    return scored(calc.score_variables(v, dense=True))
+
+
+@query("embed_topk", f"WITH {sql.UNIT}, s AS (SELECT r.vec_id AS reference_id, p.vec_id AS paired_id, list_dot_product(r.v, p.v) AS score FROM u r, u p WHERE r.vec_id % 50 = 0) SELECT reference_id, paired_id, round(score, 6) AS score FROM (SELECT *, {TOP.format('reference_id')} AS k FROM s) WHERE k <= 10")
+def embed_topk(s, d):
+    v = unit_vectors(s, d)
+    return scored(scoring.VariableSimilarityCalculator(stated(v), predicates.always, scoring.TopN(10)).score_variables(v, dense=True))
+
+
+@query("embed_cohesion", f"WITH {sql.UNIT} SELECT label AS grp, count(DISTINCT a) AS n, round(avg(x), 6) AS cohesion FROM (SELECT p.label, p.vec_id AS a, CASE WHEN p.vec_id > q.vec_id THEN list_dot_product(p.v, q.v) END AS x FROM u p JOIN u q ON p.label = q.label) GROUP BY label")
+def embed_cohesion(s, d):
+    return vectors.dense_cohesion(unit_vectors(s, d), "label").select("grp", "n", *six("cohesion"))
+
+
+@query("embed_centroid", f"WITH {sql.UNIT} SELECT label, dim::INT AS dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM u) GROUP BY ALL")
+def embed_centroid(s, d):
+    return vectors.dense_centroids(unit_vectors(s, d), "label").select("label", F.posexplode("vec").alias("dim", "x")).select("label", "dim", *six("x"))
+
+
+CENTER = f"{sql.weights(sql.DOCS)}, members AS (SELECT lang AS grp, doc_id FROM documents WHERE lang IS NOT NULL), c AS (SELECT grp, term, sum(weight) / any_value(n) AS weight FROM w JOIN members USING (doc_id) JOIN (SELECT grp, count(*) AS n FROM members GROUP BY grp) USING (grp) GROUP BY grp, term)"
+
+
+def lang_groups(s, d):
+    return table(s, d, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("grp"), "doc_id")
+
+
+@query("top_words_by_lang", f"WITH {CENTER} SELECT grp, term, round(weight, 6) AS weight, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(weight, 10) DESC, term) AS k FROM c WHERE weight > 0) WHERE k <= 5")
+def top_words_by_lang(s, d):
+    center = vectors.centroids(tfidf.calc_tfidf(docs(s, d))[1], lang_groups(s, d))
+    return vectors.top_words(center, 5).select("grp", "term", *six("weight"), "rank")
+
+
+@query("top_words_table", f"WITH {CENTER} SELECT grp AS Concept, string_agg(term, ' ' ORDER BY k) AS \"Top 5 words\" FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(weight, 10) DESC, term) AS k FROM c WHERE weight > 0) WHERE k <= 5 GROUP BY grp")
+def top_words_table(s, d):
+    center = vectors.centroids(tfidf.calc_tfidf(docs(s, d))[1], lang_groups(s, d))
+    return files.top_words_table(vectors.top_words(center, 5), 5)
+
+
+@query("centroid_scores", f"WITH {CENTER} SELECT grp AS reference_id, doc_id::VARCHAR AS paired_id, round(sum(c.weight * w.weight), 6) AS score FROM c JOIN w USING (term) GROUP BY ALL HAVING sum(c.weight * w.weight) > 0")
+def centroid_scores(s, d):
+    weights = tfidf.calc_tfidf(docs(s, d))[1].select(F.lit(None).cast("string").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_id"), "term", "weight")
+    pseudo = vectors.as_documents(vectors.centroids(weights, lang_groups(s, d)))
+    calc = scoring.VariableSimilarityCalculator(pseudo.select("doc_id").distinct())
+    return scored(calc.score_variables(vectors.append_documents(weights, pseudo), weights.select("doc_id")))
+
+
+@query("lang_cohesion", f"WITH {CENTER}, q AS (SELECT grp, term, sum(weight) AS s, sum(weight * weight) AS q FROM w JOIN members USING (doc_id) GROUP BY ALL), sizes2 AS (SELECT grp, count(*) AS n FROM members GROUP BY grp) SELECT grp, n, round(CASE WHEN n > 1 THEN sum(s * s - q) / (n * (n - 1)) END, 6) AS cohesion FROM q JOIN sizes2 USING (grp) GROUP BY grp, n")
+def lang_cohesion(s, d):
+    return vectors.group_cohesion(tfidf.calc_tfidf(docs(s, d))[1], lang_groups(s, d)).select("grp", "n", *six("cohesion"))
+
+
+@query(
+    "doc_embeddings",
+    f"""WITH {sql.weights(sql.PARTS)}, {sql.UNIT},
+  words AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM idf),
+  dims AS (SELECT doc_id, dim, sum(weight * x) AS x FROM (SELECT doc_id, weight, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM w JOIN words USING (term) JOIN u ON u.vec_id = words.id) GROUP BY ALL)
+  SELECT doc_id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM dims""",
+)
+def doc_embeddings(s, d):
+    parts = corpus.build_corpus(table(s, d, "part"), ["p_name", "p_type"], "p_partkey")
+    vocab, weights = tfidf.calc_tfidf(parts)
+    terms = F.transform(F.array_sort(F.collect_set("term")), lambda t, i: F.struct(i.cast("long").alias("id"), t.alias("word")))
+    words = vocab.agg(F.explode(terms).alias("x")).select("x.*")  # the parts' few distinct words
+    vecs = words.join(table(s, d, "embeddings"), F.col("id") == F.col("vec_id")).select("word", F.col("embedding").alias("vec"))
+    out = vectors.calc_doc_embeddings(weights, vecs)
+    return out.select("doc_id", F.posexplode("vec").alias("dim", "x")).select("doc_id", "dim", *six("x"))
+
+
+# Pairs, ranks, evaluation --------------------------------------------------------------------------------------------
+
+
+def vector_pairs(s, d):
+    v = unit_vectors(s, d)
+    r = scoring.bounded(stated(v).select((F.col("label") % 3).cast("long").alias("concept"), F.col("doc_id").alias("ref_id"), (F.col("doc_id") % 4).alias("ref_group"), F.col("vec").alias("rv")))
+    p = v.select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 4).alias("pair_group"), F.col("vec").alias("pv"))
+    head = stats.dot(F.slice("rv", 1, 8), F.slice("pv", 1, 8))
+    return p.crossJoin(r).select("concept", "ref_id", "ref_group", "pair_id", "pair_group", stats.dot(F.col("rv"), F.col("pv")).alias("score"), head.alias("score_head"))
+
+
+def pairable(s, d):
+    return ranking.extract_pairable_pairs(vector_pairs(s, d), "ref_id", "pair_id", "ref_group", "pair_group", "concept")
+
+
+def truth(s, d):
+    return evaluation.assign_true_pairing(pairable(s, d), "ref_id", "pair_id", ["concept"])
+
+
+def ranked(s, d, by_group):
+    return ranking.rank_scores(truth(s, d), "score", "ref_id", "pair_group" if by_group else None)
+
+
+@query("pairable_pairs", f"WITH {sql.PAIRABLE} SELECT concept::BIGINT AS concept, ref_id, pair_id FROM pairable")
+def pairable_pairs(s, d):
+    return pairable(s, d).select("concept", "ref_id", "pair_id")
+
+
+@query("true_pairing", f"WITH {sql.PAIRABLE} SELECT concept::BIGINT AS concept, ref_id, pair_id, true_pairing FROM truth")
+def true_pairing(s, d):
+    return truth(s, d).select("concept", "ref_id", "pair_id", "true_pairing")
+
+
+@query("rank_scores", f"WITH {sql.ranked(False)} SELECT ref_id, pair_id, score_rank::INT AS score_rank FROM ranked")
+def rank_scores(s, d):
+    return ranked(s, d, False).select("ref_id", "pair_id", "score_rank")
+
+
+@query("rank_scores_by_group", f"WITH {sql.ranked(True)} SELECT ref_id, pair_id, score_rank::INT AS score_rank FROM ranked")
+def rank_scores_by_group(s, d):
+    return ranked(s, d, True).select("ref_id", "pair_id", "score_rank")
+
+
+@query("best_rank_filter", f"WITH {sql.ranked(True)}, two AS (SELECT *, CASE WHEN round(score_head, 10) <> 0 THEN dense_rank() OVER (PARTITION BY ref_id, pair_group ORDER BY round(score_head, 10) DESC NULLS LAST) END AS head_rank FROM ranked) SELECT ref_id, pair_id, score_rank::INT AS score_rank, head_rank::INT AS score_head_rank FROM two WHERE least(score_rank, head_rank) <= 10")
+def best_rank_filter(s, d):
+    return ranking.calc_ranks_all_scores(truth(s, d), ["score", "score_head"], "ref_id", "pair_group").select("ref_id", "pair_id", "score_rank", "score_head_rank")
+
+
+@query("correct_match_max_rank", f"WITH {sql.ranked(True)} SELECT ref_id, pair_group, pair_id, max(CASE WHEN true_pairing THEN score_rank END) OVER (PARTITION BY ref_id, pair_group)::INT AS max_rank FROM ranked")
+def correct_match_max_rank(s, d):
+    return ranking.correct_match_max_rank(ranked(s, d, True), ["ref_id", "pair_group"], "true_pairing", "score_rank").select("ref_id", "pair_group", "pair_id", "max_rank")
+
+
+@query("top_with_ties", f"WITH {sql.PAIRABLE} SELECT ref_id, pair_id, round(score, 6) AS score FROM (SELECT *, rank() OVER (PARTITION BY ref_id ORDER BY round(score, 10) DESC NULLS LAST) AS k FROM pairable) WHERE k <= 10")
+def top_with_ties(s, d):
+    return ranking.top_with_ties(pairable(s, d), ["ref_id"], "score", 10).select("ref_id", "pair_id", *six("score"))
+
+
+@query("row_numbers", f"WITH {sql.PAIRABLE} SELECT ref_id, pair_id, row_number() OVER (PARTITION BY ref_id ORDER BY pair_id)::INT AS row_number FROM pairable")
+def row_numbers(s, d):
+    return ranking.row_numbers(pairable(s, d), ["ref_id"], ["pair_id"]).select("ref_id", "pair_id", "row_number")
+
+
+def _actual(mode: str) -> None:
+    group = None if mode == "none" else "ref_group"
+    cols = ["concept", "ref_id", "n_ref_id", "actual_pairings", "n_actual_pairings"] + (["ref_group", "n_ref_group"] if group else [])
+    oracle = f"WITH {sql.PAIRABLE}, {sql.actual(mode)} SELECT {', '.join('concept::BIGINT AS concept' if c == 'concept' else c for c in cols)} FROM actual"
+    query(f"actual_pairs_{mode}", oracle)(lambda s, d: evaluation.summarize_actual_pairings(pairable(s, d), "ref_id", "concept", group, mode == "set").select(*cols))
+
+
+def _predictions(mode: str) -> None:
+    correct = mode == "set"
+    oracle = f"WITH {sql.predictions(correct)} SELECT concept::BIGINT AS concept, * EXCLUDE (concept) FROM predicted"
+    query(f"predictions_{mode}", oracle)(lambda s, d: evaluation.summarize_predictions(ranked(s, d, correct), ["ref_id", "ref_group"], "true_pairing", "score_rank", multiple_correction=correct, paired_group="pair_group", class_col="concept"))
+
+
+def accuracy(s, d, correct, **kw):
+    data = ranked(s, d, correct)
+    return evaluation.calc_accuracy(data.withColumn("concept", F.col("concept").cast("string")), "ref_id", "concept", "score_rank", group="ref_group", paired_group="pair_group", multiple_correction=correct, **kw)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _accuracy(mode: str) -> None:
+    correct = mode == "set"
+    query(f"accuracy_{mode}", f"WITH {sql.accuracy(correct)} SELECT * FROM full_report")(lambda s, d: rounded(accuracy(s, d, correct)))
+
+
+for _mode in ("none", "var", "set"):
+    _actual(_mode)
+for _mode in ("var", "set"):
+    _predictions(_mode)
+    _accuracy(_mode)
+
+N_COLS = [f"n_top{k}{t}_pred" for k in (1, 5, 10) for t in ("", "_true")] + ["n_actual_pairings", "n_ref_id", "n_ref_group"]
+
+
+@query("accuracy_per_class", f"WITH {sql.accuracy(True)} SELECT DISTINCT concept, {', '.join(N_COLS)}, {sql.rates('n_')} FROM stacked")
+def accuracy_per_class(s, d):
+    return rounded(accuracy(s, d, True, per_ref=False))
+
+
+@query(
+    "accuracy_totals",
+    f"SELECT * FROM (WITH {sql.accuracy(True)} SELECT concept, 'set' AS score, n_top1_precision, n_top5_recall, n_top10_F1 FROM full_report WHERE concept LIKE 'All %') UNION ALL SELECT * FROM (WITH {sql.accuracy(False)} SELECT concept, 'var', n_top1_precision, n_top5_recall, n_top10_F1 FROM full_report WHERE concept LIKE 'All %')",
+)
+def accuracy_totals(s, d):
+    both_ = evaluation.combine_accuracy_results({"set": accuracy(s, d, True), "var": accuracy(s, d, False)}, True, "concept")
+    return both_.select("concept", "score", *six("n_top1_precision", "n_top5_recall", "n_top10_F1"))
+
+
+@query("accuracy_differences", f"WITH {sql.accuracy(True)} SELECT concept, ref_id, round(n_top5_pred - n_top1_pred, 6)::BIGINT AS diff_n_top5_pred_n_top1_pred, (n_top10_pred - n_top1_pred)::BIGINT AS diff_n_top10_pred_n_top1_pred FROM full_report")
+def accuracy_differences(s, d):
+    out = evaluation.calc_cols_differences(accuracy(s, d, True), ["n_top1_pred", "n_top5_pred", "n_top10_pred"])
+    return out.select("concept", "ref_id", "diff_n_top5_pred_n_top1_pred", "diff_n_top10_pred_n_top1_pred")
+
+
+@query("class_recall_precision", f"WITH {sql.ranked(False)} SELECT concept::BIGINT AS concept, count(*) FILTER (WHERE h AND t) AS hits, count(*) FILTER (WHERE t) AS true_pairs, count(*) FILTER (WHERE h) AS predicted_pairs, round(coalesce(count(*) FILTER (WHERE h AND t)::DOUBLE / nullif(count(*) FILTER (WHERE t), 0), 0), 6) AS recall, round(coalesce(count(*) FILTER (WHERE h AND t)::DOUBLE / nullif(count(*) FILTER (WHERE h), 0), 0), 6) AS precision FROM (SELECT concept, true_pairing AS t, coalesce(score_rank <= 10, false) AS h FROM ranked) GROUP BY concept")
+def class_recall_precision(s, d):
+    flagged = ranked(s, d, False).withColumn("predicted", F.coalesce(F.col("score_rank") <= 10, F.lit(False)))
+    return rounded(evaluation.class_recall_precision(flagged, "concept", "true_pairing", "predicted"))
+
+
+# Combined scores -----------------------------------------------------------------------------------------------------
+
+
+def part_scores(s, d):
+    k = F.col("p_partkey")
+    return table(s, d, "part").select(k.alias("id"), ((F.col("p_size") % 11) / F.lit(10.0)).alias("s1"), ((k % 7) / F.lit(6.0)).alias("s2"), F.when(k % 5 != 0, (k % 13) / F.lit(12.0)).alias("s3"), ((k % 17) / F.lit(16.0)).alias("s4"))
+
+
+FILLED = f"{sql.PART_SCORES}, f AS (SELECT id, s1, s2, coalesce(s3, 0) AS s3, s4 FROM ps)"
+
+
+def _combine(name: str, cols: list[str], power: str, variant: str = "coded") -> None:
+    query(name, f"WITH {FILLED} SELECT id, round(1 - power(1 - s1, 1 + {power}), 6) AS combined FROM f")(
+        lambda s, d: combine.calc_combined_scores(part_scores(s, d), {"combined": cols}, variant=variant).select("id", *six("combined"))
+    )
+
+
+_combine("combine_2", ["s1", "s2"], "power(s2, 2)")
+_combine("combine_3", ["s1", "s2", "s3"], "power(s2, 2) + power(s3, 3)")
+_combine("combine_4", ["s1", "s2", "s3", "s4"], "power(s1, 2) + power(s2, 3) + power(s3, 3)")
+_combine("combine_4_documented", ["s1", "s2", "s3", "s4"], "power(s2, 2) + power(s3, 3) + power(s4, 3)", "documented")
+
+
+@query("coalesce_scores", f"WITH {sql.PART_SCORES} SELECT id, round(coalesce(s3, s4), 6) AS known FROM ps")
+def coalesce_scores(s, d):
+    return combine.coalesce_scores(part_scores(s, d), {"known": ("s3", "s4")}).select("id", *six("known"))
+
+
+@query("top_ratio", f"WITH {sql.ranked(True)} SELECT ref_id, pair_group, round(max(CASE WHEN score_rank = 1 THEN score END) / nullif(max(CASE WHEN score_rank = 2 THEN score END), 0), 6) AS ratio FROM ranked GROUP BY ALL")
+def top_ratio(s, d):
+    return combine.top_scores_ratio(ranked(s, d, True), "score", "score_rank", ["ref_id", "pair_group"]).select("ref_id", "pair_group", *six("ratio"))
+
+
+@query("pct_top", f"WITH {sql.ranked(True)} SELECT ref_id, pair_id, round(score / nullif(max(CASE WHEN score_rank = 1 THEN score END) OVER (PARTITION BY ref_id, pair_group), 0), 6) AS percent FROM ranked")
+def pct_top(s, d):
+    return combine.percent_of_top(ranked(s, d, True), "score", "score_rank", ["ref_id", "pair_group"]).select("ref_id", "pair_id", *six("percent"))
+
+
+# Joins ---------------------------------------------------------------------------------------------------------------
+
+
+def key_scores(s, d):
+    li = table(s, d, "lineitem")
+    a = li.where("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("reference_id"), F.col("l_linenumber").alias("paired_id")).agg(F.round(F.avg("l_discount"), 6).alias("score"))
+    b = li.where("l_quantity > 45").groupBy(F.col("l_suppkey").alias("reference_id"), F.col("l_linenumber").alias("paired_id")).agg(F.round(F.avg("l_tax"), 6).alias("score"))
+    return a, b
+
+
+KEYED = "a AS (SELECT l_suppkey AS reference_id, l_linenumber AS paired_id, round(avg(l_discount), 6) AS score FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), b AS (SELECT l_suppkey AS reference_id, l_linenumber AS paired_id, round(avg(l_tax), 6) AS score FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)"
+
+
+@query("full_join_scores", f"WITH {KEYED} SELECT reference_id, paired_id, a.score AS score_desc, b.score AS score_units FROM a FULL JOIN b USING (reference_id, paired_id)")
+def full_join_scores(s, d):
+    a, b = key_scores(s, d)
+    return joins.merge_scores({"desc": a, "units": b})
+
+
+@query("left_join_scores", f"WITH {KEYED} SELECT a.reference_id AS ref, a.paired_id AS pair, a.score AS discount, b.score AS tax FROM a LEFT JOIN b USING (reference_id, paired_id)")
+def left_join_scores(s, d):
+    a, b = key_scores(s, d)
+    left = a.toDF("ref", "pair", "discount")
+    return joins.join_different(left, b, {"ref": "reference_id", "pair": "paired_id"}).select("ref", "pair", "discount", F.col("score").alias("tax"))
+
+
+@query("merge_score_results", f"WITH {KEYED} SELECT reference_id, paired_id, a.score AS score_x, b.score AS score_y FROM a RIGHT JOIN b USING (reference_id, paired_id)")
+def merge_score_results(s, d):
+    return joins.merge_score_results(*key_scores(s, d), how="right")
+
+
+@query("reduce_join", "SELECT n_nationkey AS nation, n_name AS name, c.n AS customers, s.n AS suppliers FROM nation FULL JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY ALL) c USING (n_nationkey) FULL JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS n FROM supplier GROUP BY ALL) s USING (n_nationkey)")
+def reduce_join(s, d):
+    c = table(s, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    p = table(s, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    cols = [{"nation": "n_nationkey", "name": "n_name"}, {"nation": "c_nationkey", "customers": "n"}, {"nation": "s_nationkey", "suppliers": "n"}]
+    return joins.reduce_join(table(s, d, "nation"), [c, p], cols, "full", s)
+
+
+@query("natural_left_join", "SELECT n_nationkey, n_name, n.n_regionkey, r_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey")
+def natural_left_join(s, d):
+    r = table(s, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return joins.natural_join(table(s, d, "nation"), r).select("n_nationkey", "n_name", "n_regionkey", "r_name")
+
+
+@query("semi_filter", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def semi_filter(s, d):
+    return joins.keep_known(table(s, d, "customer"), "c_nationkey", table(s, d, "supplier"), "s_nationkey").select("c_custkey", "c_nationkey")
+
+
+@query("grouped_semi", "SELECT doc_id, lang, source FROM documents d WHERE EXISTS (SELECT 1 FROM documents o JOIN labels l ON o.doc_id = l.doc_id WHERE l.toxic = 1 AND o.lang = d.lang AND o.source = d.source)")
+def grouped_semi(s, d):
+    x = table(s, d, "documents")
+    toxic = x.join(table(s, d, "labels").where("toxic = 1"), "doc_id").select("lang", F.col("source").alias("known"))
+    return joins.keep_known_in_group(x, "lang", "source", toxic, "known").select("doc_id", "lang", "source")
+
+
+@query("cross_theta", "SELECT a.n_name AS name_1, b.n_name AS name_2 FROM nation a, nation b WHERE a.n_regionkey <> b.n_regionkey")
+def cross_theta(s, d):
+    a = table(s, d, "nation").select(F.col("n_name").alias("name_1"), F.col("n_regionkey").alias("region_1"))
+    b = distribution.as_partner(a)
+    return distribution.calc_pairings_data(b, a, F.col("region_1") != F.col("region_2")).select("name_1", "name_2")
+
+
+@query("symmetry", f"WITH {sql.UNIT}, s AS (SELECT r.vec_id AS reference_id, p.vec_id AS paired_id, round(list_dot_product(r.v, p.v), 6) AS score FROM u r, u p WHERE r.vec_id % 50 = 0) SELECT s.*, t.score AS score_reverse FROM s LEFT JOIN s t ON s.reference_id = t.paired_id AND s.paired_id = t.reference_id")
+def symmetry(s, d):
+    v = unit_vectors(s, d)
+    return joins.with_reverse(scored(scoring.dense_scores(stated(v), v)))
+
+
+@query("union_by_name", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, 'customer' AS study FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, 'supplier' FROM supplier")
+def union_by_name(s, d):
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit("customer").alias("study"))
+    p = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("study"))
+    return joins.union_by_name(c, p)
+
+
+@query("exploded_pairs", "SELECT conv_id, unnest(t) AS turn, unnest(r) AS role FROM (SELECT conv_id, list(turn ORDER BY turn) AS t, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)")
+def exploded_pairs(s, d):
+    x = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    g = table(s, d, "conversations").groupBy("conv_id").agg(x.alias("x")).select("conv_id", F.col("x.turn").alias("turn"), F.col("x.role").alias("role"))
+    return joins.exploded_pairs(g, "turn", "role").select("conv_id", "turn", "role")
+
+
+# Distributions -------------------------------------------------------------------------------------------------------
+
+
+def supplier_stats(s, d):
+    q = F.col("l_quantity")
+    two = lambda c: c.cast("decimal(18,2)").cast("string")
+    g = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min(q).alias("a"), F.max(q).alias("b"), F.round(F.median(q), 2).alias("c"), F.round(F.stddev_samp(q), 2).alias("e"))
+    sd = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("; sd="), two(F.col("e"))))
+    return g.select("id", F.concat(F.lit("min="), two(F.col("a")), F.lit("; max="), two(F.col("b")), F.lit("; median="), two(F.col("c")), sd).alias("dist"))
+
+
+@query("dist_parse", f"WITH {sql.STATS_ROWS} SELECT id, mi AS min, ma AS max, me AS median, sd, ra AS range FROM parsed")
+def dist_parse(s, d):
+    return supplier_stats(s, d).select("id", stats.parsed_stats(F.col("dist")).alias("x")).select("id", "x.*")
+
+
+def supplier_pairs(s, d):
+    one = supplier_stats(s, d)
+    refs = one.where("id % 50 = 0").select(F.col("id").alias("ref_id"), F.col("dist").alias("ref_dist"))
+    pairs = one.select(F.col("id").alias("pair_id"), (F.col("id") % 5).alias("pair_group"), F.col("dist").alias("pair_dist"))
+    met = distribution.calc_pairings_data(pairs, refs, (F.col("ref_id") % 5 != F.col("pair_group") + 1) & (F.col("ref_id") != F.col("pair_id")))
+    return distribution.distribution_scores(met, "ref_dist", "pair_dist")
+
+
+@query("dist_scores", f"WITH {sql.DISTANCES} SELECT ref_id, pair_id, round(euclidean, 6) AS euclidean, round(relative, 6) AS relative FROM dist")
+def dist_scores(s, d):
+    return supplier_pairs(s, d).select("ref_id", "pair_id", *six("euclidean", "relative"))
+
+
+@query("dist_scaled", f"WITH {sql.DISTANCES} SELECT ref_id, pair_id, round(1 - (euclidean - min(euclidean) OVER w) / nullif(max(euclidean) OVER w - min(euclidean) OVER w, 0), 6) AS scaled FROM dist WINDOW w AS (PARTITION BY ref_id, pair_group)")
+def dist_scaled(s, d):
+    return distribution.scaled_similarity(supplier_pairs(s, d), "euclidean", ["ref_id", "pair_group"]).select("ref_id", "pair_id", *six("scaled"))
+
+
+@query("continuous_variables", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS labels, CASE WHEN event_id % 2 = 0 THEN 'mean=1' ELSE props END AS dist FROM events) WHERE labels IS NULL AND regexp_matches(dist, '(mean|median|min|max|sd)\\s*=')")
+def continuous_variables(s, d):
+    k = F.col("event_id")
+    e = table(s, d, "events").select(k, F.when(k % 3 == 0, F.col("event_type")).alias("labels"), F.when(k % 2 == 0, "mean=1").otherwise(F.col("props")).alias("dist"))
+    return distribution.continuous_variables(e, "labels", "dist").select("event_id")
+
+
+# Ids, lists, profiles ------------------------------------------------------------------------------------------------
+
+
+@query("id_concat", "SELECT event_id, 'phs' || '.' || event_type || '.' || user_id AS id, 'phs.' || coalesce(CASE WHEN user_id % 2 = 0 THEN event_type END, 'NA') AS pasted FROM events")
+def id_concat(s, d):
+    even = F.when(F.col("user_id") % 2 == 0, F.col("event_type"))
+    return table(s, d, "events").select("event_id", text.id_concat(F.lit("phs"), "event_type", "user_id").alias("id"), text.id_concat(F.lit("phs"), even, null="NA").alias("pasted"))
+
+
+LISTS = "l AS (SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY ALL)"
+
+
+def nation_lists(s, d):
+    return table(s, d, "nation").groupBy("n_regionkey").agg(profile.joined_values("n_name", "; ").alias("names"))
+
+
+@query("listed_member", f"WITH {LISTS} SELECT n.n_nationkey, l.n_regionkey, list_contains(string_split(names, '; '), n.n_name) AS listed FROM nation n, l")
+def listed_member(s, d):
+    return table(s, d, "nation").select("n_nationkey", "n_name").crossJoin(nation_lists(s, d)).select("n_nationkey", "n_regionkey", text.listed(F.col("names"), F.col("n_name")).alias("listed"))  # 25 x 5 rows
+
+
+@query("explode_list", f"WITH {LISTS} SELECT n_regionkey, unnest(string_split(names, '; ')) AS name FROM l")
+def explode_list(s, d):
+    return nation_lists(s, d).select("n_regionkey", text.exploded(F.col("names")).alias("name"))
+
+
+@query("joined_values", f"WITH {LISTS} SELECT n_regionkey, names FROM l")
+def joined_values(s, d):
+    return nation_lists(s, d)
+
+
+@query("char_overlap", "SELECT p_partkey, len(list_intersect(list_distinct(string_split(p_name, '')), list_distinct(string_split(p_brand, ''))))::INT AS overlap FROM part")
+def char_overlap(s, d):
+    return table(s, d, "part").select("p_partkey", text.char_overlap(F.col("p_name"), F.col("p_brand")).alias("overlap"))
+
+
+@query("crosstab", "SELECT lang, toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def crosstab(s, d):
+    return profile.crosstab(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left"), "lang", "toxic")
+
+
+@query("null_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) AS rows FROM documents LEFT JOIN labels USING (doc_id)" for c in ("doc_id", "lang", "quality", "toxic")))
+def null_profile(s, d):
+    return profile.null_profile(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic"))
+
+
+@query("numeric_summary", "SELECT event_type, count(value) AS n, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY event_type")
+def numeric_summary(s, d):
+    return rounded(profile.numeric_summary(table(s, d, "events"), "value", ["event_type"]))
+
+
+@query("grouped_max", "SELECT event_id, event_type, max(value) OVER (PARTITION BY event_type) AS top FROM events")
+def grouped_max(s, d):
+    return profile.grouped_max(table(s, d, "events"), ["event_type"], "value", "top").select("event_id", "event_type", "top")
+
+
+@query("pair_type_counts", "SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_tax = 0) AS tax_free, count(*) FILTER (WHERE l_discount > 0.05) AS cheap FROM lineitem GROUP BY ALL")
+def pair_type_counts(s, d):
+    return profile.pair_type_counts(table(s, d, "lineitem"), ["l_returnflag"], {"tax_free": F.col("l_tax") == 0, "cheap": F.col("l_discount") > 0.05})
+
+
+@query("pivot_ranks", "SELECT l_suppkey, round(avg(l_tax) FILTER (WHERE l_returnflag = 'A'), 6) AS A, round(avg(l_tax) FILTER (WHERE l_returnflag = 'N'), 6) AS N, round(avg(l_tax) FILTER (WHERE l_returnflag = 'R'), 6) AS R FROM lineitem GROUP BY ALL")
+def pivot_ranks(s, d):
+    g = table(s, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.avg("l_tax"), 6).alias("x"))
+    return profile.spread(g, ["l_suppkey"], "l_returnflag", "x", ["A", "N", "R"])
+
+
+@query("unpivot_scores", f"WITH {sql.PART_SCORES} SELECT id, 's1' AS key, round(s1, 6) AS value FROM ps UNION ALL SELECT id, 's3', round(s3, 6) FROM ps")
+def unpivot_scores(s, d):
+    return profile.gather(rounded(part_scores(s, d)), ["id"], ["s1", "s3"])
+
+
+@query("ecdf", f"WITH {sql.ranked(True)}, two AS (SELECT score_rank - dense_rank() OVER (PARTITION BY ref_id, pair_group ORDER BY round(score_head, 10) DESC) AS value FROM ranked WHERE round(score_head, 10) <> 0), c AS (SELECT value, count(*) AS n FROM two WHERE value IS NOT NULL GROUP BY value) SELECT value::INT AS value, n, round(sum(n) OVER (ORDER BY value) / (SELECT sum(n) FROM c), 6) AS density FROM c")
+def ecdf(s, d):
+    r = ranking.calc_ranks_all_scores(truth(s, d).where("round(score_head, 10) <> 0"), ["score_head"], "ref_id", "pair_group", filter_ranks=False).select("ref_id", "pair_id", "score_head_rank")
+    both_ = ranked(s, d, True).join(r, ["ref_id", "pair_id"])
+    return profile.ecdf(both_, F.col("score_rank") - F.col("score_head_rank")).select("value", "n", *six("density"))
+
+
+@query("quantile_bins", "WITH c AS (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM events) SELECT event_id, (len([x FOR x IN cuts IF x < value]) + 1)::INT AS bin FROM events, c")
+def quantile_bins(s, d):
+    return profile.quantile_bins(table(s, d, "events"), "value").select("event_id", "bin")
+
+
+@query("tags", "SELECT l_orderkey, l_linenumber, concat_ws('_', CASE WHEN l_tax = 0 THEN 'score_0' END, CASE WHEN l_discount = 0.1 THEN 'score_1' END, CASE WHEN l_returnflag = 'N' THEN 'doc_na' END) AS tags, CASE l_linestatus WHEN 'O' THEN 'categorical' WHEN 'F' THEN 'continous' ELSE l_linestatus END AS kind FROM lineitem")
+def tags(s, d):
+    t = profile.tags({"score_0": F.col("l_tax") == 0, "score_1": F.col("l_discount") == 0.1, "doc_na": F.col("l_returnflag") == "N"})
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", t.alias("tags"), profile.value_map(F.col("l_linestatus"), {"O": "categorical", "F": "continous"}).alias("kind"))
+
+
+@query("top_flags", f"WITH {sql.ranked(True)} SELECT ref_id, pair_id, coalesce(score_rank <= 1, false) AS top1, coalesce(score_rank <= 5, false) AS top5, CASE WHEN score_rank = 1 THEN '1' WHEN score_rank <= 5 THEN '2-5' WHEN score_rank <= 10 THEN '6-10' WHEN score_rank > 10 THEN '>10' END AS bucket FROM ranked")
+def top_flags(s, d):
+    r = ranked(s, d, True)
+    return r.withColumns(profile.top_flags(F.col("score_rank"), (1, 5))).select("ref_id", "pair_id", "top1", "top5", profile.rank_bucket(F.col("score_rank")).alias("bucket"))
+
+
+@query("head_and_tail", "(SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100) UNION ALL (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 100)")
+def head_and_tail(s, d):
+    return profile.head_and_tail(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
+
+
+@query("sample_rows")
+def sample_rows(s, d):
+    return profile.sample_rows(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, 22895)
+
+
+@query("numeric_cast", "SELECT event_id, try_cast(regexp_extract(props, '[0-9]+') AS DOUBLE) AS k, try_cast(event_type AS DOUBLE) AS t FROM events")
+def numeric_cast(s, d):
+    e = table(s, d, "events").withColumn("digits", F.regexp_extract("props", "[0-9]+", 0))
+    return e.select("event_id", profile.numeric("digits").alias("k"), profile.numeric("event_type").alias("t"))
+
+
+@query("distinct_rows", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def distinct_rows(s, d):
+    return table(s, d, "customer").select("c_nationkey", "c_mktsegment").dropDuplicates()
+
+
+@query("n_unique", "SELECT lang, (count(DISTINCT quality) + max((quality IS NULL)::INT))::BIGINT AS n, ((count(DISTINCT quality) + max((quality IS NULL)::INT)) * (count(DISTINCT toxic) + max((toxic IS NULL)::INT) - 1))::BIGINT AS pairings FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def n_unique(s, d):
+    x = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
+    return x.groupBy("lang").agg(stats.n_unique(F.col("quality")).alias("n"), stats.n_pairings(F.col("quality"), F.col("toxic")).alias("pairings"))
+
+
+@query("row_extremes", f"WITH {sql.PART_SCORES} SELECT id, CASE WHEN s3 IS NOT NULL THEN round(greatest(s1, s2, s3), 6) END AS strict_max, round(least(s1, s2, coalesce(s3, 9)), 6) AS min_known FROM ps")
+def row_extremes(s, d):
+    return part_scores(s, d).select("id", F.round(stats.strict_greatest(F.col("s1"), F.col("s2"), F.col("s3")), 6).alias("strict_max"), F.round(F.least("s1", "s2", "s3"), 6).alias("min_known"))
+
+
+CONCEPTS = "SELECT p_partkey AS concept_id, p_name AS concept_name, p_type AS concept_class_id, CASE WHEN p_partkey % 9 = 0 THEN '20201231' ELSE '20991231' END AS valid_end_date, CASE WHEN p_partkey % 4 = 0 THEN 'D' ELSE '' END AS invalid_reason, p_brand AS domain_id FROM part"
+
+
+def part_concepts(s, d):
+    k = F.col("p_partkey")
+    return table(s, d, "part").select(k.alias("concept_id"), F.col("p_name").alias("concept_name"), F.col("p_type").alias("concept_class_id"), F.when(k % 9 == 0, "20201231").otherwise("20991231").alias("valid_end_date"), F.when(k % 4 == 0, "D").otherwise("").alias("invalid_reason"), F.col("p_brand").alias("domain_id"))
+
+
+@query("concept_filter", f"SELECT concept_id, concept_name FROM ({CONCEPTS}) WHERE concept_class_id IN ('ECONOMY', 'STANDARD') AND valid_end_date = '20991231' AND invalid_reason = ''")
+def concept_filter(s, d):
+    return profile.concept_filter(part_concepts(s, d), ["ECONOMY", "STANDARD"]).select("concept_id", "concept_name")
+
+
+@query("concept_dictionary", f"SELECT concept_id::VARCHAR AS variable_id, concept_name AS variable_description, domain_id AS \"dbGaP_dataset_label\", 'SNOMED' AS \"dbGaP_study_id\" FROM ({CONCEPTS})")
+def concept_dictionary(s, d):
+    return ontology.as_dictionary(part_concepts(s, d))
+
+
+@query("concept_lookup", "SELECT DISTINCT p_partkey AS \"conceptId\", p_name AS term FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey = 7)")
+def concept_lookup(s, d):
+    terms = table(s, d, "part").where("p_partkey = 7").select(F.col("p_name").alias("term"))
+    return ontology.concept_lookup(table(s, d, "part").select(F.col("p_partkey").alias("conceptId"), F.col("p_name").alias("term")), terms).distinct().select("conceptId", "term")
+
+
+@query("term_by_id", "SELECT p_name AS term FROM part WHERE p_partkey = 11")
+def term_by_id(s, d):
+    table(s, d, "part").select(F.col("p_partkey").alias("conceptId"), F.col("p_name").alias("term")).createOrReplaceTempView("text_definition")
+    return ontology.term_by_id(s, "text_definition", 11)
+
+
+@query("first_concepts", "SELECT concept_id, concept_name FROM (" + CONCEPTS + ") ORDER BY concept_id LIMIT 3")
+def first_concepts(s, d):
+    return ontology.first_concepts(part_concepts(s, d)).select("concept_id", "concept_name")

@@ -1 +1 @@
-"""streaming."""
+"""Incremental scoring of new documents."""
