@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm._spark import small_batches
 from matchloom.llm._text import text_slices
 
 DIM = 4096
@@ -123,6 +124,7 @@ def decode(margins: np.ndarray, code: np.ndarray, weights: np.ndarray) -> np.nda
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """Fits on a bounded sample of the rows of `docs` (text, lang, doc_id) that have both; held-out rows must be gone already."""
+    small_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     langs = sorted(counts)

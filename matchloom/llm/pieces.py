@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from matchloom.llm._spark import small_batches
 from matchloom.llm._text import mix, ragged, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -315,6 +316,7 @@ def decode_ids(ids: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.ndar
 
 def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
     """`keep` columns with n_tokens, ids, round_trip (whether decoding gives the text's bytes back)."""
+    small_batches(docs.sparkSession)
     model = load(path)
 
     def run(batches):
@@ -335,6 +337,7 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
 
 def decode(tokens: DataFrame, keep: list[str], ids: str = "ids", path: str = MODEL) -> DataFrame:
     """`keep` columns with the decoded text; null ids give an empty text, bytes that are no UTF-8 become U+FFFD."""
+    small_batches(tokens.sparkSession)
     model = load(path)
 
     def run(batches):

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm._spark import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -275,6 +277,7 @@ def written_spans(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, sample: int = SAMPLE, needed: float = NEEDED) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every document."""
+    small_batches(docs.sparkSession)
     model = train(docs, sample)
 
     def run(batches):
