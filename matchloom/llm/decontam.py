@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A first pass over the corpus counts in how many
-documents each n-gram of a test item occurs. Each item keeps the rarest `share` of its n-grams as seeds (ties included,
-no absolute cap, so an item that leaked everywhere still has seeds). A second pass finds seeds in the documents, gathers
+documents each n-gram of a test item occurs. Of the n-grams that occur at all, each item keeps the rarest `share` as seeds
+(ties included, no absolute cap, so an item that leaked everywhere still has seeds). A second pass finds seeds in the documents, gathers
 those of one item on nearby diagonals into passages, and aligns each passage with its item word by word
 (match +2, mismatch -1, gap -1). The score is the best local alignment divided by a full match; pairs at or above
 `threshold` are contaminated, which covers paraphrased and edited copies.
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm._spark import small_batches
 from matchloom.llm._text import mix, punctuation_table, spread, text_slices, word_hashes
 
 N = 4
@@ -160,8 +161,10 @@ def one_block(docs: DataFrame, ids: list[int], texts: list[str | None], n: int,
     keep = np.zeros(len(g), bool)
     for i in np.unique(item):
         own = np.flatnonzero(item == i)
-        f = df[number[own]]
-        keep[own] = f <= np.sort(f)[max(0, int(np.ceil(share * len(own))) - 1)]
+        own = own[df[number[own]] > 0]
+        if len(own):
+            f = df[number[own]]
+            keep[own] = f <= np.sort(f)[int(np.ceil(share * len(own))) - 1]
     order = np.flatnonzero(keep)[np.argsort(number[keep], kind="stable")]
     seeds, counts = np.unique(number[order], return_counts=True)
     index = {"ends": np.concatenate([[0], np.cumsum(counts)]), "item": item[order], "at": at[order], "words": words, "lens": np.array([len(w) for w in words]), "threshold": threshold}
@@ -182,6 +185,7 @@ def one_block(docs: DataFrame, ids: list[int], texts: list[str | None], n: int,
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = N, share: float = SHARE, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, n_seeds, score, first_word, last_word) of every document that holds a test item."""
+    small_batches(docs.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text") + 1).alias("n")).first()["n"] or 0  # at least twice the words
     blocks = max(1, -(-total // (2 * block_words)))
