@@ -61,11 +61,12 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     all_lines = F.split(F.col(text), "\n")
     kept = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(gone, line_key(x)), F.lit(False)))
     new = F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    columns = [(new if c == text else F.col(c)).alias(name) for c, name in zip(pages.columns, names, strict=True)]
+    columns = [new.alias(c) if c == text else F.col(c) for c in pages.columns]
     if stats:
         n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long")
         columns += [n.alias("n_lines"), F.when(gone.isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped")]
-    return out.select(*columns)
+        names = [*names, "n_lines", "n_dropped"]
+    return out.select(*columns).toDF(*names)
 
 
 def visible_text(html: Column) -> Column:

@@ -90,8 +90,7 @@ def shard_rows(rows: DataFrame, key: str, shards: int, vnodes: int = VNODES, sla
     w = Window.partitionBy("own_cell").orderBy("point", F.col(key))
     ranked = placed.withColumn("place", F.row_number().over(w).cast("long") - 1)
     on = (ranked["own_cell"] == runs["cell"]) & (ranked["place"] >= runs["lo"]) & (ranked["place"] < runs["hi"])
-    own = [F.col(c).alias(n) for c, n in zip(rows.columns, names, strict=True)]
-    return ranked.join(F.broadcast(runs), on).select(*own, "shard", (F.col("slot0") + F.col("place") - F.col("lo")).alias("slot"))
+    return ranked.join(F.broadcast(runs), on).select(*rows.columns, "shard", (F.col("slot0") + F.col("place") - F.col("lo")).alias("slot")).toDF(*names, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8, slack: float = 0.0) -> DataFrame:
