@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from matchloom.llm._spark import cut
 
+#: Links are few next to the rows they come from; steps use a task for so many counted ones, not a task per shuffle partition.
+ROWS_PER_TASK = 100_000
+
 
 def both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,14 +27,15 @@ def components(links: DataFrame) -> DataFrame:
     what the adaptive skew join splits; the links of each step are kept in the shared folder.
     """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    tasks = edges.count() // ROWS_PER_TASK + 1
     seen = None
     while True:
-        two = both_ways(edges)
-        large = two.join(smallest(two), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        two = both_ways(edges.coalesce(tasks))
+        large = two.join(smallest(two).coalesce(tasks), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").coalesce(tasks)
+        least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).coalesce(tasks).distinct().coalesce(tasks))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
         if state == seen:
             break

@@ -4,7 +4,7 @@ A document's set holds its distinct k-word shingles. Documents with one set form
 its size), and classes with Jaccard similarity of at least 3/4 are linked; the result is the connected components.
 
 1. One map per document gives its class, set size, a histogram of its hashes and the packed hashes. The same map counts
-   shingles that are frequent in its slice; the summed counts rank the most frequent ones, all others rank as rare. Any
+   the shingles that several sets of its part have; the summed counts rank the most frequent ones, all others rank as rare. Any
    common order is right for prefix filtering; this one puts frequent shingles last.
 2. A set's prefix are its n - ceil(3n/4) + 1 rarest shingles, of which the first n - ceil(6n/7) + 1 are index entries:
    linked sets share a shingle that is in the prefix of the larger and among the index entries of the smaller one.
@@ -14,14 +14,19 @@ its size), and classes with Jaccard similarity of at least 3/4 are linked; the r
    at most 1 + min(n - i - 1, m - j - 1) common ones), then the suffix filter (the sets cut at fixed hash values: the sum
    of the smaller counts bounds the overlap), and is then verified on the sets, once per pair. Links merge components,
    and pairs inside a component need no look, so groups of near copies are never expanded into all pairs.
-4. When few pairs across components are left, all of them are tried: entries outside a bucket's largest component meet
-   all its entries. That last step makes the result exact whatever the rounds did.
-
-Distribution: nothing is broadcast but the table of at most FREQUENT ranks. Frequent shingles are spread over tasks, since
+4. When the rounds merge little more, all pairs across components are tried: entries outside a bucket's largest component
+   ask all its entries. Each task packs the partners of an asking entry into one row; rows of one entry meet, where each
+   partner is named once, if it shares as many prefix entries as linked sets must. That last step makes the result exact
+   whatever the rounds did. Where a crowded bucket leaves classes outside, those few classes are sent to all tasks and
+   counted against each class's prefix on the spot, so the pairs are never shuffled.
+
+Distribution: broadcast are the table of at most FREQUENT ranks and, if counted to be within BROADCAST_ROWS and
+BUSY_ENTRIES, the ids of the classes whose sets are needed and the entries of busy classes; beyond that, joins shuffle. Frequent shingles are spread over tasks, since
 they need no grouping to know that they are shared; the later joins by shingle aggregate before they shuffle, and hot
 buckets are split by the adaptive skew join. Sets are joined only for pairs that passed all filters.
 
-Exactness: shingles and classes are compared by 64-bit hashes, sets by 48 bits of them.
+Exactness: shingles and classes are compared by 64-bit hashes, sets by 40 bits of them, or more for larger sets (32 and
+the bits of the smaller histogram).
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing (component: own doc_id);
 1 to k-1 words are one shingle; repeated rows share class and component; a component's id is its smallest doc_id (null
@@ -32,19 +37,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm._spark import cut, written
-from matchloom.llm._text import mix, shingles, text_slices
+from matchloom.llm._spark import cut, drop, release, small_batches, written
+from matchloom.llm._text import mix, ragged, shingles, text_slices
 from matchloom.llm.components import components
 
 K = 5
-FREQUENT = 1 << 16
-ENTRIES = 1 << 20  # entries per task when prefixes meet
+FREQUENT = 1 << 21  # ranked shingles; 16 bytes each go to every task
+COUNTED = 1 << 22  # shingles that a task counts at once
+ENTRIES = 1 << 19  # entries per task when prefixes meet
+PAIRS_AT_ONCE = 1 << 20
+PARTNER = np.dtype([("cls", "<i8"), ("n", "<i4"), ("fits", "?")])
 HOT = 50_000  # a shingle counted in so many documents is spread over tasks
 ROUNDS = 8
-LOW = np.uint64((1 << 40) - 1)
+EASY = 64  # pairs to try per entry that need no further star round: listing a pair moves some 13 bytes, a round some 500 an entry
+CROWD = 256  # entries of a token from which on the classes outside its largest component are busy
+BUSY_ENTRIES = 1 << 19  # counted entries of busy classes that may be broadcast (20 MB)
+BROADCAST_ROWS = 1 << 20  # counted class ids that may be broadcast (16 MB); more are joined by shuffle
+LOW = np.uint64((1 << 32) - 1)
 
 
 def shared_least(n: Column, m: Column) -> Column:
@@ -58,19 +71,18 @@ def bin_bits(n: int) -> int:
 
 
 def pack(h: np.ndarray) -> tuple[bytes, bytes]:
-    """Histogram and packed lower 40 bits of sorted hashes; together they hold the upper 48 bits of each hash."""
-    v = h >> np.uint64(16)
+    """Histogram by the upper bits, and the 32 bits below bit 40 + bins, of sorted hashes; `unpack` puts both together."""
     b = bin_bits(len(h))
-    counts = np.bincount((v >> np.uint64(48 - b)).astype(np.int64), minlength=1 << b).astype(np.uint8)
-    return counts.tobytes(), (v & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    counts = np.bincount((h >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b).astype(np.uint8)
+    return counts.tobytes(), (h >> np.uint64(32 - b) & LOW).astype("<u4").tobytes()
 
 
-def unpack(sig: bytes, low: bytes) -> np.ndarray:
+def unpack(sig: bytes, low: bytes, bits: int) -> np.ndarray:
+    """The upper `bits` + 32 bits of each hash, `bits` being at most the histogram's."""
     counts = np.frombuffer(sig, np.uint8)
-    out = np.zeros((len(low) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-    top = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) >> np.uint64(len(counts).bit_length() - 9)
-    return out.view("<u8").ravel() | top << np.uint64(40)
+    own = len(counts).bit_length() - 1
+    whole = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(32) | np.frombuffer(low, "<u4").astype(np.uint64)
+    return whole >> np.uint64(own - bits)
 
 
 def overlap_bound(a: bytes, b: bytes) -> int:
@@ -93,35 +105,46 @@ FEATURES = "doc_id long, cls long, n int, sig binary, low binary, shingle long,
 def features(docs: DataFrame, k: int = K) -> DataFrame:
     """Rows of documents (shingle is null) and rows of slice-wise frequent shingles (cls is null and n too)."""
 
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+
+    def counted(held: list[np.ndarray]):
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        often = c > 1
+        m = int(often.sum())
+        return pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())), pa.array(u[often].view(np.int64)), pa.array(c[often].astype(np.int32))], names=names)
+
     def run(batches):
+        held, seen = [], set()
         for b in batches:
             ids = b.column(0)
             for lo, hi, data, offs in text_slices(b):
                 rows, h = shingles(data, offs, k)
-                cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
-                sets = [h[cuts[i] : cuts[i + 1]] for i in range(hi - lo)]
+                n = hi - lo
+                cuts = np.searchsorted(rows, np.arange(n + 1))
+                sets = [h[cuts[i] : cuts[i + 1]] for i in range(n)]
                 packed = [pack(s) if len(s) else (None, None) for s in sets]
-                u, c = np.unique(h, return_counts=True)
-                often = c >= max(4, (hi - lo) // 500)
-                none = lambda n, t: pa.nulls(n, t)
-                n, m = hi - lo, int(often.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, n), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), none(n, pa.int64()), none(n, pa.int32())],
-                    names=["doc_id", "cls", "n", "sig", "low", "shingle", "seen"],
-                )
+                cls = [class_of(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary()), pa.array(u[often].view(np.int64)), pa.array(c[often].astype(np.int32))],
-                    names=["doc_id", "cls", "n", "sig", "low", "shingle", "seen"],
+                    [ids.slice(lo, n), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
+                    names=names,
                 )
+                for c, one in zip(cls, sets, strict=True):  # copies count once
+                    if c is not None and c not in seen:
+                        seen.add(c)
+                        held.append(one.copy())
+                if sum(map(len, held)) > COUNTED:
+                    yield counted(held)
+                    held, seen = [], set()
+        if held:
+            yield counted(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def prefix_entries(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], k: int = K, hot: int = HOT) -> DataFrame:
+def prefix_entries(docs: DataFrame, ranks: Broadcast, k: int = K, hot: int = HOT) -> DataFrame:
     """(token, cls, np, spread): prefix entries; np = n << 32 | position; spread: where a hot token's entry goes, else the token."""
-    keys, seen = ranks
-
     def run(batches):
+        keys, seen = ranks.value
         for b in batches:
             for lo, hi, data, offs in text_slices(b, "text"):
                 rows, h = shingles(data, offs, k)
@@ -146,8 +169,29 @@ def prefix_entries(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], k: int
     return docs.select("text").mapInArrow(run, "token long, cls long, np long, spread long")
 
 
+def overlap_prefix(n: np.ndarray) -> np.ndarray:
+    """Number of index entries of a set of n shingles."""
+    return n - (6 * n + 6) // 7 + 1
+
+
+def fits(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length, index and positional filters on entries (size, position) of one token."""
+    small, pos = np.minimum(n, m), np.where(n < m, i, np.where(m < n, j, np.maximum(i, j)))
+    return (4 * small >= 3 * np.maximum(n, m)) & (pos < overlap_prefix(small)) & (1 + np.minimum(n - i - 1, m - j - 1) >= (3 * (n + m) + 6) // 7)
+
+
+def least_votes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Shared prefix tokens that linked sets of n and m shingles have at least. With an overlap of a, at most n - a of the
+    first set's prefix are not shared; the others stand among the second's first ones, of which at most m - a are not."""
+    a = (3 * (n + m) + 6) // 7
+    spare = [x - (3 * x + 3) // 4 + 1 - (x - a) for x in (n, m)]
+    return np.maximum(1, np.minimum(*spare))
+
+
 def shared_entries(entries: DataFrame, tasks: int) -> DataFrame:
-    """(token, cls, n, pos) of tokens that two classes share (of hot tokens: all entries), each entry once."""
+    """Entries (token, cls, n, pos) of tokens that two classes share (of hot tokens: all), each once; and, with a null
+    token, the first star round over the other tokens: (cls, pivot, votes), pivots being the smallest sets of a bucket
+    within a length band."""
 
     def run(batches):
         parts = [[np.asarray(b.column(c)) for c in range(4)] for b in batches]
@@ -155,7 +199,7 @@ def shared_entries(entries: DataFrame, tasks: int) -> DataFrame:
             return
         token, cls, both, spread = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.lexsort((cls, token))
+        order = np.lexsort((cls, both >> 32, token))
         token, cls, both, spread = token[order], cls[order], both[order], spread[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
@@ -164,11 +208,33 @@ def shared_entries(entries: DataFrame, tasks: int) -> DataFrame:
         keep = spread != token
         keep[1:] |= pair
         keep[:-1] |= pair
+        token, cls, both, lone = token[keep], cls[keep], both[keep], (spread != token)[keep]
+        n, pos = both >> 32, both & 0xFFFFFFFF
+        names = ["token", "cls", "n", "pos", "pivot", "votes"]
         for lo in range(0, len(token), 1 << 18):
-            at = np.flatnonzero(keep[lo : lo + (1 << 18)]) + lo
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(cls[at]), pa.array((both[at] >> 32).astype(np.int32)), pa.array((both[at] & 0xFFFFFFFF).astype(np.int32))], names=["token", "cls", "n", "pos"])
-
-    return entries.repartition(tasks, "spread").mapInArrow(run, "token long, cls long, n int, pos int")
+            at = slice(lo, lo + (1 << 18))
+            size = len(token[at])
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(cls[at]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())], names=names)
+        if not len(token):
+            return
+        band = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
+        pivot = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
+        at = np.flatnonzero(~first & ~lone)
+        at = at[fits(n[at], pos[at], n[pivot[at]], pos[pivot[at]])]
+        u, v = cls[at], cls[pivot[at]]
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        start = np.flatnonzero(new)
+        votes = np.diff(np.append(start, len(u))).astype(np.int32)
+        for lo in range(0, len(start), 1 << 18):
+            s = start[lo : lo + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int64()), pa.array(u[s]), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.int32()), pa.array(v[s]), pa.array(votes[lo : lo + (1 << 18)])], names=names)
+
+    return entries.repartition(tasks, "spread").mapInArrow(run, "token long, cls long, n int, pos int, pivot long, votes int")
 
 
 def passes(a: str, b: str) -> Column:
@@ -181,33 +247,196 @@ def passes(a: str, b: str) -> Column:
 
 
 def star_pairs(entries: DataFrame, step: int) -> DataFrame:
-    """(u, v, votes): each entry's class with the pivots of its buckets that belong to other components."""
+    """(u, v, votes): each entry's class with the pivots of its buckets that belong to other components. A bucket's pivot
+    is one of its largest component's entries, another one in each step."""
     e = F.struct("cls", "n", "pos", "comp")
-    shift = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(4 / 3)) + F.lit(0.5 * (step % 2))).cast("int")
-    banded = entries.withColumns({"band": shift, "e": e})
-    if step == 0:
-        pivots = banded.groupBy("token", "band").agg(F.min_by("e", F.struct("n", "cls")).alias("p"))
-    else:
-        by_comp = banded.groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("c"), F.min_by("e", F.xxhash64("cls", F.lit(step))).alias("p"))
-        pivots = by_comp.groupBy("token", "band").agg(F.max_by("p", F.struct("c", "comp")).alias("p"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(4 / 3)) + F.lit(0.5 * (step % 2))).cast("int")
+    banded = entries.select("token", band.alias("band"), e.alias("e"))
+    by_comp = banded.groupBy("token", "band", "e.comp").agg(F.count(F.lit(1)).alias("c"), F.min_by("e", F.xxhash64("e.cls", F.lit(step))).alias("p"))
+    pivots = by_comp.groupBy("token", "band").agg(F.max_by("p", F.struct("c", "comp")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     tried = banded.join(pivots, ["token", "band"]).where((F.col("e.comp") != F.col("p.comp")) & passes("e", "p"))
     return tried.groupBy(F.col("e.cls").alias("u"), F.col("p.cls").alias("v")).agg(F.count(F.lit(1)).alias("votes"))
 
 
-def cross_pairs(entries: DataFrame) -> DataFrame:
-    """(u, v): every pair of entries of a token in different components that passes the filters, each pair once."""
-    e = entries.select("token", F.struct("cls", "n", "pos", "comp").alias("e"))
+def partner_lists(entries: DataFrame, bound: int = ENTRIES) -> DataFrame:
+    """(m, n, partners): for each token the pairs of entries in different components that pass the length filter, of which
+    one at least is outside the token's largest component; each is packed with its smaller class m, with the other's size
+    and whether this token passes all filters. Tokens with more than `bound` entries are split over tasks, with
+    their minor entries sent to each part."""
+    counts = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    tokens = cut(counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k"), F.ceil(F.sum("c") / bound).cast("int").alias("parts")).where("k > 1").drop("k"))
+    e = entries.join(tokens, "token")
+    members = e.select("token", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls", "n", "pos", "comp", (F.col("comp") != F.col("major")).alias("minor"), F.lit(False).alias("asks"))
+    asking = e.where("comp <> major").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", "n", "pos", "comp", F.lit(True).alias("minor"), F.lit(True).alias("asks"))
+
+    def lists(cls, n, pos, comp, minor, asks):
+        ask, own = np.flatnonzero(asks), np.flatnonzero(~asks)
+        for lo in range(0, len(ask), max(1, PAIRS_AT_ONCE // max(len(own), 1))):
+            q = ask[lo : lo + max(1, PAIRS_AT_ONCE // max(len(own), 1))][:, None]
+            ok = (4 * np.minimum(n[q], n[own]) >= 3 * np.maximum(n[q], n[own])) & (comp[q] != comp[own]) & (~minor[own] | (cls[q] < cls[own]))
+            good = fits(n[q], pos[q], n[own], pos[own])
+            up = cls[own] > cls[q]
+            for one, other, yes, fit in ((q[:, 0], own, ok & up, good), (own, q[:, 0], (ok & ~up).T, good.T)):  # a pair is listed with its smaller class
+                for i in np.flatnonzero(yes.any(1)):
+                    row = np.empty(int(yes[i].sum()), PARTNER)
+                    row["cls"], row["n"], row["fits"] = cls[other[yes[i]]], n[other[yes[i]]], fit[i][yes[i]]
+                    yield int(cls[one[i]]), int(n[one[i]]), row.tobytes()
+
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [np.asarray(b.column(c)) if b.schema.types[c] != pa.bool_() else b.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+            if len(change):
+                yield from packed(held, np.concatenate([[0], change]))
+                held = [c[change[-1] :] for c in held]
+        if held is not None:
+            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+            yield from packed(held, np.concatenate([[0], change, [len(held[0])]]))
+
+    def packed(held, cuts):
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            n, pos = held[3][lo:hi].astype(np.int64), held[4][lo:hi].astype(np.int64)
+            for row in lists(held[2][lo:hi], n, pos, held[5][lo:hi], held[6][lo:hi], held[7][lo:hi]):
+                out.append(row)
+                if len(out) == 1024:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    def batch(out):
+        m, n, partners = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(n, pa.int32()), pa.array(partners, pa.binary())], names=["m", "n", "partners"])
+
+    return members.unionByName(asking).repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "m long, n int, partners binary")
+
+
+def busy_classes(entries: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(cls): classes outside the largest component of a token that `crowd` entries or more share."""
     counts = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    major = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    minor = e.join(major, "token").where("e.comp <> major").select("token", "major", F.col("e").alias("m"))
-    met = minor.join(e, "token").where("m.comp <> e.comp AND (e.comp = major OR m.cls < e.cls)").where(passes("m", "e"))
-    return met.select(F.greatest("m.cls", "e.cls").alias("u"), F.least("m.cls", "e.cls").alias("v")).distinct()
+    full = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("n")).where(F.col("n") >= crowd)
+    return entries.join(full, "token").where("comp <> major").select("cls").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, k_best: int | None = None) -> DataFrame:
-    """(u, v) of the pairs that are linked: suffix filter first, then the sets; `k_best`: try only so many pairs of a u, best votes first."""
-    sig = sets.select("cls", "n", "sig")
-    left, right = (sig.select(*[F.col(c).alias(f"{c}_{s}") for c in sig.columns]) for s in "uv")
+def asked_by_all(entries: DataFrame, asking: Broadcast) -> DataFrame:
+    """(u, v): pairs of a broadcast class with any class of another component that share enough prefix entries, each once.
+
+    Entries meet by class, so a class counts its shared tokens with every broadcast class on the spot.
+    """
+
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [np.asarray(b.column(c)) for c in range(5)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            change = np.flatnonzero(held[1][1:] != held[1][:-1]) + 1
+            if len(change):
+                yield from meet([c[: change[-1]] for c in held])
+                held = [c[change[-1] :] for c in held]
+        if held is not None and len(held[0]):
+            yield from meet(held)
+
+    def meet(own):
+        token, cls, n, pos, comp = asking.value
+        lo, hi = np.searchsorted(token, own[0]), np.searchsorted(token, own[0], "right")
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(own[1]):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            while to < len(own[1]) and own[1][to] == own[1][to - 1]:
+                to += 1  # a class stays whole
+            yield from count([c[at:to] for c in own], lo[at:to], hi[at:to])
+            at = to
+
+    def count(own, lo, hi):
+        _, cls, n, pos, comp = asking.value
+        q, i = ragged(lo, hi - lo), np.repeat(np.arange(len(lo)), hi - lo)
+        x, m, j = own[1][i], own[2][i].astype(np.int64), own[3][i].astype(np.int64)
+        known = np.isin(x, cls)
+        ok = (comp[q] != own[4][i]) & (~known | (cls[q] < x)) & (4 * np.minimum(n[q], m) >= 3 * np.maximum(n[q], m))
+        q, x, m, j = q[ok], x[ok], m[ok], j[ok]
+        if not len(q):
+            return
+        fit = fits(n[q], pos[q], m, j)
+        order = np.lexsort((cls[q], x))
+        a, b = x[order], cls[q][order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first = np.flatnonzero(new)
+        votes = np.diff(np.append(first, len(a)))
+        keep = np.maximum.reduceat(fit[order], first) & (votes >= least_votes(n[q][order][first], m[order][first]))
+        a, b = a[first][keep], b[first][keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+    return entries.select("token", "cls", "n", "pos", "comp").repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "u long, v long")
+
+
+def cross_pairs(entries: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(u, v): every pair of entries of a token in different components that can be linked, each pair once.
+
+    Classes that crowded tokens leave outside are asked by all others, if their entries are counted to be few enough to
+    be broadcast; all other pairs, or all pairs without that, come from lists of partners.
+    """
+    busy = cut(busy_classes(entries, crowd))
+    theirs = entries.join(busy, "cls", "left_semi").select("token", "cls", "n", "pos", "comp")
+    if not 0 < theirs.count() <= BUSY_ENTRIES:
+        return listed_pairs(entries)
+    own = theirs.orderBy("token", "cls").toArrow()
+    arrays = tuple(np.asarray(own.column(c).combine_chunks()).astype(np.int64) for c in own.column_names)
+    pairs = asked_by_all(entries, entries.sparkSession.sparkContext.broadcast(arrays))
+    return pairs.unionByName(listed_pairs(entries.join(busy, "cls", "left_anti")))
+
+
+def listed_pairs(entries: DataFrame) -> DataFrame:
+    """(u, v): pairs that share enough prefix entries, from the lists of partners of each class."""
+
+    def run(batches):
+        m, n, parts = None, 0, []
+        for b in batches:
+            for own, size, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if own != m and parts:
+                    yield once(m, n, parts)
+                    parts = []
+                m, n = own, size
+                parts.append(np.frombuffer(raw, PARTNER))
+        if parts:
+            yield once(m, n, parts)
+
+    def once(m, n, parts):
+        p = np.concatenate(parts)
+        v, first, at, votes = np.unique(p["cls"], return_index=True, return_inverse=True, return_counts=True)
+        some = np.zeros(len(v), bool)
+        some[at[p["fits"]]] = True
+        v = v[some & (votes >= least_votes(n, p["n"][first].astype(np.int64)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(v, m)), pa.array(np.minimum(v, m))], names=["u", "v"])
+
+    return partner_lists(entries).repartition("m").sortWithinPartitions("m").mapInArrow(run, "u long, v long").distinct()
+
+
+def only(sets: DataFrame, needed: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each needed class (column `cls`). The needed classes are broadcast if they are counted to be few."""
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    return sets.select(*columns).join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+
+
+def classes_of(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct())
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the columns of both sides' sets, suffixed _u and _v."""
+    for s in "uv":
+        side = sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns])
+        pairs = pairs.join(side, F.col(s) == F.col(f"cls_{s}"))
+    return pairs
+
+
+def verify(pairs: DataFrame, sets: DataFrame, best: bool = False) -> DataFrame:
+    """(u, v) of the pairs that are linked: suffix filter first, then the sets. `best`: of each u only the pair with most votes."""
 
     def suffix(batches):
         for b in batches:
@@ -215,57 +444,58 @@ def verify(pairs: DataFrame, sets: DataFrame, k_best: int | None = None) -> Data
             ok = [overlap_bound(x, y) >= -(-3 * (n + m) // 7) for x, y, n, m in zip(c["sig_u"], c["sig_v"], c["n_u"], c["n_v"], strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    if k_best:
-        best = pairs.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("b"))
-        pairs = best.select("u", F.col("b.v").alias("v"))
-    joined = pairs.join(left, pairs["u"] == left["cls_u"]).join(right, pairs["v"] == right["cls_v"])
-    close = cut(joined.select("u", "v", "n_u", "sig_u", "n_v", "sig_v").mapInArrow(suffix, "u long, v long"))
-    needed = close.select("u").unionByName(close.select(F.col("v").alias("u"))).distinct()
-    whole = sets.join(needed, sets["cls"] == needed["u"], "left_semi")
-    left, right = (whole.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "sig", "low")]) for s in "uv")
-
     def exact(batches):
         for b in batches:
             c = b.to_pydict()
             ok = []
             for i in range(b.num_rows):
-                x, y = unpack(c["sig_u"][i], c["low_u"][i]), unpack(c["sig_v"][i], c["low_v"][i])
-                ok.append(175 * len(np.intersect1d(x, y, assume_unique=True)) >= 75 * (c["n_u"][i] + c["n_v"][i]))
+                bits = min(len(c["sig_u"][i]), len(c["sig_v"][i])).bit_length() - 1
+                x, y = unpack(c["sig_u"][i], c["low_u"][i], bits), unpack(c["sig_v"][i], c["low_v"][i], bits)
+                ok.append(175 * len(np.intersect1d(x, y)) >= 75 * (c["n_u"][i] + c["n_v"][i]))
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = close.join(left, close["u"] == left["cls_u"]).join(right, close["v"] == right["cls_v"])
-    return both.select("u", "v", "n_u", "sig_u", "low_u", "n_v", "sig_v", "low_v").mapInArrow(exact, "u long, v long")
+    if best:
+        pairs = pairs.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("b")).select("u", F.col("b.v").alias("v"))
+    pairs = cut(pairs.select("u", "v"))
+    light = only(sets, classes_of(pairs), ["cls", "n", "sig"])
+    close = cut(beside(pairs, light).select("u", "v", "n_u", "sig_u", "n_v", "sig_v").mapInArrow(suffix, "u long, v long"))
+    heavy = only(sets, classes_of(close), ["cls", "n", "sig", "low"])
+    return beside(close, heavy).select("u", "v", "n_u", "sig_u", "low_u", "n_v", "sig_v", "low_v").mapInArrow(exact, "u long, v long")
 
 
 def link(docs: DataFrame, k: int = K, hot: int = HOT, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; columns doc_id and text are read."""
+    small_batches(docs.sparkSession)
     table = written(features(docs, k))
     members = table.where("n IS NOT NULL")
     sets = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
-    ranked = table.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(frequent).collect()
-    keys = np.array([r["shingle"] for r in ranked], np.int64).view(np.uint64)
+    ranked = table.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(frequent).toArrow()
+    keys = np.asarray(ranked.column("shingle").combine_chunks()).view(np.uint64)
     order = np.argsort(keys)
-    ranks = (keys[order], np.array([r["seen"] for r in ranked], np.int64)[order])
+    ranks = docs.sparkSession.sparkContext.broadcast((keys[order], np.asarray(ranked.column("seen").combine_chunks())[order]))
     total = members.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    entries = written(shared_entries(prefix_entries(docs, ranks, k, hot), max(1, -(-total // ENTRIES))))
-    whole = members.where("cls IS NOT NULL").select("cls", "n", "sig", "low").dropDuplicates(["cls"])
-    links, comps = None, None
-    for step in range(rounds):
-        if comps is None:
-            now = entries.withColumn("comp", F.col("cls"))
-        else:
-            now = entries.join(comps, entries["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
-            now = now.join(now.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token"), "token", "left_semi")
-        if step:
-            now = cut(now)
-            load = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg((F.sum("c") * (F.sum("c") - F.max("c"))).alias("w")).agg(F.sum("w")).first()[0] or 0
-            if load <= 16 * max(now.count(), 1) or not grew:
-                break
-        found = cut(verify(star_pairs(now, step), whole, k_best=1))
+    met = written(shared_entries(prefix_entries(docs, ranks, k, hot), max(1, -(-total // ENTRIES))))
+    release(docs.sparkSession)
+    whole = members.where("cls IS NOT NULL")
+    entries = met.where("token IS NOT NULL").select("token", "cls", "n", "pos")
+    pairs = met.where("token IS NULL").groupBy(F.col("cls").alias("u"), F.col("pivot").alias("v")).agg(F.sum("votes").alias("votes"))
+    links, comps, last_tries, now = None, None, None, entries.withColumn("comp", F.col("cls"))
+    for step in range(1, rounds + 1):
+        found = cut(verify(pairs, whole, best=True))
         grew = found.count()
         if grew:
             links = found if links is None else links.unionByName(found)
             comps = components(links)
+            now = now.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        open_tokens = now.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+        now = cut(now.join(open_tokens, "token", "left_semi"))
+        release(docs.sparkSession)
+        work = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.max("c").alias("m"))
+        have, tries = work.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - F.col("m")))).first()
+        if not have or tries <= EASY * have or last_tries and 2 * tries > last_tries:
+            break
+        last_tries = tries
+        pairs = star_pairs(now, step)
     last = cut(verify(cross_pairs(now), whole))
     if not last.isEmpty():
         links = last if links is None else links.unionByName(last)
