@@ -1,19 +1,25 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A first pass over the corpus counts in how many
-documents each n-gram of a test item occurs. Of the n-grams that occur at all, each item keeps the rarest `share` as seeds
-(ties included, no absolute cap, so an item that leaked everywhere still has seeds). A second pass finds seeds in the documents, gathers
-those of one item on nearby diagonals into passages, and aligns each passage with its item word by word
-(match +2, mismatch -1, gap -1). The score is the best local alignment divided by a full match; pairs at or above
-`threshold` are contaminated, which covers paraphrased and edited copies.
-
-Distribution: both passes are maps over whole texts, and only hits are counted by shuffle; no text is shuffled. Items are
-taken in blocks of at most `block_words` words, so what is sent to the executors has a fixed bound; more blocks mean more
-passes. Alignment costs are linear in the hits: a passage holds each hit once.
-
-Defined results: null or empty texts and items match nothing; an item shorter than n words is one seed; an item found
-several times in a document gives one row with its best passage; repeated rows give repeated results; an empty table on
-either side gives an empty result; extra columns are ignored.
+"""Benchmark decontamination: word-pair seeds, a lossless count filter, then Smith-Waterman alignment.
+
+Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Seeds of an item are all its pairs of words that
+stand side by side or one word apart, found in the documents side by side or one word apart; how often an item leaked
+plays no part. Hits of one item on nearby diagonals are gathered into passages, and each passage is aligned with its item
+word by word (match +2, mismatch -1, gap -1). The score is the best local alignment divided by a full match; pairs at or
+above `threshold` are contaminated, which covers paraphrased and edited copies.
+
+Nothing at or above the threshold is missed. Of an alignment's m matches, next ones with at most one word between on
+either side are a hit; the others cost 2 or more. So its score is at most 2 + 2 x (hits side by side in both) + (other hits), its hits lie within
+2 x (1 - threshold) x length diagonals, and only passages whose hits reach the score needed are aligned. A passage is
+aligned with that many words on either side, which holds the whole alignment. This asks for 2 x threshold x length > 2,
+true of 4 words at thresholds above 0.25.
+
+Distribution: one map over whole texts; nothing is shuffled. Items are taken in blocks of at most `block_words` words, so
+what is sent to the executors has a fixed bound; more blocks mean more passes. Hits are held for at most HITS or one text
+at a time. Alignment costs are linear in the hits: a passage holds each hit once.
+
+Defined results: null or empty texts and items match nothing; an item shorter than n words is one seed and must stand
+whole; an item found several times in a document gives one row with its best passage (first and last word of what was
+aligned; n_seeds counts the hits of all its passages); repeated rows give repeated results; an empty table on either side
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +33,9 @@ from matchloom.llm._spark import small_batches
 from matchloom.llm._text import mix, punctuation_table, spread, text_slices, word_hashes
 
 N = 4
-SHARE = 0.5
 THRESHOLD = 0.4
 BLOCK_WORDS = 1 << 20
+HITS = 1 << 21
 SCHEMA = "doc_id long, item_id long, n_seeds int, score double, first_word int, last_word int"
 
 
@@ -53,27 +59,43 @@ def grams(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return at, mix(s[at])
 
 
-def item_grams(words: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, item number, position, gram length) of all items."""
-    out = [(np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3]
-    for i, w in enumerate(words):
-        if len(w):
-            k = min(n, len(w))
-            at, g = grams(w, np.zeros(len(w), np.int64), k)
-            out.append((g, np.full(len(g), i), at, np.full(len(g), k)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def links(h: np.ndarray, rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of every word with the word `step` places on in its row."""
+    if len(h) <= step:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    c = spread(2, 99)
+    at = np.flatnonzero(rows[:-step] == rows[step:])
+    return at, mix(h[at] * c[0] + h[at + step] * c[1])
+
+
+def seeds(h: np.ndarray, rows: np.ndarray, steps: tuple[int, ...], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, whether a word is skipped) of the word pairs at `steps` and of the whole grams of `lengths`."""
+    parts = [(*links(h, rows, s), s > 1) for s in steps] + [(*grams(h, rows, k), False) for k in lengths]
+    return tuple(np.concatenate(x) for x in ([p[0] for p in parts], [p[1] for p in parts], [np.full(len(p[0]), p[2]) for p in parts]))
+
+
+def item_index(words: list[np.ndarray], n: int, threshold: float) -> dict:
+    """Seeds of all items, sorted by hash, with what an alignment at the threshold must hold."""
+    lens = np.array([len(w) for w in words])
+    parts = [seeds(w, np.zeros(len(w), np.int64), *(((1, 2), ()) if len(w) >= n else ((), (len(w),)))) for w in words]
+    at, g, loose = (np.concatenate(x) for x in zip(*parts, strict=True))
+    item = np.repeat(np.arange(len(words)), [len(p[0]) for p in parts])
+    order = np.argsort(g, kind="stable")
+    known, counts = np.unique(g, return_counts=True)
+    need = np.where(lens >= n, np.maximum(np.ceil(2 * threshold * lens - 2 - 1e-9), 1), 1).astype(np.int64)
+    span = np.maximum(np.floor(2 * (1 - threshold) * lens + 1e-9), 0).astype(np.int64)
+    short = tuple(int(k) for k in np.unique(lens[lens < n]))
+    return {"known": known, "ends": np.concatenate([[0], np.cumsum(counts)]), "item": item[order], "at": at[order], "loose": loose[order], "words": words, "lens": lens, "need": need, "span": span, "short": short, "steps": (1, 2) if (lens >= n).any() else (), "threshold": threshold}
 
 
-def lookup(h: np.ndarray, rows: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word position, number in the sorted `known`) of every gram of the rows that is known."""
-    where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in np.unique(lengths):
-        at, g = grams(h, rows, int(k))
-        i = np.minimum(np.searchsorted(known, g), len(known) - 1)
-        hit = known[i] == g
-        where.append(at[hit])
-        which.append(i[hit])
-    return np.concatenate(where), np.concatenate(which)
+def lookup(h: np.ndarray, rows: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, number in `known`, whether a word is skipped) of every seed in the rows, by position."""
+    known = index["known"]
+    at, g, loose = seeds(h, rows, index["steps"], index["short"])
+    i = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    hit = np.flatnonzero(known[i] == g)
+    hit = hit[np.argsort(at[hit], kind="stable")]
+    return at[hit], i[hit], loose[hit]
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -103,25 +125,66 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.ndarray, index: dict) -> list[tuple[int, int, int, float, int, int]]:
+def chunks(rows: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of `n` that end with a row and sum to at most HITS, or hold one row."""
+    ends = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) + 1
+    sums, out, lo = np.cumsum(n)[ends - 1], [], 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + HITS, "right")))
+        out.append((int(ends[lo - 1]) if lo else 0, int(ends[hi - 1])))
+        lo = hi
+    return out
+
+
+def strong(pair: np.ndarray, diag: np.ndarray, weight: np.ndarray, need: np.ndarray, span: np.ndarray, width: int) -> np.ndarray:
+    """Which hits, sorted by pair and diagonal, lie in a range of `span` diagonals whose weights sum to `need`."""
+    key = pair * width + diag
+    sums = np.concatenate([[0], np.cumsum(weight)])
+    end = np.searchsorted(key, key + span, "right")
+    start = np.flatnonzero(sums[end] - sums[:-1] >= need)
+    cover = np.zeros(len(key) + 1, np.int64)
+    np.add.at(cover, start, 1)
+    np.subtract.at(cover, end[start], 1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.ndarray, loose: np.ndarray, index: dict) -> list[tuple[int, int, int, float, int, int]]:
     """(row, item number, seeds, score, first word, last word) of the pairs above the threshold in one slice."""
     if not len(where):
         return []
-    first = np.searchsorted(rows, np.arange(rows[-1] + 2))
     n = index["ends"][which + 1] - index["ends"][which]
+    return [m for a, b in chunks(rows[where], n) for m in chunk_matches(h, rows, where[a:b], which[a:b], loose[a:b], n[a:b], index)]
+
+
+def chunk_matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.ndarray, loose: np.ndarray, n: np.ndarray, index: dict) -> list[tuple[int, int, int, float, int, int]]:
+    first = np.searchsorted(rows, np.arange(rows[-1] + 2))
     hit = np.repeat(np.arange(len(where)), n)
     slot = np.repeat(index["ends"][which], n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
     item, at = index["item"][slot], where[hit]
     row, diag = rows[at], at - index["at"][slot]
-    order = np.lexsort((diag, item, row))
-    row, item, diag = row[order], item[order], diag[order]
-    long = index["lens"][item]
+    weight = np.where(loose[hit] | index["loose"][slot], 1, 2)
+    most = int(index["lens"].max())
+    width = len(h) + 4 * most + 4  # diagonals of one pair and a span never reach the next pair
+    pair, diag = row * len(index["lens"]) + item, diag + most
+    order = np.argsort(pair * width + diag, kind="stable")
+    pair, diag, weight = pair[order], diag[order], weight[order]
+    start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    size = np.diff(np.append(start, len(pair)))
+    few = np.repeat(np.add.reduceat(weight, start), size) < index["need"][pair % len(index["lens"])]
+    pair, diag, weight = pair[~few], diag[~few], weight[~few]
+    item = pair % len(index["lens"])
+    held = strong(pair, diag, weight, index["need"][item], index["span"][item], width)
+    if not held.any():
+        return []
+    pair, item, diag = pair[held], item[held], diag[held] - most
+    row = pair // len(index["lens"])
+    long, span = index["lens"][item], index["span"][item]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > long[1:])
+    new[1:] = (pair[1:] != pair[:-1]) | (diag[1:] - diag[:-1] > span[1:])
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(row))
-    lo = np.maximum(diag[start] - long[start] // 2, first[row[start]])
-    hi = np.minimum(diag[end - 1] + long[start] + long[start] // 2 + 1, first[row[start] + 1])
+    lo = np.maximum(diag[start] - span[start], first[row[start]])
+    hi = np.minimum(diag[end - 1] + long[start] + span[start], first[row[start] + 1])
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
     by_size = np.argsort((hi - lo) * 1000 + long[start], kind="stable")
     for c in range(0, len(by_size), 256):
@@ -137,53 +200,24 @@ def matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.ndarra
     return [(r, i, n, round(s, 4), a, b) for (r, i), (s, a, b, n) in sorted(best.items()) if s >= index["threshold"]]
 
 
-def one_block(docs: DataFrame, ids: list[int], texts: list[str | None], n: int, share: float, threshold: float) -> DataFrame:
-    words = item_words(texts)
-    g, item, at, length = item_grams(words, n)
-    known = np.unique(g)
-    lengths = np.unique(length)
+def one_block(docs: DataFrame, ids: list[int], texts: list[str | None], n: int, threshold: float) -> DataFrame:
+    index = item_index(item_words(texts), n, threshold)
     between = punctuation_table()
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def count(batches):
-        for b in batches:
-            for lo, _, data, offs in text_slices(b):
-                h, rows, _, _ = word_hashes(data, offs, between=between)
-                where, which = lookup(h, rows, lengths, known)
-                pairs = np.unique(rows[where] * len(known) + which) % len(known)
-                i, c = np.unique(pairs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c.astype(np.int64))], names=["gram", "n"])
-
-    df = np.zeros(len(known), np.int64)
-    for r in slim.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the block's n-grams
-        df[r["gram"]] = r["n"]
-    number = np.searchsorted(known, g)
-    keep = np.zeros(len(g), bool)
-    for i in np.unique(item):
-        own = np.flatnonzero(item == i)
-        own = own[df[number[own]] > 0]
-        if len(own):
-            f = df[number[own]]
-            keep[own] = f <= np.sort(f)[int(np.ceil(share * len(own))) - 1]
-    order = np.flatnonzero(keep)[np.argsort(number[keep], kind="stable")]
-    seeds, counts = np.unique(number[order], return_counts=True)
-    index = {"ends": np.concatenate([[0], np.cumsum(counts)]), "item": item[order], "at": at[order], "words": words, "lens": np.array([len(w) for w in words]), "threshold": threshold}
-    seed_hash, seed_lengths = known[seeds], np.unique(length[order])
 
     def find(batches):
         for b in batches:
             for lo, _, data, offs in text_slices(b):
                 h, rows, _, _ = word_hashes(data, offs, between=between)
                 if len(h):
-                    got = matches(h, rows, *lookup(h, rows, seed_lengths, seed_hash), index)
+                    got = matches(h, rows, *lookup(h, rows, index), index)
                     if got:
                         r, i, *rest = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([lo + x for x in r])), pa.array([ids[x] for x in i], pa.int64()), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.float64(), pa.int32(), pa.int32()), strict=True))], names=["doc_id", "item_id", "n_seeds", "score", "first_word", "last_word"])
 
-    return slim.mapInArrow(find, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, SCHEMA)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = N, share: float = SHARE, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, n_seeds, score, first_word, last_word) of every document that holds a test item."""
     small_batches(docs.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
@@ -195,6 +229,6 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, share: float = S
         rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))  # a block of bounded size
         rows = [r for r, w in zip(rows, item_words([r["text"] for r in rows]), strict=True) if len(w)]
         if rows:
-            found = one_block(docs, [r["item_id"] for r in rows], [r["text"] for r in rows], n, share, threshold)
+            found = one_block(docs, [r["item_id"] for r in rows], [r["text"] for r in rows], n, threshold)
             out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out

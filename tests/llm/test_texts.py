@@ -287,3 +287,12 @@ def test_decontamination(texts, spark):
 def test_alignment_scores(pairs):
     got = decontam.align([np.array(a, np.uint64) for a, _ in pairs], [np.array(b, np.uint64) for _, b in pairs])
     assert got.tolist() == [brute_align(a, b) for a, b in pairs]
+
+
+def test_leaked_copies_are_found_beside_an_exact_one(texts, spark):
+    item = [f"word{i}" for i in range(40)]
+    edited = " ".join("new" if i % 6 == 5 else w for i, w in enumerate(item))
+    rows = [(0, " ".join(item))] + [(i, f"text {i} " + edited) for i in range(1, 101)]
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contaminated(texts(rows), table).collect()}
+    assert got == {0: 1.0} | dict.fromkeys(range(1, 101), 0.775)
