@@ -21,7 +21,7 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its host, lines, dropped boilerplate lines and a digest of the text that stays."""
     pages = table(spark, sf_dir, "pages").select("page_id", linededup.url_host(F.col("url")).alias("host"), linededup.visible_text(F.col("html")).alias("text"))
-    out = linededup.dedup_lines(written(pages), "host", "text", stats=True)
+    out = linededup.dedup_lines(written(pages), "host", "text", stats=True, copies=True)
     return out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 

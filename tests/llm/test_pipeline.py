@@ -69,6 +69,16 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_one_of_a_group_of_copies_keeps_its_text(spark):
+    rng = random.Random(3)
+    say = lambda: "\n".join(" ".join(rng.choice(WORDS["en"].split()) + str(rng.randint(0, 999)) for _ in range(12)) for _ in range(3))
+    copy = say()
+    rows = [(i, copy if i % 3 == 0 else say(), "en", "s", 0, "x") for i in range(60)]
+    lines = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, COLUMNS), "")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, lines, "").collect()}
+    assert kept == {i: t for i, t, *_ in rows if i % 3 or i == 0}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):

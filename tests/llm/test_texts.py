@@ -84,6 +84,16 @@ def test_line_dedup(spark):
     assert r["t"].split() == ["A", "&", "B", "Cd"] and r["u"] == "ex.org"
 
 
+def test_lines_of_a_group_of_copies_stay(spark):
+    copy = "first line\nsecond line"
+    rows = [(i, "h", f"Subscribe now\nown line {i}") for i in range(20)] + [(i, "h", copy) for i in range(20, 30)]
+    df = spark.createDataFrame(rows, "id int, source string, text string")
+    out = {r["id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert out == {i: f"own line {i}" for i in range(20)} | dict.fromkeys(range(20, 30), copy)
+    counted = {r["text"] for r in linededup.dedup_lines(df.where("id >= 20"), copies=True).collect()}
+    assert counted == {""}
+
+
 LANGS = {"en": "the of and to in that is was for on are as with his they at be this have from".split(), "de": "der die und den von zu das mit sich des auf für ist im dem nicht ein eine".split(), "fr": "de la le et les des en un du une que est pour qui dans par plus pas".split()}
 
 
