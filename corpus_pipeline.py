@@ -16,6 +16,10 @@ from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces
 from matchloom.llm._spark import numbered, shared_dir
 
 
+#: Share of a source's distinct texts above which a line is boilerplate; repeated lines of the test tables stand in 9 % to 30 % of each source.
+LINE_RATIO = 0.05
+
+
 def renamed(df: DataFrame, like: DataFrame) -> DataFrame:
     """The numbered columns of `df` under the names of `like`."""
     return df.select(*[F.col(f"column_{i}").alias(n) for i, n in enumerate(like.columns)])
@@ -32,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that stand in too many documents of their source out of the texts; n_chars follows."""
-    out = linededup.dedup_lines(docs, "source", "text")
+    out = linededup.dedup_lines(docs, "source", "text", LINE_RATIO)
     own, (text, n_chars) = numbered(out, "text", "n_chars")
     kind = dict(own.dtypes)[n_chars]
     return renamed(own.withColumn(n_chars, F.coalesce(F.length(text).cast(kind), F.col(n_chars))), docs)

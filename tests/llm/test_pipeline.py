@@ -79,6 +79,12 @@ def test_one_of_a_group_of_copies_keeps_its_text(spark):
     assert kept == {i: t for i, t, *_ in rows if i % 3 or i == 0}
 
 
+def test_a_line_in_a_tenth_of_a_source_is_dropped(spark):
+    rows = [(i, f"own line {i}" + ("\nShared footer line" if i % 10 == 0 else "\nrare line" if i % 30 == 1 else ""), "en", "s", 0, "x") for i in range(100)]
+    lines = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert {r["doc_id"]: r["text"] for r in lines} == {i: t.replace("\nShared footer line", "") for i, t, *_ in rows}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
