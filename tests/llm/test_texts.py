@@ -306,3 +306,23 @@ def test_leaked_copies_are_found_beside_an_exact_one(texts, spark):
     table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = {r["doc_id"]: r["score"] for r in decontam.contaminated(texts(rows), table).collect()}
     assert got == {0: 1.0} | dict.fromkeys(range(1, 101), 0.775)
+
+
+def test_every_alignment_at_the_threshold_is_found(texts, spark):
+    rng = random.Random(11)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((15, 15, 24, 40))]
+    rows, want = [], {}
+    for at in range(160):
+        k, kind = at % 4, at // 4 % 4
+        words = []
+        for j, w in enumerate(items[k]):
+            gone = j % 4 == 3 if kind == 0 else j % 3 == 2 if kind == 1 else rng.random() < rng.choice([0.2, 0.35, 0.5])
+            words += [w, f"extra{j}"] if kind == 3 else [f"new{j}"] if gone else [w]
+        words = [f"before{j}" for j in range(at % 50)] + words + ["after"] * (at % 7)
+        rows.append((at, " ".join(words)))
+        score = brute_align(items[k], words) / (2 * len(items[k]))
+        if score >= 0.4:
+            want[at] = (k, round(score, 4))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["score"]) for r in decontam.contaminated(texts(rows), table).collect()}
+    assert got == want and len(want) > 100
