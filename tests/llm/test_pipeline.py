@@ -99,3 +99,24 @@ def test_query(spark, name):
     r = con.sql(queries.ORACLES[name])
     at = [r.columns.index(c) for c in cols]
     assert sorted((tuple(x[c] for c in cols) for x in df.collect()), key=repr) == sorted((tuple(x[i] for i in at) for x in r.fetchall()), key=repr)
+
+
+def test_quality_cutoffs_certified_in_two_strata(spark, tmp_path):
+    rng = random.Random(2)
+    rows = []
+    for i in range(3400):
+        words = [rng.choice("abcdefgh") + str(rng.randint(0, 9999)) for _ in range(60)]
+        if i >= 3200:
+            words[:20] = ["#"] * 10 + [f"{j}#" for j in range(10)]
+        rows.append((i, " ".join(words), ("en", "fr")[i % 2]))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(3200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = queries.QUERIES["op8_quality_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    r = con.sql(queries.ORACLES["op8_quality_rules"])
+    got = df.select(*r.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(r.fetchall())
+    failed = {x["doc_id"] for x in got if x["rules_failed"] > 0}
+    assert {i % 2 for i in failed} == {0, 1} and failed >= set(range(3200, 3400))
