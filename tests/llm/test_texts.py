@@ -238,6 +238,56 @@ def test_secret_table(texts):
     assert (out[4]["n_assign"], out[4]["n_pair"]) == (0, 1) and secretscan.scan(texts([])).collect() == []
 
 
+def test_doubled_values_stay_small():
+    doubled = 'a = "abcdefgh"\n' + "a = a + a\n" * 60 + "password_hint = a\n"
+    assert all(len(v) <= secretscan.LONGEST and len(s) <= secretscan.PARTS for _, v, s in secretscan.pairs(doubled))
+    empty = 'a = ""\nb = "x"\n' + "a = a + b + a\n" * 60
+    assert all(len(s) <= secretscan.PARTS for _, _, s in secretscan.pairs(empty))
+    long = 'signing_key = "' + "aB3$" * 50_000 + '"\n' + "b = signing_key\n" * 1000
+    assert [b - a for a, b in secretscan.pair_spans(long)] == [200_000]
+    stale = 'x = "hK39sLq02xZv"\nx = read()\ndb_pwd = x\n'
+    assert secretscan.pair_spans(stale) == []
+
+
+def planted_settings(seed, n):
+    """(text, spans of planted secrets): settings in many syntaxes among prose, with names and values that are no secrets."""
+    rng = random.Random(seed)
+    value = lambda k: "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
+    names = ["db_pwd", "signingKey", "AUTH_KEY", "clientCredential", "private_key", "jwtSalt", "pass_phrase_pwd", "bearer"]
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "{n} := `{v}`", "{n} => '{v}'", "<{n}>{v}</{n}>", "const {n} = '{v}';", "export {n}={v}"]
+    others = ['{n}_path = "/etc/keys/main"', "color = '{v}'", '{n} = "changeme-please"', "width: 1200", "{n} = get_secret()", "if {n} == '{v}':", '{n}_length = "12345678"', "note: see {n} for more"]
+    text, want = "", []
+    for _ in range(n):
+        name, v = rng.choice(names), value(rng.randint(14, 32))
+        text += " ".join(rng.choice(["the", "value", "of", "settings", "is", "kept"]) for _ in range(5)) + "\n"
+        kind = rng.random()
+        if kind < 0.5:
+            line = rng.choice(forms).format(n=name, v=v)
+            want.append((len(text) + line.index(v), len(text) + line.index(v) + len(v)))
+        elif kind < 0.6:
+            line = f"{name} = '{v[:9]}' + \"{v[9:]}\""
+            want += [(len(text) + line.index(x), len(text) + line.index(x) + len(x)) for x in (v[:9], v[9:])]
+        elif kind < 0.7:
+            line = f"K{len(text)}x = '{v}'\n{name} = K{len(text)}x"
+            want.append((len(text) + line.index(v), len(text) + line.index(v) + len(v)))
+        else:
+            line = rng.choice(others).format(n=name, v=v)
+        text += line + "\n"
+    return text, want
+
+
+def test_planted_secrets_without_a_base_pattern(texts):
+    made = [planted_settings(seed, 40) for seed in range(12)]
+    rows = [(i, t) for i, (t, _) in enumerate(made)]
+    out = {r["doc_id"]: r for r in secretscan.scan(texts(rows + rows)).collect()}
+    found = {(i, *map(int, x.split(":")[1:])) for i, r in out.items() for x in r["spans"].split(",") if x.startswith("pair")}
+    want = {(i, a, b) for i, (_, spans) in enumerate(made) for a, b in spans}
+    assert all(r["n_assign"] == r["n_access"] == 0 for r in out.values())
+    hits = len(found & want)
+    print(f"planted {len(want)}, found {len(found)}, right {hits}")
+    assert hits >= 0.95 * len(want) and hits >= 0.95 * len(found)
+
+
 def test_quality_statistics(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "a b c a b c a b c", None), (4, "x # $$ y\nx # $$ y\n\n  \nx # $$ y", "en"), (5, " ".join(f"w{i}" for i in range(60)), "fr"), (6, "é é é", "fr")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
