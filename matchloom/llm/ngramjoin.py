@@ -35,10 +35,12 @@ only if all are null); an empty table gives an empty result; extra columns are i
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm._spark import cut, drop, release, small_batches, written
@@ -54,8 +56,9 @@ PARTNER = np.dtype([("cls", "<i8"), ("n", "<i4"), ("fits", "?")])
 HOT = 50_000  # a shingle counted in so many documents is spread over tasks
 ROUNDS = 8
 EASY = 64  # pairs to try per entry that need no further star round: listing a pair moves some 13 bytes, a round some 500 an entry
-CROWD = 256  # entries of a token from which on the classes outside its largest component are busy
-BUSY_ENTRIES = 1 << 19  # counted entries of busy classes that may be broadcast (20 MB)
+WIDE = 1 << 15  # entries of a token that one task may group once more
+BUSY_ENTRIES = 1 << 19  # counted entries of busy classes that may be broadcast (8 MB)
+BUSY_SHINGLES = 1 << 23  # counted shingles of their sets (36 MB)
 BROADCAST_ROWS = 1 << 20  # counted class ids that may be broadcast (16 MB); more are joined by shuffle
 LOW = np.uint64((1 << 32) - 1)
 
@@ -188,10 +191,11 @@ def least_votes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.minimum(*spare))
 
 
-def shared_entries(entries: DataFrame, tasks: int) -> DataFrame:
-    """Entries (token, cls, n, pos) of tokens that two classes share (of hot tokens: all), each once; and, with a null
-    token, the first star round over the other tokens: (cls, pivot, votes), pivots being the smallest sets of a bucket
-    within a length band."""
+def shared_entries(entries: DataFrame, tasks: int, wide: int = WIDE) -> DataFrame:
+    """Entries (token, cls, n, pos, need, wide) of tokens that two classes of similar size share (of hot tokens: all), each
+    once; `need` is a bound on the least votes that a class with such a partner must have, and `wide` marks tokens that are
+    hot or have more than `wide` entries. And, with a null token, the first star round over the other tokens: (cls, pivot,
+    votes), pivots being the smallest sets of a bucket within a length band."""
 
     def run(batches):
         parts = [[np.asarray(b.column(c)) for c in range(4)] for b in batches]
@@ -203,18 +207,25 @@ def shared_entries(entries: DataFrame, tasks: int) -> DataFrame:
         token, cls, both, spread = token[order], cls[order], both[order], spread[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, both, spread = token[fresh], cls[fresh], both[fresh], spread[fresh]
-        pair = token[1:] == token[:-1]
-        keep = spread != token
-        keep[1:] |= pair
-        keep[:-1] |= pair
-        token, cls, both, lone = token[keep], cls[keep], both[keep], (spread != token)[keep]
+        token, cls, both, lone = token[fresh], cls[fresh], both[fresh], (spread != token)[fresh]
+        if not len(token):
+            return
         n, pos = both >> 32, both & 0xFFFFFFFF
-        names = ["token", "cls", "n", "pos", "pivot", "votes"]
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        number = np.cumsum(first) - 1
+        key, at = number << 32 | n, np.arange(len(n))
+        lo, hi = np.searchsorted(key, number << 32 | (3 * n + 3) // 4), np.searchsorted(key, number << 32 | 4 * n // 3, "right") - 1
+        keep = lone | (hi > lo)
+        lo, hi = np.where(lo == at, np.minimum(lo + 1, hi), lo), np.where(hi == at, np.maximum(hi - 1, lo), hi)
+        need = np.where(lone, 1, np.maximum(1, np.minimum(least_votes(n, n[lo]), least_votes(n, n[hi])) - 1))
+        large = lone | (np.bincount(number)[number] > wide)
+        token, cls, n, pos, need, large, lone = (x[keep] for x in (token, cls, n, pos, need, large, lone))
+        names = ["token", "cls", "n", "pos", "need", "wide", "pivot", "votes"]
         for lo in range(0, len(token), 1 << 18):
             at = slice(lo, lo + (1 << 18))
             size = len(token[at])
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(cls[at]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(cls[at]), *(pa.array(x[at].astype(np.int32)) for x in (n, pos, need)), pa.array(large[at]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())], names=names)
         if not len(token):
             return
         band = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
@@ -232,9 +243,113 @@ def shared_entries(entries: DataFrame, tasks: int) -> DataFrame:
         votes = np.diff(np.append(start, len(u))).astype(np.int32)
         for lo in range(0, len(start), 1 << 18):
             s = start[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int64()), pa.array(u[s]), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.int32()), pa.array(v[s]), pa.array(votes[lo : lo + (1 << 18)])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int64()), pa.array(u[s]), *(pa.nulls(len(s), pa.int32()) for _ in range(3)), pa.nulls(len(s), pa.bool_()), pa.array(v[s]), pa.array(votes[lo : lo + (1 << 18)])], names=names)
+
+    return entries.repartition(tasks, "spread").mapInArrow(run, "token long, cls long, n int, pos int, need int, wide boolean, pivot long, votes int")
+
+
+def with_components(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Entries with the component `comp` of their class."""
+    entries = entries.drop("comp")
+    if comps is None:
+        return entries.withColumn("comp", F.col("cls"))
+    return entries.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+OPENED = "token long, cls long, n int, pos int, comp long, t int, v long, m int, votes int, fit boolean"
+
+
+def opened(entries: DataFrame, easy: int = EASY) -> DataFrame:
+    """Pairs (cls, v: classes in different components; n, m: sizes; votes, fit) from tokens with at most `easy` entries
+    outside their largest component, with a null token; and the entries (token, cls, n, pos, comp, t) of all other tokens
+    that several components share. `entries` have comp and t, the number of their class's entries: linked classes share
+    `least_votes` of them, which drops nearly all chance meetings here."""
+    names = [f.split()[0] for f in OPENED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def rows(**cols):
+        size = len(cols["cls"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def meet(token, cls, n, pos, comp, t, wide):
+        order = np.lexsort((comp, token, wide))
+        token, cls, n, pos, comp, t, wide = (x[order] for x in (token, cls, n, pos, comp, t, wide))
+        start = np.ones(len(token), bool)
+        start[1:] = (token[1:] != token[:-1]) | (wide[1:] != wide[:-1])
+        run = start.copy()
+        run[1:] |= comp[1:] != comp[:-1]
+        number, group = np.cumsum(start) - 1, np.cumsum(run) - 1
+        size, own = np.bincount(number), np.bincount(group)
+        most = np.zeros(len(size), np.int64)
+        np.maximum.at(most, number[run], own)
+        major = np.full(len(size), len(own))
+        lead = own == most[number[run]]
+        np.minimum.at(major, number[run][lead], np.flatnonzero(lead))
+        minor = group != major[number]
+        crowded = wide | (size - most > easy)[number]
+        at = np.flatnonzero(crowded)
+        for lo in range(0, len(at), 1 << 18):
+            x = at[lo : lo + (1 << 18)]
+            yield rows(token=token[x], cls=cls[x], n=n[x].astype(np.int32), pos=pos[x], comp=comp[x], t=t[x])
+        first = np.flatnonzero(start)
+        ask = np.flatnonzero(minor & ~crowded)
+        ends = np.cumsum(size[number[ask]])
+        lo = 0
+        while lo < len(ask):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
+            some = ask[lo:hi]
+            lo = hi
+            a, b = np.repeat(some, size[number[some]]), ragged(first[number[some]], size[number[some]])
+            ok = (comp[a] != comp[b]) & (~minor[b] | (cls[a] < cls[b])) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            ok = least_votes(n[a], n[b]) <= np.minimum(t[a], t[b])
+            a, b = a[ok], b[ok]
+            if not len(a):
+                continue
+            fit = fits(n[a], pos[a], n[b], pos[b])
+            a, b = np.where(cls[a] > cls[b], a, b), np.where(cls[a] > cls[b], b, a)
+            order = np.lexsort((cls[b], cls[a]))
+            a, b, fit = a[order], b[order], fit[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (cls[a][1:] != cls[a][:-1]) | (cls[b][1:] != cls[b][:-1])
+            s = np.flatnonzero(new)
+            yield rows(cls=cls[a[s]], n=n[a[s]].astype(np.int32), v=cls[b[s]], m=n[b[s]].astype(np.int32), votes=np.diff(np.append(s, len(a))).astype(np.int32), fit=np.maximum.reduceat(fit, s))
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in range(8)])
+            size += b.num_rows
+            if size >= ENTRIES:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                change = np.flatnonzero(cols[7][1:] != cols[7][:-1]) + 1
+                if len(change):
+                    yield from chunk([c[: change[-1]] for c in cols])
+                    cols = [c[change[-1] :] for c in cols]
+                held, size = [cols], len(cols[0])
+        if size:
+            yield from chunk([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def chunk(cols):
+        token, cls, n, pos, comp, t, wide, _ = cols
+        yield from meet(token, cls, n.astype(np.int64), pos.astype(np.int32), comp, t.astype(np.int32), wide.astype(bool))
+
+    spread = F.when(F.col("wide"), F.xxhash64("cls", F.lit(9))).otherwise(F.col("token"))
+    e = entries.select("token", "cls", "n", "pos", "comp", F.col("t").cast("int").alias("t"), "wide", spread.alias("spread"))
+    return e.repartition("spread").sortWithinPartitions("spread").mapInArrow(run, OPENED)
+
+
+def least_votes_column(n: Column, m: Column) -> Column:
+    """`least_votes` as a column."""
+    a = shared_least(n, m)
+    return F.greatest(F.lit(1), F.least(*[1 + a - F.floor((3 * x + 3) / 4) for x in (n, m)]))
 
-    return entries.repartition(tasks, "spread").mapInArrow(run, "token long, cls long, n int, pos int, pivot long, votes int")
+
+def voted(rows: DataFrame) -> DataFrame:
+    """(u, v) of the pairs (cls, v, n, m, votes, fit) that share enough prefix entries over all rows."""
+    n, m = (F.first(c).cast("long").alias(c) for c in ("n", "m"))
+    pairs = rows.groupBy(F.col("cls").alias("u"), "v").agg(n, m, F.sum("votes").alias("votes"), F.max("fit").alias("fit"))
+    return pairs.where(F.col("fit") & (F.col("votes") >= least_votes_column(F.col("n"), F.col("m")))).select("u", "v")
 
 
 def passes(a: str, b: str) -> Column:
@@ -314,84 +429,8 @@ def partner_lists(entries: DataFrame, bound: int = ENTRIES) -> DataFrame:
     return members.unionByName(asking).repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "m long, n int, partners binary")
 
 
-def busy_classes(entries: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(cls): classes outside the largest component of a token that `crowd` entries or more share."""
-    counts = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    full = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("n")).where(F.col("n") >= crowd)
-    return entries.join(full, "token").where("comp <> major").select("cls").distinct()
-
-
-def asked_by_all(entries: DataFrame, asking: Broadcast) -> DataFrame:
-    """(u, v): pairs of a broadcast class with any class of another component that share enough prefix entries, each once.
-
-    Entries meet by class, so a class counts its shared tokens with every broadcast class on the spot.
-    """
-
-    def run(batches):
-        held = None
-        for b in batches:
-            cols = [np.asarray(b.column(c)) for c in range(5)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            change = np.flatnonzero(held[1][1:] != held[1][:-1]) + 1
-            if len(change):
-                yield from meet([c[: change[-1]] for c in held])
-                held = [c[change[-1] :] for c in held]
-        if held is not None and len(held[0]):
-            yield from meet(held)
-
-    def meet(own):
-        token, cls, n, pos, comp = asking.value
-        lo, hi = np.searchsorted(token, own[0]), np.searchsorted(token, own[0], "right")
-        ends = np.cumsum(hi - lo)
-        at = 0
-        while at < len(own[1]):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-            while to < len(own[1]) and own[1][to] == own[1][to - 1]:
-                to += 1  # a class stays whole
-            yield from count([c[at:to] for c in own], lo[at:to], hi[at:to])
-            at = to
-
-    def count(own, lo, hi):
-        _, cls, n, pos, comp = asking.value
-        q, i = ragged(lo, hi - lo), np.repeat(np.arange(len(lo)), hi - lo)
-        x, m, j = own[1][i], own[2][i].astype(np.int64), own[3][i].astype(np.int64)
-        known = np.isin(x, cls)
-        ok = (comp[q] != own[4][i]) & (~known | (cls[q] < x)) & (4 * np.minimum(n[q], m) >= 3 * np.maximum(n[q], m))
-        q, x, m, j = q[ok], x[ok], m[ok], j[ok]
-        if not len(q):
-            return
-        fit = fits(n[q], pos[q], m, j)
-        order = np.lexsort((cls[q], x))
-        a, b = x[order], cls[q][order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        votes = np.diff(np.append(first, len(a)))
-        keep = np.maximum.reduceat(fit[order], first) & (votes >= least_votes(n[q][order][first], m[order][first]))
-        a, b = a[first][keep], b[first][keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
-
-    return entries.select("token", "cls", "n", "pos", "comp").repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "u long, v long")
-
-
-def cross_pairs(entries: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(u, v): every pair of entries of a token in different components that can be linked, each pair once.
-
-    Classes that crowded tokens leave outside are asked by all others, if their entries are counted to be few enough to
-    be broadcast; all other pairs, or all pairs without that, come from lists of partners.
-    """
-    busy = cut(busy_classes(entries, crowd))
-    theirs = entries.join(busy, "cls", "left_semi").select("token", "cls", "n", "pos", "comp")
-    if not 0 < theirs.count() <= BUSY_ENTRIES:
-        return listed_pairs(entries)
-    own = theirs.orderBy("token", "cls").toArrow()
-    arrays = tuple(np.asarray(own.column(c).combine_chunks()).astype(np.int64) for c in own.column_names)
-    pairs = asked_by_all(entries, entries.sparkSession.sparkContext.broadcast(arrays))
-    return pairs.unionByName(listed_pairs(entries.join(busy, "cls", "left_anti")))
-
-
 def listed_pairs(entries: DataFrame) -> DataFrame:
-    """(u, v): pairs that share enough prefix entries, from the lists of partners of each class."""
+    """Rows (cls, v, n, m, votes, fit) of all pairs across components, one for each pair, from the lists of partners of each class."""
 
     def run(batches):
         m, n, parts = None, 0, []
@@ -410,100 +449,201 @@ def listed_pairs(entries: DataFrame) -> DataFrame:
         v, first, at, votes = np.unique(p["cls"], return_index=True, return_inverse=True, return_counts=True)
         some = np.zeros(len(v), bool)
         some[at[p["fits"]]] = True
-        v = v[some & (votes >= least_votes(n, p["n"][first].astype(np.int64)))]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(v, m)), pa.array(np.minimum(v, m))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.full(len(v), m)), pa.array(p["n"][first]), pa.array(np.full(len(v), n, np.int32)), pa.array(votes.astype(np.int32)), pa.array(some)], names=["cls", "v", "n", "m", "votes", "fit"])
 
-    return partner_lists(entries).repartition("m").sortWithinPartitions("m").mapInArrow(run, "u long, v long").distinct()
+    return partner_lists(entries).repartition("m").sortWithinPartitions("m").mapInArrow(run, "cls long, v long, n int, m int, votes int, fit boolean")
 
 
-def only(sets: DataFrame, needed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each needed class (column `cls`). The needed classes are broadcast if they are counted to be few."""
-    if needed.count() <= BROADCAST_ROWS:
+def only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, n, sig, low), one row for each class of the pairs. Their classes are broadcast if there are counted to be few."""
+    needed = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+    if 2 * pairs.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    return sets.select(*columns).join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+    return sets.select("cls", "n", "sig", "low").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+
 
+def is_linked(n: int, sig: bytes, low: bytes, m: int, sig_m: bytes, low_m: bytes) -> bool:
+    """Suffix filter, then the overlap of two packed sets."""
+    least = -(-3 * (n + m) // 7)
+    if overlap_bound(sig, sig_m) < least:
+        return False
+    bits = min(len(sig), len(sig_m)).bit_length() - 1
+    x, y = unpack(sig, low, bits), unpack(sig_m, low_m, bits)
+    return len(np.intersect1d(x, y)) >= least
 
-def classes_of(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct())
 
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that are linked."""
 
-def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with the columns of both sides' sets, suffixed _u and _v."""
+    def run(batches):
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(2, 8)]
+            yield b.select(["u", "v"]).filter(pa.array([is_linked(*x) for x in zip(*cols, strict=True)], pa.bool_()))
+
+    pairs = cut(pairs.select("u", "v"))
+    held = only(sets, pairs)
     for s in "uv":
-        side = sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns])
-        pairs = pairs.join(side, F.col(s) == F.col(f"cls_{s}"))
-    return pairs
+        side = held.select(*[F.col(c).alias(f"{c}_{s}") for c in held.columns])
+        pairs = pairs.join(side, F.col(s) == F.col(f"cls_{s}")).drop(f"cls_{s}")
+    return pairs.select("u", "v", "n_u", "sig_u", "low_u", "n_v", "sig_v", "low_v").mapInArrow(run, "u long, v long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, best: bool = False) -> DataFrame:
-    """(u, v) of the pairs that are linked: suffix filter first, then the sets. `best`: of each u only the pair with most votes."""
+def best(pairs: DataFrame) -> DataFrame:
+    """Of each u the pair with most votes."""
+    return pairs.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("b")).select("u", F.col("b.v").alias("v"))
+
+
+def open_tokens(crowd: DataFrame) -> DataFrame:
+    """(token, major, n, k): tokens that several components share, the largest one, the entries, and those outside it."""
+    counts = crowd.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    return cut(counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("k")).where("k > 0"))
 
-    def suffix(batches):
-        for b in batches:
-            c = b.to_pydict()
-            ok = [overlap_bound(x, y) >= -(-3 * (n + m) // 7) for x, y, n, m in zip(c["sig_u"], c["sig_v"], c["n_u"], c["n_v"], strict=True)]
-            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    def exact(batches):
+def few(table: DataFrame, rows: int) -> DataFrame:
+    """`table`, to be broadcast if it is counted to be small."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def asked(crowd: DataFrame, tokens: DataFrame, n_tokens: int, sets: DataFrame) -> DataFrame | None:
+    """(u, v): links that join all components which crowded tokens show to be linked; none if the classes that these tokens
+    leave outside their largest components are too many to be broadcast.
+
+    Of two classes in different components that share a crowded token, one is outside the largest component. All classes of
+    crowded tokens come with their sets, meet these busy ones on the spot, best partners first, and are verified there. A
+    pair that links found before in the task have joined needs no look, so at most one link is made for each merger.
+    """
+    own = few(tokens.select("token", "major"), n_tokens)
+    busy = cut(crowd.join(own, "token").where("comp <> major").select("cls").distinct())
+    theirs = crowd.join(few(busy, busy.count()), "cls", "left_semi")
+    size = theirs.groupBy("cls").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    if size[0] > BUSY_SHINGLES or size[1] > BUSY_ENTRIES:
+        return None
+    grouped = crowd.groupBy("cls").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("t").alias("t"), F.collect_list("token").alias("tokens"))
+    needed = F.broadcast(grouped.select("cls")) if n_tokens <= BROADCAST_ROWS and crowd.count() <= BROADCAST_ROWS else grouped.select("cls")
+    packed = sets.select("cls", "sig", "low").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+    ready = cut(grouped.join(packed, "cls"))
+    rows = ready.join(few(busy, size[1]), "cls", "left_semi").orderBy("cls").toArrow().to_pylist()
+    if not rows:
+        return None
+    cls, n, comp, t = (np.array([r[c] for r in rows], np.int64) for c in ("cls", "n", "comp", "t"))
+    token = np.concatenate([np.array(r["tokens"], np.int64) for r in rows])
+    index = np.repeat(np.arange(len(rows)), [len(r["tokens"]) for r in rows])
+    order = np.argsort(token, kind="stable")
+    rest = t - np.bincount(index, minlength=len(rows))
+    known = crowd.sparkSession.sparkContext.broadcast((cls, n, comp, rest, token[order], index[order], [r["sig"] for r in rows], [r["low"] for r in rows]))
+
+    def run(batches):
+        b_cls, b_n, b_comp, b_rest, b_token, b_index, sigs, lows = known.value
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
         for b in batches:
-            c = b.to_pydict()
-            ok = []
-            for i in range(b.num_rows):
-                bits = min(len(c["sig_u"][i]), len(c["sig_v"][i])).bit_length() - 1
-                x, y = unpack(c["sig_u"][i], c["low_u"][i], bits), unpack(c["sig_v"][i], c["low_v"][i], bits)
-                ok.append(175 * len(np.intersect1d(x, y)) >= 75 * (c["n_u"][i] + c["n_v"][i]))
-            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    if best:
-        pairs = pairs.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("b")).select("u", F.col("b.v").alias("v"))
-    pairs = cut(pairs.select("u", "v"))
-    light = only(sets, classes_of(pairs), ["cls", "n", "sig"])
-    close = cut(beside(pairs, light).select("u", "v", "n_u", "sig_u", "n_v", "sig_v").mapInArrow(suffix, "u long, v long"))
-    heavy = only(sets, classes_of(close), ["cls", "n", "sig", "low"])
-    return beside(close, heavy).select("u", "v", "n_u", "sig_u", "low_u", "n_v", "sig_v", "low_v").mapInArrow(exact, "u long, v long")
+            u, v = [], []
+            for r in b.to_pylist():
+                mine = np.array(r["tokens"], np.int64)
+                lo, hi = np.searchsorted(b_token, mine), np.searchsorted(b_token, mine, "right")
+                met, votes = np.unique(b_index[ragged(lo, hi - lo)], return_counts=True)
+                m = b_n[met]
+                at = int(np.searchsorted(b_cls, r["cls"]))
+                known_too = at < len(b_cls) and b_cls[at] == r["cls"]
+                ok = (b_comp[met] != r["comp"]) & (4 * np.minimum(m, r["n"]) >= 3 * np.maximum(m, r["n"])) & (votes + np.minimum(b_rest[met], r["t"] - len(mine)) >= least_votes(np.int64(r["n"]), m))
+                if known_too:
+                    ok &= met < at
+                met = met[ok][np.argsort(-votes[ok], kind="stable")]
+                for j in met.tolist():
+                    x, y = root(r["comp"]), root(int(b_comp[j]))
+                    if x != y and is_linked(r["n"], r["sig"], r["low"], int(b_n[j]), sigs[j], lows[j]):
+                        up[x] = y
+                        u.append(r["cls"])
+                        v.append(int(b_cls[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return ready.select("cls", "n", "comp", "t", "tokens", "sig", "low").mapInArrow(run, "u long, v long")
+
+
+def frequent_shingles(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), sorted by shingle, of at most about `most` shingles with the largest counts. The count from which
+    on they are taken comes from a histogram with 16 steps for each doubling."""
+    counts = cut(table.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")))
+    step = F.floor(16 * F.log2(F.col("seen").cast("double")))
+    least, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["step"]):  # 16 rows for each doubling
+        total += r["c"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counts.where(step >= least).toArrow()
+    keys, seen = (np.asarray(got.column(c).combine_chunks()) for c in ("shingle", "seen"))
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], seen[order]
 
 
-def link(docs: DataFrame, k: int = K, hot: int = HOT, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+def link(docs: DataFrame, k: int = K, hot: int = HOT, frequent: int = FREQUENT, rounds: int = ROUNDS, easy: int = EASY) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; columns doc_id and text are read."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     table = written(features(docs, k))
     members = table.where("n IS NOT NULL")
-    sets = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
-    ranked = table.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(frequent).toArrow()
-    keys = np.asarray(ranked.column("shingle").combine_chunks()).view(np.uint64)
-    order = np.argsort(keys)
-    ranks = docs.sparkSession.sparkContext.broadcast((keys[order], np.asarray(ranked.column("seen").combine_chunks())[order]))
+    sets = members.where("cls IS NOT NULL")
+    ranks = spark.sparkContext.broadcast(frequent_shingles(table, frequent))
     total = members.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     met = written(shared_entries(prefix_entries(docs, ranks, k, hot), max(1, -(-total // ENTRIES))))
-    release(docs.sparkSession)
-    whole = members.where("cls IS NOT NULL")
-    entries = met.where("token IS NOT NULL").select("token", "cls", "n", "pos")
-    pairs = met.where("token IS NULL").groupBy(F.col("cls").alias("u"), F.col("pivot").alias("v")).agg(F.sum("votes").alias("votes"))
-    links, comps, last_tries, now = None, None, None, entries.withColumn("comp", F.col("cls"))
+    release(spark)
+    found = [cut(verify(best(met.where("token IS NULL").groupBy(F.col("cls").alias("u"), F.col("pivot").alias("v")).agg(F.sum("votes").alias("votes"))), sets))]
+    comps = components(found[0])
+    per_class = Window.partitionBy("cls")
+    near = with_components(met.where("token IS NOT NULL").select("token", "cls", "n", "pos", "need", "wide"), comps)
+    near = written(opened(near.withColumn("t", F.count(F.lit(1)).over(per_class)).where("need <= t"), easy))
+    drop(met)
+    release(spark)
+    crowd = near.where("token IS NOT NULL").select("token", "cls", "n", "pos", "comp", "t")
+    rows = near.where("token IS NULL").select("cls", "v", "n", "m", "votes", "fit")
+    tokens = open_tokens(crowd)
+    last_tries = None
     for step in range(1, rounds + 1):
-        found = cut(verify(pairs, whole, best=True))
-        grew = found.count()
-        if grew:
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
-            now = now.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        open_tokens = now.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-        now = cut(now.join(open_tokens, "token", "left_semi"))
-        release(docs.sparkSession)
-        work = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.max("c").alias("m"))
-        have, tries = work.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - F.col("m")))).first()
-        if not have or tries <= EASY * have or last_tries and 2 * tries > last_tries:
+        n_tokens, have, tries = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("k")), F.lit(0))).first()
+        if tries <= easy * have or last_tries and 2 * tries > last_tries:
             break
         last_tries = tries
-        pairs = star_pairs(now, step)
-    last = cut(verify(cross_pairs(now), whole))
-    if not last.isEmpty():
-        links = last if links is None else links.unionByName(last)
-        comps = components(links)
-    if comps is None:
-        named = sets.select("cls", F.col("first_id").alias("component_id"))
+        crowd = cut(crowd.join(few(tokens.select("token"), n_tokens), "token", "left_semi"))
+        more = cut(verify(best(star_pairs(crowd, step)), sets))
+        if more.isEmpty():
+            break
+        found.append(more)
+        comps = components(reduce(DataFrame.unionByName, found))
+        crowd = cut(with_components(crowd, comps))
+        tokens = open_tokens(crowd)
     else:
-        own = sets.join(comps, sets["cls"] == comps["node"], "left").select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
-        named = own.join(own.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("cls", "component_id")
+        n_tokens = tokens.count()
+    if n_tokens:
+        crowd = crowd.join(few(tokens.select("token"), n_tokens), "token", "left_semi")
+        more = asked(crowd, tokens, n_tokens, sets)
+        if more is None:
+            rows = rows.unionByName(listed_pairs(crowd))
+        else:
+            more = cut(more)
+            found.append(more)
+            comps = components(reduce(DataFrame.unionByName, found))
+    pairs = voted(rows)
+    for side in "uv":
+        pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
+    pairs = pairs.where(F.coalesce("comp_u", "u") != F.coalesce("comp_v", "v"))
+    found.append(cut(verify(pairs, sets)))
+    comps = components(reduce(DataFrame.unionByName, found))
+    first = sets.groupBy("cls").agg(F.min("doc_id").alias("first_id"))
+    own = first.join(comps, first["cls"] == comps["node"], "left").select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
+    named = own.join(own.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("cls", "component_id")
     out = members.select("doc_id", "cls", "n").join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    result = written(out)
+    drop(table)
+    drop(near)
+    return result

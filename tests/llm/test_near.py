@@ -42,19 +42,38 @@ def test_components_agree_with_all_pairs(texts, kw):
     assert linked(ngramjoin.link(texts(rows), **kw)) == sorted(brute_components(rows))
 
 
-@pytest.mark.parametrize("crowd", [3, 10])
-def test_busy_classes(texts, monkeypatch, crowd):
+@pytest.mark.parametrize("kw", [{"rounds": 0, "easy": 2}, {"rounds": 8, "easy": 0}, {"rounds": 1, "easy": 5, "hot": 3}])
+def test_crowded_tokens(texts, kw):
     rows = corpus(4)
-    old = ngramjoin.cross_pairs
-    monkeypatch.setattr(ngramjoin, "cross_pairs", lambda e: old(e, crowd=crowd))
-    assert linked(ngramjoin.link(texts(rows), rounds=1)) == sorted(brute_components(rows))
+    assert linked(ngramjoin.link(texts(rows), **kw)) == sorted(brute_components(rows))
 
 
-def test_splitting_of_hot_tokens(texts, spark, monkeypatch):
+@pytest.mark.parametrize("kw", [{"rounds": 0, "easy": 2}, {"rounds": 1, "easy": 0, "hot": 3}])
+def test_crowded_tokens_whose_classes_are_too_many_to_broadcast(texts, monkeypatch, kw):
     rows = corpus(2)
     old = ngramjoin.partner_lists
+    monkeypatch.setattr(ngramjoin, "BUSY_ENTRIES", 0)
     monkeypatch.setattr(ngramjoin, "partner_lists", lambda e: old(e, bound=4))
-    assert linked(ngramjoin.link(texts(rows), rounds=1)) == sorted(brute_components(rows))
+    assert linked(ngramjoin.link(texts(rows), **kw)) == sorted(brute_components(rows))
+
+
+def test_wide_tokens_and_small_bounds(texts, monkeypatch):
+    rows = corpus(7)
+    old = ngramjoin.shared_entries
+    monkeypatch.setattr(ngramjoin, "shared_entries", lambda e, tasks: old(e, tasks, wide=6))
+    monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngramjoin, "ENTRIES", 64)
+    assert linked(ngramjoin.link(texts(rows))) == sorted(brute_components(rows))
+
+
+def test_least_votes_of_sizes_between_two():
+    n = np.arange(1, 400)
+    for lo in (0.75, 0.8, 0.9, 1.0):
+        for hi in (1.0, 1.1, 1.2, 4 / 3):
+            a, b = np.ceil(lo * n).astype(np.int64), np.maximum(np.ceil(lo * n), np.floor(hi * n)).astype(np.int64)
+            least = np.minimum(ngramjoin.least_votes(n, a), ngramjoin.least_votes(n, b)) - 1
+            for x, y, z, w in zip(n, a, b, least, strict=True):
+                assert (ngramjoin.least_votes(x, np.arange(y, z + 1)) >= w).all()
 
 
 def test_repeated_ids_and_null_ids(texts):
@@ -81,8 +100,9 @@ def test_sets_pack_and_unpack():
 def test_components_of_a_chain(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (5, 5)], "u long, v long")
-    got = {r["node"]: r["comp"] for r in components.components(links).collect()}
-    assert got == {**dict.fromkeys(range(n + 1), 0), 100: 100, 101: 100}
+    for at_once in (components.LINKS_AT_ONCE, 0):
+        got = {r["node"]: r["comp"] for r in components.components(links, at_once).collect()}
+        assert {**got, 5: 0} == {**dict.fromkeys(range(n + 1), 0), 100: 100, 101: 100}
 
 
 def bytes_kept(df):
