@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.sources.scratch import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of this session only where none is set, as in tests."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return jsc.getCheckpointDir().get()
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is set and all runs in one process, as in tests."""
+    return shared_folder(spark)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
@@ -55,5 +54,7 @@ def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle and checkpoint files of steps that nothing refers to; it follows the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works beside

@@ -51,6 +51,7 @@ K = 5
 FREQUENT = 1 << 21  # ranked shingles; 16 bytes each go to every task
 COUNTED = 1 << 22  # shingles that a task counts at once
 ENTRIES = 1 << 19  # entries per task when prefixes meet
+MOST_TASKS = 20_000
 PAIRS_AT_ONCE = 1 << 20
 PARTNER = np.dtype([("cls", "<i8"), ("n", "<i4"), ("fits", "?")])
 HOT = 50_000  # a shingle counted in so many documents is spread over tasks
@@ -191,18 +192,33 @@ def least_votes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.minimum(*spare))
 
 
-def shared_entries(entries: DataFrame, tasks: int, wide: int = WIDE) -> DataFrame:
+def shared_entries(entries: DataFrame, tasks: int, wide: int = WIDE, most_tasks: int = MOST_TASKS) -> DataFrame:
     """Entries (token, cls, n, pos, need, wide) of tokens that two classes of similar size share (of hot tokens: all), each
     once; `need` is a bound on the least votes that a class with such a partner must have, and `wide` marks tokens that are
     hot or have more than `wide` entries. And, with a null token, the first star round over the other tokens: (cls, pivot,
-    votes), pivots being the smallest sets of a bucket within a length band."""
+    votes), pivots being the smallest sets of a bucket within a length band.
+
+    A task holds the entries of its tokens, about ENTRIES of them; with more than `most_tasks` tasks of that size, fewer tasks
+    get their entries in order and take them in pieces that end between tokens."""
 
     def run(batches):
-        parts = [[np.asarray(b.column(c)) for c in range(4)] for b in batches]
-        if not parts:
-            return
-        token, cls, both, spread = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+        held, size = [], 0
+        for b in batches:
+            held.append([np.asarray(b.column(c)) for c in range(4)])
+            size += b.num_rows
+            if tasks > most_tasks and size >= ENTRIES:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                change = np.flatnonzero(cols[3][1:] != cols[3][:-1]) + 1
+                if len(change):
+                    yield from piece(*(c[: change[-1]] for c in cols))
+                    cols = [c[change[-1] :] for c in cols]
+                held, size = [cols], len(cols[0])
+        if size:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            del held
+            yield from piece(*cols)
+
+    def piece(token, cls, both, spread):
         order = np.lexsort((cls, both >> 32, token))
         token, cls, both, spread = token[order], cls[order], both[order], spread[order]
         fresh = np.ones(len(token), bool)
@@ -245,7 +261,8 @@ def shared_entries(entries: DataFrame, tasks: int, wide: int = WIDE) -> DataFram
             s = start[lo : lo + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int64()), pa.array(u[s]), *(pa.nulls(len(s), pa.int32()) for _ in range(3)), pa.nulls(len(s), pa.bool_()), pa.array(v[s]), pa.array(votes[lo : lo + (1 << 18)])], names=names)
 
-    return entries.repartition(tasks, "spread").mapInArrow(run, "token long, cls long, n int, pos int, need int, wide boolean, pivot long, votes int")
+    dealt = entries.repartition(min(tasks, most_tasks), "spread")
+    return (dealt.sortWithinPartitions("spread") if tasks > most_tasks else dealt).mapInArrow(run, "token long, cls long, n int, pos int, need int, wide boolean, pivot long, votes int")
 
 
 def with_components(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -613,7 +630,6 @@ def link(docs: DataFrame, k: int = K, hot: int = HOT, frequent: int = FREQUENT,
         if tries <= easy * have or last_tries and 2 * tries > last_tries:
             break
         last_tries = tries
-        crowd = cut(crowd.join(few(tokens.select("token"), n_tokens), "token", "left_semi"))
         more = cut(verify(best(star_pairs(crowd, step)), sets))
         if more.isEmpty():
             break
@@ -624,7 +640,7 @@ def link(docs: DataFrame, k: int = K, hot: int = HOT, frequent: int = FREQUENT,
     else:
         n_tokens = tokens.count()
     if n_tokens:
-        crowd = crowd.join(few(tokens.select("token"), n_tokens), "token", "left_semi")
+        crowd = cut(crowd.join(few(tokens.select("token"), n_tokens), "token", "left_semi"))
         more = asked(crowd, tokens, n_tokens, sets)
         if more is None:
             rows = rows.unionByName(listed_pairs(crowd))

@@ -66,6 +66,14 @@ def test_wide_tokens_and_small_bounds(texts, monkeypatch):
     assert linked(ngramjoin.link(texts(rows))) == sorted(brute_components(rows))
 
 
+def test_sorted_pieces(texts, monkeypatch):
+    rows = corpus(9)
+    old = ngramjoin.shared_entries
+    monkeypatch.setattr(ngramjoin, "shared_entries", lambda e, tasks: old(e, 9, most_tasks=2))
+    monkeypatch.setattr(ngramjoin, "ENTRIES", 200)
+    assert linked(ngramjoin.link(texts(rows))) == sorted(brute_components(rows))
+
+
 def test_least_votes_of_sizes_between_two():
     n = np.arange(1, 400)
     for lo in (0.75, 0.8, 0.9, 1.0):
@@ -125,6 +133,28 @@ def test_removed_bytes_agree_with_counting(texts, bound):
     assert bytes_kept(suffixdedup.dedup(texts(rows), bound=bound)) == sorted(repeated(rows, 200))
 
 
+@pytest.mark.parametrize("bound", [suffixdedup.BOUND, 3])
+def test_repetitive_texts_agree_with_counting(texts, bound):
+    rng = random.Random(12)
+    block = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(1, "a" * 30_000), (2, "abcdefg" * 4000), (3, "a" * 199 + "b"), (4, "x" + "a" * 230), (5, block(150) * 90), (6, block(185) * 60 + block(300)), (7, "cdefgab" * 30), (8, "é" * 9000), (None, block(400)), (10, block(230) + "a" * 205)]
+    assert bytes_kept(suffixdedup.dedup(texts(rows).where("doc_id IS NOT NULL"), bound=bound)) == sorted(repeated([r for r in rows if r[0] is not None], 200))
+
+
+def test_segments_of_repetitive_texts_stay_small(texts):
+    for text in (b"a" * 1_000_000, b"abcdefg" * 150_000):
+        row, _, place, lo, hi, runs = suffixdedup.window_anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert (hi - lo + suffixdedup.LENGTH).sum() < 1.1 * len(text) and len(row) < 40 and (hi - lo).max() < suffixdedup.PIECE
+        assert lo[0] == 0 and (lo[1:] == hi[:-1] + 1).all() and hi[-1] == len(text) - suffixdedup.LENGTH and (runs > 1).all()
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 123, 300_000).astype(np.uint8)
+    _, _, _, lo, hi, runs = suffixdedup.window_anchors(text, np.array([0, len(text)]))
+    assert (hi - lo + suffixdedup.LENGTH).sum() < 4 * len(text) and (runs == 1).all()
+    rows = [(1, "a" * 1_000_000), (2, "abcdefg" * 150_000)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixdedup.dedup(texts(rows), bound=64).collect()}
+    assert got == {1: (1_000_000, 1), 2: (1_050_000, 1)}
+
+
 def test_order_is_that_of_the_strings():
     rng = random.Random(8)
     block = bytes(rng.choice(b"ab") for _ in range(30))
