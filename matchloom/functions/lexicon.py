@@ -1,17 +1,16 @@
 """Word lists. All are defaults that callers can replace by DataFrames or lists of their own."""
 
-# English stop words (Spark's public default list).
+# English stop words (the public list of a common natural language toolkit), which documentation is cleaned by.
 STOP_WORDS = tuple(
     """
-i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
-itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
-has had having do does did doing a an the and but if or because as until while of at by for with about against between
-into through during before after above below to from up down in out on off over under again further then once here there
-when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
-just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's
-we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't
-wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's
-where's who's why's would
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she
+she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those
+am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by
+for with about against between into through during before after above below to from up down in out on off over under again
+further then once here there when where why how all any both each few more most other some such no nor not only own same so
+than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't
+doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't
+shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split()
 )
 
@@ -25,7 +24,7 @@ NOUN_EXCEPTIONS = {
     "phenomena": "phenomenon", "data": "data", "bacteria": "bacterium", "lives": "life", "wives": "wife", "knives": "knife", "leaves": "leaf",
 }
 
-#: A small lexicon of nouns for the default lemmatiser; a real one is passed as a DataFrame (word STRING).
+#: A small lexicon of nouns for the default lemmatiser; a real one is read by `sources.lexicon.load_lexicon`.
 NOUNS = tuple(
     """
 age analysis answer artery attack background basis biopsy birth blood body bone box branch category cause cell center

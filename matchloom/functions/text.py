@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -30,8 +31,8 @@ def ascii_only(tokens: Column) -> Column:
 
 def drop_stop_words(tokens: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     """Tokens that are no stop words, repeats kept; all tokens if nothing else would be left."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    kept = F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    words = list(stop_words)
+    kept = F.filter(tokens, lambda t: ~t.isin(words))  # a hash set in the JVM
     return F.when(F.size(kept) == 0, tokens).otherwise(kept)
 
 
@@ -69,6 +70,24 @@ def id_concat(*parts: str | Column, null: str | None = None, sep: str = ".") ->
     return F.concat(*joined)
 
 
+def replaced(text: Column, pattern: str, by: str) -> Column:
+    """Every match of a pattern replaced; `$1` in `by` is its first group."""
+    return F.regexp_replace(text, pattern, by)
+
+
+def extracted(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match of a pattern; null without a match."""
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+
+
+def pattern_renamed(names: Iterable[str], pattern: str, by: str) -> list[str]:
+    """Names with every match of a pattern replaced (`\\1`: its first group); equal results are an error."""
+    out = [re.sub(pattern, by, n) for n in names]
+    if len(set(out)) < len(out):
+        raise ValueError(f"names are not distinct any more: {out}")
+    return out
+
+
 def suffix_renamed(names: Iterable[str], old: str = "_1", new: str = "_2") -> list[str]:
     """Names with an ending replaced; names without it stay."""
     return [n[: -len(old)] + new if n.endswith(old) else n for n in names]

@@ -46,19 +46,18 @@ def noun_exceptions(spark: SparkSession) -> DataFrame:
 
 
 def lemma_table(words: DataFrame, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:
-    """(word, lemma) of the distinct words whose lemma differs: an exception, or the first rule's form that the lexicon has.
-
-    A word that is in the lexicon itself is left alone.
+    """(word, lemma) of the distinct words whose lemma differs: an exception, or the shortest of the word and the rules' forms
+    that the lexicon has; of equally short ones the word itself, then the first rule's form.
     """
     spark = words.sparkSession
     lexicon = (noun_lexicon(spark) if lexicon is None else lexicon).select(F.col("word").alias("known")).distinct()
     exceptions = noun_exceptions(spark) if exceptions is None else exceptions
     distinct = words.select("word").distinct()
     forms = distinct.select("word", F.posexplode(lemma_candidates(F.col("word"))).alias("pos", "form"))
-    found = forms.join(lexicon, forms["form"] == lexicon["known"]).groupBy("word").agg(F.min_by("form", "pos").alias("rule"), F.max((F.col("form") == F.col("word")).cast("int")).alias("own"))
+    order = F.struct(F.length("form"), (F.col("form") != F.col("word")).cast("int"), "pos")
+    found = forms.join(lexicon, forms["form"] == lexicon["known"]).groupBy("word").agg(F.min_by("form", order).alias("rule"))
     out = distinct.join(exceptions, "word", "left").join(found, "word", "left")
-    lemma = F.coalesce("lemma", F.when(F.coalesce("own", F.lit(0)) == 0, F.col("rule")))
-    return out.select("word", lemma.alias("lemma")).where("lemma IS NOT NULL AND lemma <> word")
+    return out.select("word", F.coalesce("lemma", "rule").alias("lemma")).where("lemma IS NOT NULL AND lemma <> word")
 
 
 def lemmatize(corpora: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:

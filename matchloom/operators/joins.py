@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.operators.ranking import numbered_rows
 from matchloom.sources.files import read_data_if_needed
 
 
@@ -88,5 +89,12 @@ def exploded_pairs(data: DataFrame, a: str, b: str) -> DataFrame:
     return data.withColumn("_z", F.explode(F.arrays_zip(a, b))).withColumns({a: F.col(f"_z.{a}"), b: F.col(f"_z.{b}")}).drop("_z")
 
 
+def bind_columns(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+    """Columns of `a` beside those of `b`, row by row in the order of a numeric key of each side; a shorter side ends in nulls.
+    `b` may repeat no column name of `a`."""
+    x, y = numbered_rows(a, order_a, "_row"), numbered_rows(b, order_b, "_row")
+    return x.join(y, "_row", "full").drop("_row")
+
+
 def union_by_name(*frames: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)

@@ -51,6 +51,23 @@ def row_numbers(data: DataFrame, by: list[str], order: list, name: str = "row_nu
     return data.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def numbered_rows(data: DataFrame, key: str, name: str = "row_number", buckets: int = 256) -> DataFrame:
+    """Rows with their place 1..n in the order of a numeric key, nulls first. Approximate quantiles cut the keys into
+    buckets, which are numbered apart and moved by the counts of the buckets before, so no task sorts all rows. Rows of one
+    key are numbered in any order."""
+    cuts = sorted({c for c in data.select(F.col(key).cast("double").alias("_x")).approxQuantile("_x", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))})
+    bucket = F.when(F.col(key).isNull(), 0).otherwise(1 + (F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(key).cast("double") > c)) if cuts else F.lit(0)))
+    own = data.withColumn("_bucket", bucket)
+    counts = {r["_bucket"]: r["c"] for r in own.groupBy("_bucket").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most `buckets` + 1 rows
+    starts, at = [], 0
+    for i in sorted(counts):
+        starts += [F.lit(i), F.lit(at).cast("long")]
+        at += counts[i]
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    before = F.create_map(*starts)[F.col("_bucket")] if starts else F.lit(0)
+    return own.withColumn(name, place + before).drop("_bucket")
+
+
 def top_with_ties(data: DataFrame, by: list[str], score: str, n: int = 10) -> DataFrame:
     """The n largest scores of each group, ties kept."""
     w = Window.partitionBy(*by).orderBy(F.round(score, PLACES).desc_nulls_last())

@@ -57,9 +57,11 @@ def sparse_scores(refs: DataFrame, pairs: DataFrame) -> DataFrame:
     return p.join(r, "term").groupBy("reference_id", "paired_id").agg(F.sum(F.col("rw") * F.col("pw")).alias("score"))
 
 
-def with_zeros(scores: DataFrame, ref_ids: DataFrame, pair_ids: DataFrame) -> DataFrame:
-    """Scores of all pairs of a stated reference set with the candidates, 0 where they share nothing."""
-    every = pair_ids.select("paired_id").crossJoin(bounded(ref_ids.select("reference_id")))
+def with_zeros(scores: DataFrame, ref_ids: DataFrame, pair_ids: DataFrame, counted: bool = False) -> DataFrame:
+    """Scores of all pairs of a stated reference set with the candidates, 0 where they share nothing. `counted`: the
+    references are known to be few already."""
+    refs = ref_ids.select("reference_id")
+    every = pair_ids.select("paired_id").crossJoin(F.broadcast(refs) if counted else bounded(refs))
     return every.join(scores, ["reference_id", "paired_id"], "left").select("reference_id", "paired_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -108,17 +110,18 @@ class VariableSimilarityCalculator:
         """
         if pair_ids is not None and strict and not (gone := missing_ids(pair_ids, weights)).isEmpty():
             raise ValueError(f"candidates without a document, e.g. {gone.first()['doc_id']}")
-        refs = weights.join(bounded(self.ref_ids), "doc_id")
+        few = self.ref_ids.count() <= BROADCAST_ROWS
+        hint = F.broadcast if few else (lambda side: side)
         pairs = weights if pair_ids is None else weights.join(pair_ids.select("doc_id").distinct(), "doc_id", "left_semi")
         if dense:
-            scores = dense_scores(refs, pairs)
+            scores = dense_scores(weights.join(hint(self.ref_ids), "doc_id"), pairs)
         else:
-            once = weights.join(bounded(self.ref_ids.distinct()), "doc_id", "left_semi")
+            once = weights.join(hint(self.ref_ids.distinct()), "doc_id", "left_semi")
             scores = sparse_scores(once, pairs)
             if self.pairable is always if zeros is None else zeros:
                 names = [x.select("doc_id").distinct() for x in (once, pairs)]
-                scores = with_zeros(scores, names[0].withColumnRenamed("doc_id", "reference_id"), names[1].withColumnRenamed("doc_id", "paired_id"))
-            scores = scores.join(self.ref_ids.withColumnRenamed("doc_id", "reference_id"), "reference_id")
+                scores = with_zeros(scores, names[0].withColumnRenamed("doc_id", "reference_id"), names[1].withColumnRenamed("doc_id", "paired_id"), few)
+            scores = scores.join(hint(self.ref_ids.withColumnRenamed("doc_id", "reference_id")), "reference_id")
         return self.filter_scores(self.select_scores(scores)).select("reference_id", "paired_id", "score").toDF(*self.score_cols)
 
 

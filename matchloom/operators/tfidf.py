@@ -24,8 +24,8 @@ def term_counts(corpora: DataFrame, vocab: DataFrame | None = None) -> DataFrame
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    """(corpus_id, term, df)."""
-    return counts.groupBy("corpus_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    """(corpus_id, term, df). Counting by `tf` keeps that column, so a plan that also weighs the counts shares their shuffle."""
+    return counts.groupBy("corpus_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def idf(corpora: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -47,18 +47,20 @@ class CorporaTfidfVectorizer:
     def __init__(self, vocab: DataFrame | None = None) -> None:
         self.vocab, self.idf = vocab, None
 
-    def fit(self, corpora: DataFrame) -> CorporaTfidfVectorizer:
-        self.idf = idf(corpora, term_counts(corpora, self.vocab))
+    def fit(self, corpora: DataFrame, counts: DataFrame | None = None) -> CorporaTfidfVectorizer:
+        self.idf = idf(corpora, term_counts(corpora, self.vocab) if counts is None else counts)
         return self
 
-    def transform(self, corpora: DataFrame) -> DataFrame:
+    def transform(self, corpora: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         """(corpus_id, doc_id, term, weight): raw counts by idf, rows scaled to length one. Unknown terms are left out."""
-        raw = term_counts(corpora, self.vocab).join(self.idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        counts = term_counts(corpora, self.vocab) if counts is None else counts
+        raw = counts.join(self.idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
         length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("corpus_id", "doc_id")))
         return raw.select("corpus_id", "doc_id", "term", (F.col("w") / length).alias("weight"))
 
 
 def calc_tfidf(corpora: DataFrame, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, weights)."""
-    v = CorporaTfidfVectorizer(vocab).fit(corpora)
-    return v.idf.select("term"), v.transform(corpora)
+    """(vocabulary, weights), from one table of term counts."""
+    counts = term_counts(corpora, vocab)
+    v = CorporaTfidfVectorizer(vocab).fit(corpora, counts)
+    return v.idf.select("term"), v.transform(corpora, counts)

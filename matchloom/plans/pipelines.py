@@ -41,8 +41,8 @@ def concept_vectors(data: DataFrame, groups: DataFrame, *, doc_cols: list[str],
     center = vectors.centroids(weights, groups)
     pseudo = vectors.as_documents(center)
     everything = vectors.append_documents(weights.select(F.col("corpus_id").cast("string").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_id"), "term", "weight"), pseudo)
-    candidates = pair_ids if pair_ids is not None else weights.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    scores = VariableSimilarityCalculator(pseudo.select("doc_id").distinct()).score_variables(everything, candidates)
+    candidates = pair_ids if pair_ids is not None else docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    scores = VariableSimilarityCalculator(groups.select(F.col("grp").cast("string").alias("doc_id")).distinct()).score_variables(everything, candidates)
     return vectors.top_words(center, n), scores, vectors.group_cohesion(weights, groups)
 
 

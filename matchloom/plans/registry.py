@@ -229,8 +229,9 @@ def top_words_table(s, d):
 def centroid_scores(s, d):
     weights = tfidf.calc_tfidf(docs(s, d))[1].select(F.lit(None).cast("string").alias("corpus_id"), F.col("doc_id").cast("string").alias("doc_id"), "term", "weight")
     pseudo = vectors.as_documents(vectors.centroids(weights, lang_groups(s, d)))
-    calc = scoring.VariableSimilarityCalculator(pseudo.select("doc_id").distinct())
-    return scored(calc.score_variables(vectors.append_documents(weights, pseudo), weights.select("doc_id")))
+    calc = scoring.VariableSimilarityCalculator(lang_groups(s, d).select(F.col("grp").alias("doc_id")).distinct())
+    names = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return scored(calc.score_variables(vectors.append_documents(weights, pseudo), names))
 
 
 @query("lang_cohesion", f"WITH {CENTER}, q AS (SELECT grp, term, sum(weight) AS s, sum(weight * weight) AS q FROM w JOIN members USING (doc_id) GROUP BY ALL), sizes2 AS (SELECT grp, count(*) AS n FROM members GROUP BY grp) SELECT grp, n, round(CASE WHEN n > 1 THEN sum(s * s - q) / (n * (n - 1)) END, 6) AS cohesion FROM q JOIN sizes2 USING (grp) GROUP BY grp, n")
@@ -644,7 +645,7 @@ def head_and_tail(s, d):
     return profile.head_and_tail(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey || ':22895'), o_orderkey LIMIT 100")
 def sample_rows(s, d):
     return profile.sample_rows(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, 22895)
 
@@ -704,3 +705,6 @@ def term_by_id(s, d):
 @query("first_concepts", "SELECT concept_id, concept_name FROM (" + CONCEPTS + ") ORDER BY concept_id LIMIT 3")
 def first_concepts(s, d):
     return ontology.first_concepts(part_concepts(s, d)).select("concept_id", "concept_name")
+
+
+from matchloom.plans import files_registry  # noqa: E402, F401  registers its own queries

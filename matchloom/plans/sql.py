@@ -46,9 +46,9 @@ SCORES = f"""{weights(BOTH)},
 LEMMAS = f"""{tokens(DOCS)},
   words AS (SELECT DISTINCT unnest(tokens) AS word FROM toks),
   forms AS (SELECT word, unnest([{", ".join(f"struct_pack(pos := {i}, form := CASE WHEN ends_with(word, '{e}') THEN left(word, length(word) - {len(e)}) || '{n}' END)" for i, (e, n) in enumerate(NOUN_RULES))}, struct_pack(pos := {len(NOUN_RULES)}, form := word)], recursive := true) FROM words),
-  found AS (SELECT word, arg_min(form, pos) AS rule, max((form = word)::INT) AS own FROM forms WHERE form IN ({quoted(NOUNS)}) GROUP BY word),
+  found AS (SELECT word, form AS rule FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY length(form), form <> word, pos) AS k FROM forms WHERE form IN ({quoted(NOUNS)})) WHERE k = 1),
   odd(word, lemma) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in NOUN_EXCEPTIONS.items())}),
-  lemmas AS (SELECT words.word, coalesce(odd.lemma, CASE WHEN coalesce(own, 0) = 0 THEN rule END, words.word) AS lemma FROM words LEFT JOIN odd USING (word) LEFT JOIN found USING (word)),
+  lemmas AS (SELECT words.word, coalesce(odd.lemma, rule, words.word) AS lemma FROM words LEFT JOIN odd USING (word) LEFT JOIN found USING (word)),
   places AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS pos FROM toks)"""
 
 UNIT = """

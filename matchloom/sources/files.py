@@ -10,10 +10,19 @@ from pyspark.sql.types import StructType
 NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, sep: str = ",", header: bool = True, extra_nulls: bool = False) -> DataFrame:
+def quotes_hold_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line has an odd number of quotes: a scan that splits files, and ends with the first such line."""
+    odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2 == 1
+    return not spark.read.text(path).where(odd).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, sep: str = ",", header: bool = True, extra_nulls: bool = False, multi_line: bool | None = None) -> DataFrame:
     """Quoted CSV with doubled quotes and line breaks in quotes; short rows are filled with nulls. Without a schema all
-    columns are texts (no pass over the data to guess). `extra_nulls` turns the usual spellings of NA into nulls."""
-    r = spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("nullValue", "")
+    columns are texts (no pass over the data to guess). `extra_nulls` turns the usual spellings of NA into nulls.
+    `multi_line`: whether quoted fields hold line breaks, which makes each file one task; found by a look at the files if None."""
+    if multi_line is None:
+        multi_line = quotes_hold_line_breaks(spark, path)
+    r = spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("nullValue", "")
     out = (r.schema(schema) if schema is not None else r).csv(path)
     if extra_nulls:
         out = out.select(*[F.when(~F.col(c).isin(*NULLS), F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in out.dtypes])

@@ -3,27 +3,70 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
-def read_word2vec(path: str, limit: int | None = None) -> Iterator[tuple[str, list[float]]]:
-    """Words and vectors of a file: a header line "count size", then for each word its text, a space, and floats."""
-    with open(path, "rb") as f:
-        count, size = map(int, f.readline().split())
+BLOCK = 1 << 20
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path in it of a local path or a URI."""
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+def read_word2vec(path: str, limit: int | None = None, block: int = BLOCK) -> Iterator[tuple[str, list[float]]]:
+    """Words and vectors of a file: a header line "count size", then for each word its text, a space, and floats. The file is
+    read in blocks of `block` bytes."""
+    system, at = file_system(path)
+    with system.open_input_stream(at) as f:
+        held, at = bytearray(), 0
+
+        def more() -> bool:
+            nonlocal held, at
+            got = f.read(block)
+            held, at = held[at:] + got, 0
+            return bool(got)
+
+        def until(end: bytes, what: str) -> bytes:
+            nonlocal at
+            while (i := held.find(end, at)) < 0:
+                if not more():
+                    raise EOFError(f"the file ends in {what}")
+            out, at = bytes(held[at:i]), i + 1
+            return out
+
+        count, size = map(int, until(b"\n", "its header").split())
         for _ in range(min(count, limit or count)):
-            word = bytearray()
-            while (c := f.read(1)) != b" ":
-                if not c:
-                    raise EOFError("the file ends in a word")
-                if c != b"\n":
-                    word += c
-            raw = f.read(4 * size)
-            if len(raw) < 4 * size:
-                raise EOFError("the file ends in a vector")
-            yield word.decode("utf-8", "replace"), list(struct.unpack(f"<{size}f", raw))
+            word = until(b" ", "a word").replace(b"\n", b"")
+            while len(held) - at < 4 * size:
+                if not more():
+                    raise EOFError("the file ends in a vector")
+            yield word.decode("utf-8", "replace"), list(struct.unpack_from(f"<{size}f", held, at))
+            at += 4 * size
+
+
+def files_of(path: str) -> list[str]:
+    """The files of a folder in order of name, or the file itself."""
+    system, at = file_system(path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.File and not i.base_name.startswith(("_", ".")))
+    return [f"{path.rstrip('/')}/{n}" for n in names]
+
+
+class _File(InputPartition):
+    def __init__(self, path: str) -> None:
+        self.path = path
 
 
 class _Reader(DataSourceReader):
@@ -31,14 +74,59 @@ class _Reader(DataSourceReader):
         self.path, self.limit = path, limit
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # words have no fixed length, so a file is read in one go; convert it once
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from read_word2vec(self.path, self.limit)
+        return [_File(f) for f in files_of(self.path)]  # words have no fixed length, so a file is read in one go
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        yield from read_word2vec(partition.path, self.limit)
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        """A file for each task, under a name of the task's attempt; the vectors wait in a local file, since their number comes first."""
+        with tempfile.TemporaryFile() as body:
+            n, size = 0, 0
+            for r in iterator:
+                size = len(r["vec"])
+                body.write(r["word"].encode() + b" " + struct.pack(f"<{size}f", *r["vec"]) + b"\n")
+                n += 1
+            if not n:
+                return _Written(None)
+            body.seek(0)
+            system, at = file_system(self.path)
+            system.create_dir(at, recursive=True)
+            name = f"part-{uuid.uuid4().hex}.bin"
+            with system.open_output_stream(f"{at}/.{name}") as out:
+                out.write(f"{n} {size}\n".encode())
+                while chunk := body.read(BLOCK):
+                    out.write(chunk)
+        return _Written(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Names of complete files lose their dot; what attempts that were lost have left stays hidden."""
+        system, at = file_system(self.path)
+        system.create_dir(at, recursive=True)
+        for m in messages:
+            if m is not None and m.name:
+                system.move(f"{at}/.{m.name}", f"{at}/{m.name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, at = file_system(self.path)
+        for m in messages:
+            if m is not None and m.name:
+                system.delete_file(f"{at}/.{m.name}")
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str | None
 
 
 class Word2VecSource(DataSource):
-    """spark.read.format("word2vec").option("limit", n).load(path); the path must be visible to the executor."""
+    """spark.read.format("word2vec").option("limit", n).load(path) of a file, or of a folder whose files are read side by
+    side (`limit` words of each); df.write.format("word2vec").mode("append").save(path) writes a folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,6 +139,15 @@ class Word2VecSource(DataSource):
         limit = self.options.get("limit")
         return _Reader(self.options["path"], int(limit) if limit else None)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"])
+
+
+def save_word2vec(words: DataFrame, path: str) -> None:
+    """Writes (word, vec) as a folder of word2vec files."""
+    words.sparkSession.dataSource.register(Word2VecSource)
+    words.select("word", F.col("vec").cast("array<float>").alias("vec")).write.format("word2vec").mode("append").save(path)
+
 
 def load_word2vec(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     spark.dataSource.register(Word2VecSource)

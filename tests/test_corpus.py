@@ -38,11 +38,11 @@ def test_one_text(spark):
 
 
 def test_null_cells_and_several_columns(spark):
-    df = spark.createDataFrame([("a", None, "x1 y"), ("b", "Blood", None)], "id string, p string, q string")
+    df = spark.createDataFrame([("a", None, "x1 z"), ("b", "Blood", None)], "id string, p string, q string")
     out = {r["doc_id"]: r["tokens"] for r in corpus.build_corpus(df, ["p", "q"], "id").collect()}
-    assert out == {"a": ["nan", "x1", "y"], "b": ["blood", "nan"]}
+    assert out == {"a": ["nan", "x1", "z"], "b": ["blood", "nan"]}
     clean = {r["doc_id"]: r["tokens"] for r in corpus.build_corpus(df, ["p", "q"], "id", null_token="").collect()}
-    assert clean == {"a": ["x1", "y"], "b": ["blood"]}
+    assert clean == {"a": ["x1", "z"], "b": ["blood"]}
 
 
 def test_non_ascii_tokens_go_whole_and_stop_words_stay_if_alone(spark):

@@ -1,7 +1,10 @@
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.functions import predicates, stats
+from matchloom.functions import predicates, stats, text
 from matchloom.operators import combine, distribution, evaluation, joins, profile, ranking, scoring
 
 
@@ -216,3 +219,38 @@ def test_ratios_to_the_top(spark):
     df = spark.createDataFrame([("r", 0.8, 1), ("r", 0.4, 2), ("s", 0.5, 1)], "g string, s double, k int")
     assert {r["g"]: r["ratio"] for r in combine.top_scores_ratio(df, "s", "k", ["g"]).collect()} == {"r": 2.0, "s": None}
     assert sorted(r["percent"] for r in combine.percent_of_top(df, "s", "k", ["g"]).collect()) == [0.5, 1.0, 1.0]
+
+
+@pytest.mark.parametrize("exact_rows", [1 << 16, 40])
+def test_quantiles_are_exact(spark, exact_rows):
+    rng = random.Random(8)
+    rows = [(g, x) for g in ("a", "b", None) for x in [rng.choice([rng.random(), 0.5, 0.5, rng.gauss(0, 100)]) for _ in range(700)]] + [("one", 3.0), ("same", 7.0), ("same", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["share"]): r["value"] for r in profile.quantiles(df, "x", shares, ["g"], exact_rows).collect()}
+    want = {}
+    for g in ("a", "b", None, "one", "same"):
+        v = sorted(x for h, x in rows if h == g)
+        for p in shares:
+            k = int((len(v) - 1) * p)
+            want[g, p] = v[k] + (v[min(k + 1, len(v) - 1)] - v[k]) * ((len(v) - 1) * p - k)
+    assert got == pytest.approx(want)
+    whole = {r["share"]: r["value"] for r in profile.quantiles(df, "x", [0.5], exact_rows=exact_rows).collect()}
+    assert whole[0.5] == pytest.approx(statistics.median(x for _, x in rows if x is not None))
+    assert profile.quantiles(df.limit(0), "x", shares, ["g"]).collect() == []
+
+
+def test_rows_are_numbered_over_buckets(spark):
+    rng = random.Random(9)
+    keys = [rng.randint(0, 50) for _ in range(400)] + [None] * 3
+    out = ranking.numbered_rows(spark.createDataFrame([(k,) for k in keys], "k int").repartition(5), "k", "i", buckets=8).collect()
+    assert sorted(r["i"] for r in out) == list(range(1, 404))
+    assert [r["k"] for r in sorted(out, key=lambda r: r["i"])] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    a, b = spark.createDataFrame([(3, "c"), (1, "a")], "k int, x string"), spark.createDataFrame([(9, "z")], "j int, y string")
+    assert sorted(map(tuple, joins.bind_columns(a, b, "k", "j").collect())) == [(1, "a", 9, "z"), (3, "c", None, None)]
+
+
+def test_names_by_pattern():
+    assert text.pattern_renamed(["score_units", "other"], "^score_(.+)$", r"\1") == ["units", "other"]
+    with pytest.raises(ValueError, match="distinct"):
+        text.pattern_renamed(["a1", "a2"], "[0-9]", "")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import predicates
 from matchloom.operators import corpus, joins, tfidf
 from matchloom.plans import pipelines
-from matchloom.sources import files, ontology, vectors
+from matchloom.sources import files, lexicon, ontology, scratch, vectors
 from matchloom.streaming import scores as streaming
 
 
@@ -127,3 +127,43 @@ def test_stream(spark, variables, tmp_path):
     q = streaming.stream_scores(spark.readStream.schema("doc_id string, text string").parquet(str(tmp_path / "in")), model, refs, str(tmp_path / "out"), str(tmp_path / "cp"), n=2)
     q.awaitTermination()
     assert sorted(r["paired_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["v1", "v2"] or spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_word2vec_folder(spark, tmp_path):
+    words = [(f"w{i}", [float(i), i / 2]) for i in range(50)] + [("été", [0.0, -1.0])]
+    df = spark.createDataFrame(words, "word string, vec array<float>").repartition(4)
+    vectors.save_word2vec(df, str(tmp_path / "v"))
+    got = vectors.load_word2vec(spark, str(tmp_path / "v"))
+    assert sorted((r["word"], list(r["vec"])) for r in got.collect()) == sorted(words)
+    assert {r["word"]: r["vec"] for r in vectors.load_word2vec(spark, f"file://{tmp_path}/v").collect()}["w7"] == [7.0, 3.5]
+    assert list(vectors.read_word2vec(vectors.files_of(str(tmp_path / "v"))[0], block=3))
+
+
+def test_lexicon_files(spark, tmp_path):
+    (tmp_path / "index.noun").write_text("  1 licence text\nglass n 2 0 00001740\nglasses n 1 0 00001741\nhot_dog n 1 0 00001742\nwoman n 1 0 00001743\n")
+    (tmp_path / "noun.exc").write_text("feet foot\nmice mouse\naxes ax axis\n")
+    nouns, odd = lexicon.load_lexicon(spark, str(tmp_path / "index.noun")), lexicon.load_exceptions(spark, str(tmp_path / "noun.exc"))
+    assert {r["word"] for r in nouns.collect()} == {"glass", "glasses", "hot dog", "woman"}
+    words = spark.createDataFrame([(w,) for w in ("glasses", "feet", "axes", "women", "unknowns", "woman")], "word string")
+    assert {r["word"]: r["lemma"] for r in corpus.lemma_table(words, nouns, odd).collect()} == {"glasses": "glass", "feet": "foot", "axes": "ax", "women": "woman"}
+
+
+def test_a_cluster_session_must_name_its_shared_folder(spark):
+    class Missing:
+        def isEmpty(self):  # noqa: N802  as the JVM names it
+            return True
+
+    class Fake:
+        master = "spark://host:7077"
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("Sc", (), {"getCheckpointDir": lambda self: Missing()})()
+
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_folder(Fake)
