@@ -2,21 +2,22 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. Columns are
 renamed by position inside a stage, so extra columns pass through whatever their names. Rows are told apart by doc_id
-and a hash of the text, so null and repeated ids are no problem.
+and a hash of the text, so null and repeated ids are no problem. A stage's table is deleted when the next one is written; the
+last one stays in the shared folder.
+
+Defined results: rows with a null text or one without a letter leave at the first stage; a text may be very long anywhere, each
+stage reads it whole; of a group of copies or near copies with equal ids one row stays; an empty table passes through empty.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces
-from matchloom.llm._spark import numbered, shared_dir
-
+from matchloom.llm._spark import drop, numbered, written
 
-#: Share of a source's distinct texts above which a line is boilerplate; repeated lines of the test tables stand in 9 % to 30 % of each source.
+#: Share of a source's distinct texts, and two more, above which a line is boilerplate; repeated lines of the test tables stand in 9 % to 30 % of each source.
 LINE_RATIO = 0.05
 
 
@@ -82,10 +83,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{at}/{i}")
-        docs = spark.read.schema(out.schema).parquet(f"{at}/{i}")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        if last is not None:
+            drop(last)
+        last = docs
     return docs
