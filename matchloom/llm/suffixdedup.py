@@ -3,7 +3,9 @@
 The suffixes that can share `LENGTH` bytes are brought together first. Each window of LENGTH bytes has an anchor: its
 least GRAM-byte hash, the leftmost among equals. Equal windows have equal anchors at equal distances, so windows are
 sorted in buckets of (anchor hash, distance), and a text's windows with one anchor travel together as one segment.
-Anchors that occur at one place only are dropped before any text moves.
+Anchors that occur at one place only are dropped before any text moves. Where a text repeats itself closely, as with one byte
+or a short period, anchors of one hash follow each other; their windows travel as one segment of at most PIECE windows, and
+distances are found again from its bytes. So segments together are at most some four times the text.
 
 Deep-shallow sorting orders the suffixes of a bucket. Multikey quicksort splits all buckets at once by eight bytes at a
 time down to SHALLOW bytes; what is still together then usually shares a long prefix and goes to blind tries: all
@@ -12,14 +14,15 @@ branching place and word; a group whose strings agree to LENGTH bytes is a repea
 to LENGTH bytes are what an LCP array would show.
 
 Distribution: places are texts, not documents, so copies of a text count once (a text with copies is covered whole).
-Anchors are counted with map-side combination. An anchor with more than BOUND places is split over tasks; tasks then
-exchange digests of their distinct windows, which are counted with map-side combination as well. A task sorts segments
-in chunks of CHUNK bytes that end between buckets, so memory is bounded.
+Anchors are counted with map-side combination. An anchor with more than BOUND places (64 windows count as one) is split over
+tasks by text and place; tasks then exchange digests of their distinct windows, which are counted with map-side combination as well. A task sorts segments
+in chunks of CHUNK bytes that end between buckets, so memory is bounded. The result is written, and all other tables are deleted.
 
 Exactness: texts are told apart by 64-bit hash and length; windows of a split anchor are compared across tasks by
 128-bit digests, all other comparisons are of bytes. Defined results: null counts as empty; texts shorter than LENGTH
-bytes lose nothing; rows with equal texts of LENGTH bytes or more lose everything; an empty table gives an empty result;
-extra columns are ignored.
+bytes lose nothing; rows with equal texts of LENGTH bytes or more lose everything, null ids and repeated rows included; a
+very long text is read whole, by one task in the maps and by pieces in the sort; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,29 +35,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm._spark import drop, release, small_batches, written
-from matchloom.llm._text import binary_column, binary_parts, prefix_hash, ragged, range_hash, spread, text_slices
+from matchloom.llm._text import binary_column, binary_parts, mix, prefix_hash, ragged, range_hash, spread, text_slices
 
 LENGTH = 200
 GRAM = 40
 SHALLOW = 32
 BOUND = 1 << 14
 CHUNK = 4 << 20
+PIECE = 1 << 15  # windows of one segment
 U64 = np.uint64
 
 
-def window_anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, anchor place, first start, last start) of each run of windows with one anchor; places count from the row's start."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none.astype(U64), none, none, none
+def least_grams(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram hashes, place of the leftmost least one in the window of each start). Grams are compared by their upper 32 bits
+    and ties go to the left, so equal windows choose alike wherever they stand."""
     p = prefix_hash(data, spread(256, 3))
     n = len(data) - gram + 1
     g = range_hash(p, np.arange(n), np.arange(gram, gram + n))
-    low = U64((1 << 24) - 1)
-    key = (g & ~low) | np.arange(n, dtype=U64)  # a slice has fewer than 2**24 places unless it is one long text
-    if n > 1 << 24:
-        key = (g >> U64(32) << U64(32)) | np.arange(n, dtype=U64)
-        low = U64((1 << 32) - 1)
+    key = (g >> U64(32) << U64(32)) | np.arange(n, dtype=U64)
     width, reach, m = length - gram + 1, 1, key
     while reach * 2 <= width:
         m = np.minimum(m[:-reach], m[reach:])
@@ -63,6 +61,16 @@ def window_anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gra
         m = np.minimum(m[: n - width + 1], m[width - reach : width - reach + n - width + 1])
     else:
         m = m[: n - width + 1]
+    return g, (m & U64((1 << 32) - 1)).astype(np.int64)
+
+
+def window_anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """(row, anchor hash, anchor place, first start, last start, runs) of each run of windows with one anchor; runs of one
+    hash that follow each other are one, cut into pieces of `piece` windows. Places count from the row's start."""
+    none = np.zeros(0, np.int64)
+    if len(data) < length:
+        return none, none.astype(U64), none, none, none, none
+    g, anchor = least_grams(data, length, gram)
     starts = len(data) - length + 1
     ok = np.zeros(starts + 1, np.int32)  # starts whose window stays in its row
     first, last = offs[:-1], offs[1:] - length
@@ -70,7 +78,6 @@ def window_anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gra
     np.add.at(ok, first[fit], 1)
     np.add.at(ok, last[fit] + 1, -1)
     ok = np.cumsum(ok[:-1]) > 0
-    anchor = (m & low).astype(np.int64)
     new = ok.copy()
     new[1:] &= (anchor[1:] != anchor[:-1]) | ~ok[:-1]
     inside = offs[(offs > 0) & (offs < starts)]
@@ -78,29 +85,43 @@ def window_anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gra
     end = ok.copy()
     end[:-1] &= new[1:] | ~ok[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(end)
-    row = np.searchsorted(offs, lo, "right") - 1
-    return row, g[anchor[lo]], anchor[lo] - offs[row], lo - offs[row], hi - offs[row]
+    if not len(lo):
+        return none, none.astype(U64), none, none, none, none
+    row, own, place = np.searchsorted(offs, lo, "right") - 1, g[anchor[lo]], anchor[lo]
+    apart = np.ones(len(lo), bool)
+    apart[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1]) | (lo[1:] != hi[:-1] + 1)
+    at = np.flatnonzero(apart)
+    runs = np.diff(np.append(at, len(lo)))
+    lo, hi, row, own, place = lo[at], hi[np.append(at[1:], len(hi)) - 1], row[at], own[at], place[at]
+    pieces = -(-(hi - lo + 1) // piece)
+    owner = np.repeat(np.arange(len(lo)), pieces)
+    lo = lo[owner] + ragged(np.zeros(len(pieces), np.int64), pieces) * piece
+    hi = np.minimum(hi[owner], lo + piece - 1)
+    row, own, place, runs = row[owner], own[owner], place[owner], runs[owner]
+    return row, own, place - offs[row], lo - offs[row], hi - offs[row], runs
 
 
 def anchors(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(h, nb, anchor, place, lo, hi) of every text; copies in one batch count once."""
+    """(h, nb, anchor, place, lo, hi, runs) of every text; copies in one batch count once."""
 
     def run(batches):
         for b in batches:
             h, nb = np.asarray(b.column(0)), np.asarray(b.column(1))
             for lo, hi, data, offs in text_slices(b, "text"):
-                row, a, place, first, last = window_anchors(data, offs, length, gram)
+                row, a, place, first, last, runs = window_anchors(data, offs, length, gram)
                 once = np.zeros(hi - lo, bool)
                 once[np.unique(h[lo:hi], return_index=True)[1]] = True
                 keep = once[row]
                 row = row[keep] + lo
-                yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(nb[row]), pa.array(a[keep].view(np.int64)), *(pa.array(x[keep].astype(np.int32)) for x in (place, first, last))], names=["h", "nb", "anchor", "place", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(nb[row]), pa.array(a[keep].view(np.int64)), *(pa.array(x[keep].astype(np.int32)) for x in (place, first, last, runs))], names=["h", "nb", "anchor", "place", "lo", "hi", "runs"])
 
-    return texts.select("h", "nb", "text").mapInArrow(run, "h long, nb long, anchor long, place int, lo int, hi int")
+    return texts.select("h", "nb", "text").mapInArrow(run, "h long, nb long, anchor long, place int, lo int, hi int, runs int")
 
 
 def segments(hits: DataFrame, length: int = LENGTH, bound: int = BOUND) -> DataFrame:
-    """(anchor, salt, parts, h, nb, place, lo, bytes): the windows of each text around its repeated anchors."""
+    """(anchor, salt, parts, h, nb, place, lo, runs, bytes): the windows of each text around its repeated anchors."""
+
+    names = ["anchor", "salt", "parts", "h", "nb", "place", "lo", "runs", "bytes"]
 
     def run(batches):
         for b in batches:
@@ -108,22 +129,22 @@ def segments(hits: DataFrame, length: int = LENGTH, bound: int = BOUND) -> DataF
             for lo, hi, data, offs in text_slices(b, "text"):
                 lists = cols["hits"].slice(lo, hi - lo)
                 flat = lists.flatten()
-                place, first, last, anchor, seen = (np.asarray(flat.field(n)) for n in ("place", "lo", "hi", "anchor", "c"))
+                place, first, last, runs, anchor, seen = (np.asarray(flat.field(n)) for n in ("place", "lo", "hi", "runs", "anchor", "c"))
                 row = np.repeat(np.arange(hi - lo), np.asarray(lists.value_lengths()))
                 size = (last - first + length).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 parts = np.maximum(1, -(-seen // bound)).astype(np.int32)
                 h = np.asarray(cols["h"].slice(lo, hi - lo))[row]
                 nb = np.asarray(cols["nb"].slice(lo, hi - lo))[row]
-                for a in range(0, len(row), 4096):
-                    z = min(a + 4096, len(row))
+                salt = (mix(h.view(U64) + first.astype(U64) * U64(0x9E3779B97F4A7C15)) % parts.astype(U64)).astype(np.int32)
+                a = 0
+                while a < len(row):
+                    z = min(a + 4096, max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK, "right")) - 1), len(row))
                     blob = data[ragged(offs[row[a:z]] + first[a:z], size[a:z])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[a:z]), pa.array((h[a:z] % parts[a:z]).astype(np.int32)), pa.array(parts[a:z]), pa.array(h[a:z]), pa.array(nb[a:z]), pa.array(place[a:z]), pa.array(first[a:z]), binary_column(blob, ends[a : z + 1] - ends[a])],
-                        names=["anchor", "salt", "parts", "h", "nb", "place", "lo", "bytes"],
-                    )
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[a:z]) for x in (anchor, salt, parts, h, nb, place, first, runs)), binary_column(blob, ends[a : z + 1] - ends[a])], names=names)
+                    a = z
 
-    return hits.mapInArrow(run, "anchor long, salt int, parts int, h long, nb long, place int, lo int, bytes binary")
+    return hits.mapInArrow(run, "anchor long, salt int, parts int, h long, nb long, place int, lo int, runs int, bytes binary")
 
 
 def big_endian_words(data: np.ndarray) -> np.ndarray:
@@ -207,11 +228,11 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, bucket: np.ndarray, leng
 FOUND = "h long, nb long, a int, b int, d1 long, d2 long, lone boolean"
 
 
-def repeats(parts: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
+def repeats(parts: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
     """Covered spans (h, nb, a, b; d1 is null) and, of split anchors, each distinct window's digest with a place (b = a + length)."""
     tables = spread(256, 21), spread(256, 22)
 
-    def sort_chunk(anchor, salt, parts_, h, nb, place, lo, data, offs):
+    def sort_chunk(anchor, salt, parts_, h, nb, place, lo, runs, data, offs):
         group = np.cumsum(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]))
         o = np.lexsort((lo, nb, h, group))
         once = np.ones(len(o), bool)
@@ -222,6 +243,13 @@ def repeats(parts: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataF
         owner = np.repeat(np.arange(len(seg)), wins)
         shift = ragged(np.zeros(len(seg), np.int64), wins)
         rel = place[seg][owner] - lo[seg][owner] - shift
+        several = runs[seg][owner] > 1
+        if several.any():  # each window's own anchor is found again
+            s = seg[runs[seg] > 1]
+            size = np.diff(offs)[s].astype(np.int64)
+            _, near = least_grams(data[ragged(offs[s], size)], length, gram)
+            begin = ragged(np.cumsum(size) - size, size - length + 1)
+            rel[several] = near[begin] - begin
         order, cls = deep_shallow(big_endian_words(data), starts, group[seg][owner] * (length + 1) + rel, length)
         count = np.bincount(cls)
         again = np.zeros(len(starts), bool)
@@ -259,8 +287,8 @@ def repeats(parts: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataF
             blobs = data[offs[upto] :], offs[upto:] - offs[upto]
 
         for b in batches:
-            cols = [np.asarray(b.column(i)) for i in range(7)]
-            data, offs = binary_parts(b.column(7))
+            cols = [np.asarray(b.column(i)) for i in range(8)]
+            data, offs = binary_parts(b.column(8))
             if held is None:
                 held, blobs = cols, (data, offs)
             else:
@@ -307,19 +335,20 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int = BOUND) -> DataFrame:
-    """(h, nb, spans) of the texts that lose bytes. `docs`: h, nb, text."""
+    """(h, nb, spans) of the texts that lose bytes, written. `docs`: h, nb, text."""
     spark = docs.sparkSession
     found = written(anchors(docs.where(F.col("nb") >= length), length, gram))
     place = F.struct("h", "nb", "place")
-    again = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("anchor", "c"))
+    many = F.greatest(F.count(F.lit(1)), F.floor(F.sum(F.col("hi") - F.col("lo") + 1) / 64))
+    again = written(found.groupBy("anchor").agg(many.alias("c"), F.min(place).alias("x"), F.max(place).alias("y"), F.max("runs").alias("r")).where("x <> y OR r > 1").select("anchor", "c"))
     release(spark)
     # both sides of the join are shuffled, so the adaptive skew join splits hot anchors
-    hits = written(found.join(again, "anchor").groupBy("h", "nb").agg(F.collect_set(F.struct("place", "lo", "hi", "anchor", "c")).alias("hits")))  # as many as a text has
+    hits = written(found.join(again, "anchor").groupBy("h", "nb").agg(F.collect_set(F.struct("place", "lo", "hi", "runs", "anchor", "c")).alias("hits")))  # as many as a text has
     drop(found)
     drop(again)
     release(spark)
     one = docs.where(F.col("nb") >= length).dropDuplicates(["h", "nb"])
-    out = written(repeats(segments(one.join(hits, ["h", "nb"]).select("h", "nb", "text", "hits"), length, bound), length))
+    out = written(repeats(segments(one.join(hits, ["h", "nb"]).select("h", "nb", "text", "hits"), length, bound), length, gram))
     drop(hits)
     release(spark)
     spans = out.where("d1 IS NULL").select("h", "nb", "a", "b")
@@ -327,7 +356,9 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int
     twice = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     spans = spans.unionByName(windows.where("lone").join(twice, ["d1", "d2"]).select("h", "nb", "a", "b"))
     copies = docs.groupBy("h", "nb").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("nb") >= length)).select("h", "nb", F.lit(0).alias("a"), F.col("nb").cast("int").alias("b"))
-    return spans.unionByName(copies).groupBy("h", "nb").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    merged = written(spans.unionByName(copies).groupBy("h", "nb").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    drop(out)
+    return merged
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int = BOUND) -> DataFrame:
@@ -335,6 +366,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bound: int =
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("nb"))
-    spans = written(covered(keyed.select("h", "nb", "text"), length, gram, bound))
+    spans = covered(keyed.select("h", "nb", "text"), length, gram, bound)
     release(docs.sparkSession)
-    return kept(keyed.join(spans, ["h", "nb"], "left"))
+    result = written(kept(keyed.join(spans, ["h", "nb"], "left")))
+    drop(spans)
+    return result
