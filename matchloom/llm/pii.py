@@ -4,19 +4,23 @@ Base patterns find email, ip, card and phone spans. The field then labels words:
 variable with the labels O, email, ip, card, phone; all other words are O (they enter as context only, so the chain
 falls into parts that are solved exactly alike). Potentials: word features (shape and neighbours), transitions between
 variables that are neighbouring words, and skip edges from each word to the next one in the document with the same key
-(equal lower-case text without edge punctuation, equal digits, or equal last seven digits), so distant mentions share
-evidence. Loopy sum-product message passing runs over all documents of a slice at once. Words labelled other than O with
+(equal lower-case text without edge punctuation, equal digits, or equal last seven digits, also of the digits of neighbouring
+words together), so distant mentions share evidence. Loopy sum-product message passing runs over all documents of a slice at once. Words labelled other than O with
 enough probability add spans; base spans stay.
 
-Fitting: weights come from about `sample` documents with variables, chosen by a hash of doc_id (a documented bound),
-whose words are labelled by the base patterns; the skip weight is the smoothed log odds of linked words agreeing.
+Fitting: weights come from about `sample` documents with variables (twice as many at most, and the first SAMPLE_WORDS
+variables of each: documented bounds), chosen by a hash of doc_id and text, whose words are labelled by the base patterns. A
+word outside all base spans that a skip edge links to one inside counts as unknown, not as O, and is left out; the skip weight
+is the smoothed log odds of linked known words agreeing.
 
 Distribution: two maps over whole texts without a shuffle; skip edges link each word to one later word per key, so their
-number is linear in the words.
+number is linear in the words. Texts are inferred in groups of at most TOGETHER characters, or one text; an edge takes
+about 300 bytes, since its potentials are two shared 5 x 5 tables.
 
-Defined results: null or empty text has no spans; repeated rows are treated alike; an empty table gives an empty result;
-with no labelled word in the sample only base spans are returned; extra columns are ignored. Spans are counted in code
-points, end exclusive.
+Defined results: null or empty text has no spans; repeated rows are treated alike; a very long text is one graph, inferred
+whole; of labels with equal probability the first of O, email, ip, card, phone wins; an empty table gives an empty result;
+with no labelled word in the sample only base spans are returned; extra columns are ignored, whatever their names. Spans are
+counted in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ MARK = re.compile(r"[0-9@]")
 WORD = re.compile(r"[^\x20\x09-\x0D]++")
 EDGE = ".,;:!?\"'()[]{}<>"
 SAMPLE = 3000
+SAMPLE_WORDS = 4096
+TOGETHER = 1 << 19
 NEEDED = 0.8
 ROUNDS = 8
 N_FEATURES = 64
@@ -122,12 +128,10 @@ def word_features(core: str, before: str, after: str) -> list[int]:
     return f
 
 
-def keys(core: str) -> list[str]:
+def keys(core: str, run: str) -> set[str]:
+    """Keys of a word; `run` are its digits after those of the number words just before it."""
     d = only_digits(core)
-    out = ["w" + core.lower()]
-    if len(d) >= 7:
-        out += ["d" + d, "s" + d[-7:]]
-    return out
+    return {"w" + core.lower()} | ({"d" + d, "s" + d[-7:]} if len(d) >= 7 else set()) | ({"s" + run[-7:]} if len(run) >= 7 else set())
 
 
 class Graph:
@@ -138,18 +142,21 @@ class Graph:
 
     def add(self, doc: int, text: str) -> None:
         last: dict[str, int] = {}
-        previous = None
+        previous, run = None, ""
         for i, a, b, before, after in variables(text):
             v = len(self.doc)
             core = text[a:b]
             self.doc.append(doc)
             self.span.append((a, b))
             self.feat.append(word_features(core, before, after))
-            if previous is not None and previous[0] == i - 1:
+            beside = previous is not None and previous[0] == i - 1
+            if beside:
                 self.chain.append((previous[1], v))
             previous = (i, v)
+            number = not any(c.isalpha() or c == "@" for c in core)
+            run = ((run if beside else "") + only_digits(core))[-19:] if number else ""
             links = set()
-            for k in keys(core):
+            for k in keys(core, run):
                 if k in last:
                     links.add(last[k])
                 last[k] = v
@@ -172,27 +179,37 @@ def weak_labels(graph: Graph, spans: list[list[tuple[int, int, int]]]) -> np.nda
     return y
 
 
-def infer(graph: Graph, model: dict) -> np.ndarray:
-    """Variables x 5 marginals by damped loopy sum-product."""
-    unary = graph.matrix() @ model["w"]
-    edges = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
-    belief = unary
-    if len(edges):
-        pots = np.concatenate([np.repeat(model["chain"][None], len(graph.chain), 0), np.repeat(model["skip"][None], len(graph.skip), 0)])
-        u, v = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        msg = np.zeros((len(u), 5))
-        for _ in range(ROUNDS):
-            belief = unary.astype(np.float64).copy()
-            np.add.at(belief, v, msg)
-            z = (belief[u] - msg[back])[:, :, None] + pots
-            top = z.max(1)
-            new = top + np.log(np.exp(z - top[:, None]).sum(1))
-            new -= new.max(1, keepdims=True)
-            msg = 0.5 * msg + 0.5 * new
-        belief = unary.astype(np.float64).copy()
-        np.add.at(belief, v, msg)
+def sent(pot: np.ndarray, belief: np.ndarray) -> np.ndarray:
+    """Messages to the neighbours of edges whose near ends have `belief` without the neighbour's own message."""
+    new = np.empty_like(belief)
+    for label in range(pot.shape[1]):
+        z = belief + pot[:, label]
+        top = z.max(1)
+        new[:, label] = top + np.log(np.exp(z - top[:, None]).sum(1))
+    return new - new.max(1, keepdims=True)
+
+
+def infer(graph: Graph, model: dict, rounds: int = ROUNDS) -> np.ndarray:
+    """Variables x 5 marginals by damped loopy sum-product; a table of potentials for chain edges and one for skip edges."""
+    unary = (graph.matrix() @ model["w"]).astype(np.float64)
+    kinds = [(np.array(e, np.int64), pot) for e, pot in ((graph.chain, model["chain"]), (graph.skip, model["skip"])) if len(e)]
+    forth = [np.zeros((len(e), 5)) for e, _ in kinds]  # messages from an edge's first end to its second one
+    back = [np.zeros((len(e), 5)) for e, _ in kinds]
+
+    def beliefs() -> np.ndarray:
+        out = unary.copy()
+        for (e, _), f, b in zip(kinds, forth, back, strict=True):
+            for k in range(5):
+                out[:, k] += np.bincount(e[:, 1], f[:, k], len(out)) + np.bincount(e[:, 0], b[:, k], len(out))
+        return out
+
+    for _ in range(rounds if kinds else 0):
+        belief = beliefs()
+        for i, (e, pot) in enumerate(kinds):
+            f, b = sent(pot, belief[e[:, 0]] - back[i]), sent(pot.T, belief[e[:, 1]] - forth[i])
+            forth[i] = 0.5 * forth[i] + 0.5 * f
+            back[i] = 0.5 * back[i] + 0.5 * b
+    belief = beliefs()
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -201,24 +218,29 @@ def fit(graph: Graph, y: np.ndarray, rounds: int = 300) -> dict | None:
     """Word weights by regularised multinomial regression, edge weights by smoothed log ratios."""
     if not len(y) or not (y > 0).any():
         return None
+    unknown = np.zeros(len(y), bool)
+    for a, b in graph.skip:
+        unknown[a] |= y[a] == 0 and y[b] > 0
+        unknown[b] |= y[b] == 0 and y[a] > 0
     x, hot = graph.matrix(), np.eye(5, dtype=np.float32)[y]
+    hot[unknown] = x[unknown] = 0
     w = v = np.zeros((N_FEATURES, 5), np.float32)
     step = 4.0 / np.maximum((x * x).sum(1).max(), 1)
     for i in range(rounds):
         z = x @ v
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        nxt = v - step * (x.T @ (p - hot) / len(y) + 1e-4 * v)
+        nxt = v - step * (x.T @ (p - hot) / len(y) + 1e-4 * v)  # unknown words have no features here
         v = nxt + (i / (i + 3)) * (nxt - w)
         w = nxt
-    base = np.bincount(y, minlength=5) + 1.0
+    base = np.bincount(y[~unknown], minlength=5) + 1.0
     base /= base.sum()
     chain = np.full((5, 5), 0.5)
     for a, b in graph.chain:
-        chain[y[a], y[b]] += 1
+        chain[y[a], y[b]] += not (unknown[a] or unknown[b])
     chain = np.clip(np.log(chain / chain.sum() / (base[:, None] * base[None])), -1.5, 1.5)
-    same = sum(y[a] == y[b] for a, b in graph.skip)
-    agree = float(np.clip(np.log((same + 1) / (len(graph.skip) - same + 1)), 0.5, 3.0))
+    known = [y[a] == y[b] for a, b in graph.skip if not (unknown[a] or unknown[b])]
+    agree = float(np.clip(np.log((sum(known) + 1) / (len(known) - sum(known) + 1)), 0.5, 3.0))
     return {"w": w, "chain": chain, "skip": np.eye(5) * agree}
 
 
@@ -226,20 +248,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     marked = docs.where(F.col("text").rlike("[0-9@]"))
     n = marked.count()
     share = min(1.0, sample / max(n, 1))
-    picked = marked.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    at = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11))
+    picked = marked.select("doc_id", "text", at.alias("at")).where(F.pmod("at", F.lit(1 << 20)) < F.lit(share * (1 << 20)))
 
     def run(batches):
         for b in batches:
-            for text in b.column(1).to_pylist():
+            for text, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 g = Graph()
                 g.add(0, text)
                 if g.doc:
-                    y = weak_labels(g, [base_spans(text)])
-                    cols = [[g.feat], [[*map(list, g.chain)]], [[*map(list, g.skip)]], [y.tolist()]]
-                    kinds = [pa.list_(pa.list_(pa.int32()))] * 3 + [pa.list_(pa.int32())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["feat", "chain", "skip", "y"])
+                    y, n = weak_labels(g, [base_spans(text)]), SAMPLE_WORDS
+                    cols = [[at], [g.feat[:n]], *([[list(x) for x in e if max(x) < n]] for e in (g.chain, g.skip)), [y[:n].tolist()]]
+                    kinds = [pa.int64()] + [pa.list_(pa.list_(pa.int32()))] * 3 + [pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["at", "feat", "chain", "skip", "y"])
 
-    rows = picked.select("doc_id", "text").mapInArrow(run, "feat array<array<int>>, chain array<array<int>>, skip array<array<int>>, y array<int>").collect()
+    made = picked.mapInArrow(run, "at long, feat array<array<int>>, chain array<array<int>>, skip array<array<int>>, y array<int>")
+    rows = made.orderBy("at").limit(2 * sample).collect()  # bounded in rows and in words
     g, y = Graph(), []
     for r in sorted(rows, key=lambda r: (len(r["y"]), r["feat"])):
         at = len(y)
@@ -251,6 +275,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     return fit(g, np.array(y, np.int64))
 
 
+def groups(texts: list[str | None], together: int = TOGETHER) -> list[tuple[int, int]]:
+    """Ranges of texts with at most `together` characters, or one text."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > together and i > lo:
+            out.append((lo, i))
+            lo, size = i, len(t or "")
+    return [*out, (lo, len(texts))] if texts else out
+
+
 def find_spans(texts: list[str | None], model: dict | None, needed: float = NEEDED) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """Base spans and added spans of each text."""
     base = [base_spans(t) if t else [] for t in texts]
@@ -284,8 +319,8 @@ def find(docs: DataFrame, sample: int = SAMPLE, needed: float = NEEDED) -> DataF
         for b in batches:
             rows = []
             texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for base, added in find_spans(texts[lo : lo + 256], model, needed):
+            for lo, hi in groups(texts):
+                for base, added in find_spans(texts[lo:hi], model, needed):
                     n = Counter(k for _, _, k in base)
                     rows.append((n[0], n[1], n[2], n[3], hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(base + added), len(added)))
             cols = list(zip(*rows, strict=True)) or [()] * 7
