@@ -17,9 +17,10 @@ what is sent to the executors has a fixed bound; more blocks mean more passes. H
 at a time. Alignment costs are linear in the hits: a passage holds each hit once.
 
 Defined results: null or empty texts and items match nothing; an item shorter than n words is one seed and must stand
-whole; an item found several times in a document gives one row with its best passage (first and last word of what was
-aligned; n_seeds counts the hits of all its passages); repeated rows give repeated results; an empty table on either side
-gives an empty result; extra columns are ignored.
+whole; an item found several times in a document gives one row with its best passage (the first and last word of the best
+alignment, punctuation apart; n_seeds counts the hits of all its passages); repeated rows give repeated results; an empty table on either side
+gives an empty result; extra columns are ignored, whatever their names. A very long text is searched whole; its passages are
+aligned in batches of at most CELLS table cells a row, or one passage. Among equal scores the passage that starts first counts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ N = 4
 THRESHOLD = 0.4
 BLOCK_WORDS = 1 << 20
 HITS = 1 << 21
+CELLS = 1 << 20
 SCHEMA = "doc_id long, item_id long, n_seeds int, score double, first_word int, last_word int"
 
 
@@ -98,10 +100,11 @@ def lookup(h: np.ndarray, rows: np.ndarray, index: dict) -> tuple[np.ndarray, np
     return at[hit], i[hit], loose[hit]
 
 
-def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
-    """Best local alignment score of each item with its passage; rows of the table are computed for all pairs at once."""
+def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(best local alignment score of each item with its passage, the passage's word it ends with); rows of the table are
+    computed for all pairs at once."""
     if not items:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     n, m = max(map(len, items)), max(map(len, passages))
     a = np.zeros((len(items), n), np.uint64)
     b = np.ones((len(items), m), np.uint64)
@@ -112,7 +115,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
         real[i, : len(y)] = True
     step = np.arange(m)
     h = np.zeros((len(items), m + 1), np.int32)
-    best = np.zeros(len(items), np.int64)
+    best, end = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
     lens = np.array([len(x) for x in items])
     for i in range(n):
         t = h[:, :-1] + np.where((a[:, i : i + 1] == b) & real, 2, -1)
@@ -120,9 +123,23 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
         np.maximum(t, 0, out=t)
         t = np.maximum.accumulate(t + step, axis=1) - step
         h[:, 1:] = np.maximum(t, 0)
-        live = i < lens
-        best[live] = np.maximum(best[live], h[live].max(1))
-    return best
+        at = h.argmax(1)
+        top = h[np.arange(len(h)), at]
+        more = (i < lens) & (top > best)
+        best[more], end[more] = top[more], at[more] - 1
+    return best, end
+
+
+def batches_of(sizes: np.ndarray, cells: int = CELLS) -> list[tuple[int, int]]:
+    """Ranges of ascending sizes whose padded table rows have at most `cells` cells, or one passage."""
+    out, lo = [], 0
+    while lo < len(sizes):
+        hi = lo + 1
+        while hi < len(sizes) and (hi + 1 - lo) * int(sizes[hi]) <= cells and hi - lo < 256:
+            hi += 1
+        out.append((lo, hi))
+        lo = hi
+    return out
 
 
 def chunks(rows: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
@@ -186,16 +203,19 @@ def chunk_matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.
     lo = np.maximum(diag[start] - span[start], first[row[start]])
     hi = np.minimum(diag[end - 1] + long[start] + span[start], first[row[start] + 1])
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    by_size = np.argsort((hi - lo) * 1000 + long[start], kind="stable")
-    for c in range(0, len(by_size), 256):
-        part = by_size[c : c + 256]
-        got = align([index["words"][item[start[i]]] for i in part], [h[lo[i] : hi[i]] for i in part])
-        for i, s in zip(part, got, strict=True):
+    by_size = np.lexsort((long[start], hi - lo))
+    for c, z in batches_of((hi - lo)[by_size]):
+        part = by_size[c:z]
+        words, passages = [index["words"][item[start[i]]] for i in part], [h[lo[i] : hi[i]] for i in part]
+        got, ends = align(words, passages)
+        _, back = align([w[::-1] for w in words], [p[: e + 1][::-1] for p, e in zip(passages, ends, strict=True)])
+        for i, s, e, r in zip(part, got, ends, back, strict=True):
             key = (int(row[start[i]]), int(item[start[i]]))
             score = float(s) / (2 * int(long[start[i]]))
             seen = best.get(key, (-1.0, 0, 0, 0))
             seeds = seen[3] + int(end[i] - start[i])
-            at = (int(lo[i] - first[key[0]]), int(hi[i] - first[key[0]]) - 1)
+            last = int(lo[i] - first[key[0]] + e)
+            at = (last - int(r), last)
             best[key] = (score, *at, seeds) if (score, -at[0]) > (seen[0], -seen[1]) else (*seen[:3], seeds)
     return [(r, i, n, round(s, 4), a, b) for (r, i), (s, a, b, n) in sorted(best.items()) if s >= index["threshold"]]
 
