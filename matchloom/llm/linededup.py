@@ -2,19 +2,21 @@
 
 Documents are grouped by host. A line counts once per distinct page text; its frequency is the number of the host's
 distinct texts holding it divided by the number of its distinct texts, so copies of a page, however many, count as one page
-and are left to document dedup. With `copies`, every copy counts as a page, as in the SQL twin of op4_line_dedup. Lines
-above `ratio` on at least `min_pages` pages are boilerplate and are dropped. Near copies have different texts and count each.
-A line is compared after trimming white space; lines without a word are never boilerplate.
+and are left to document dedup. A line on more than ratio x total + ALLOWED pages is boilerplate and is dropped: ALLOWED
+pages may share a line by chance on a host of any size, so the smallest hosts follow the same law as the largest. Near copies
+have different texts and count each. A line is compared after trimming white space; lines without a word are never boilerplate.
 
 Distribution: each page's distinct line keys are computed once and kept in the shared folder; of equal pages of a host one
-is kept, in each task before the shuffle, so a large group of copies is no hot key. The keys become (host, key) pairs whose partial aggregation shrinks hot lines before the shuffle, and only pairs seen on `min_pages` pages go on.
-Pages never travel by host. The drop list joins the pages' keys (a hot key is split by the adaptive skew join), and only
-(page, dropped keys) travels back to the text. A key is a 64-bit hash compared within one host only, and a page is found
+is kept, in each task before the shuffle, so a large group of copies is no hot key. The keys become (host, key) pairs whose
+partial aggregation shrinks hot lines before the shuffle, and only pairs seen on more than ALLOWED pages go on. Pages never
+travel by host: counting moves hashes only, and each text moves once, to meet the keys to be dropped from it. The drop list joins the pages' keys (a hot key is split by the adaptive skew join), and only
+(page, dropped keys) goes on to meet the text. A key is a 64-bit hash compared within one host only, and a page is found
 again by a 64-bit hash of host and text with the length, so no text is shuffled for counting.
 
 Defined results: a null host is a host of its own; a null text stays null with zero lines; an empty text is one empty
-line; a page whose lines are all dropped keeps an empty text; repeated rows are all kept; an empty
-table gives an empty table. Other columns pass through unchanged, whatever their names.
+line; a page whose lines are all dropped keeps an empty text; a line exactly at the limit stays; a very long text is one row,
+read whole; repeated rows are all kept; an empty table gives an empty table. Other columns pass through unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from matchloom.llm._spark import cut, numbered
 
-RATIO = 0.25
-MIN_PAGES = 5
+RATIO = 0.1
+ALLOWED = 2
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -41,22 +43,21 @@ def page_keys(pages: DataFrame, host: str, text: str) -> DataFrame:
     return cut(pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(F.col(host), F.col(text)).alias("row"), F.length(text).alias("size"), F.filter(keys, lambda k: k.isNotNull()).alias("keys")))
 
 
-def boilerplate(keyed: DataFrame, totals: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(keyed: DataFrame, totals: DataFrame, ratio: float = RATIO, allowed: int = ALLOWED) -> DataFrame:
     """(host, key, pages, total) of each line above the ratio on its host. `totals`: (host, total)."""
-    counts = keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    counts = keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > allowed)
     t = totals.withColumnRenamed("host", "_host")
-    return counts.join(t, counts["host"].eqNullSafe(t["_host"])).where(F.col("pages") > F.lit(ratio) * F.col("total")).drop("_host")
+    return counts.join(t, counts["host"].eqNullSafe(t["_host"])).where(F.col("pages") > F.lit(ratio) * F.col("total") + allowed).drop("_host")
 
 
-def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, stats: bool = False, copies: bool = False) -> DataFrame:
-    """Pages with boilerplate lines removed from `text`; with `stats`, also `n_lines` and `n_dropped` (as last columns).
-    With `copies`, each of several equal pages counts, and a page without a text counts in its host's total."""
+def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, allowed: int = ALLOWED, stats: bool = False) -> DataFrame:
+    """Pages with boilerplate lines removed from `text`; with `stats`, also `n_lines` and `n_dropped` (as last columns)."""
     names = pages.columns
     pages, (host, text) = numbered(pages, host, text)
     keyed = page_keys(pages, host, text)
-    counted = keyed if copies else keyed.dropDuplicates(["host", "row", "size"])
-    totals = (pages.select(F.col(host).alias("host")) if copies else counted).groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    drop = boilerplate(counted, totals, ratio, min_pages).select(F.col("host").alias("_host"), F.col("key").alias("_key"))
+    counted = keyed.dropDuplicates(["host", "row", "size"])
+    totals = counted.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    drop = boilerplate(counted, totals, ratio, allowed).select(F.col("host").alias("_host"), F.col("key").alias("_key"))
     lines = keyed.select("host", "row", "size", F.explode("keys").alias("key"))
     hits = lines.join(drop, lines["host"].eqNullSafe(drop["_host"]) & (lines["key"] == drop["_key"])).groupBy("row", "size").agg(F.collect_set("key").alias("gone"))
     out = pages.join(hits, (F.xxhash64(F.col(host), F.col(text)) == hits["row"]) & (F.length(text) == hits["size"]), "left")

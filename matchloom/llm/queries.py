@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup
-from matchloom.llm._spark import written
+from matchloom.llm._spark import drop, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,11 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its host, lines, dropped boilerplate lines and a digest of the text that stays."""
     pages = table(spark, sf_dir, "pages").select("page_id", linededup.url_host(F.col("url")).alias("host"), linededup.visible_text(F.col("html")).alias("text"))
-    out = linededup.dedup_lines(written(pages), "host", "text", stats=True, copies=True)
-    return out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+    kept = written(pages)
+    out = linededup.dedup_lines(kept, "host", "text", stats=True)
+    result = written(out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5")))
+    drop(kept)
+    return result
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
