@@ -12,15 +12,20 @@ Distribution: statistics are one map over the text, without a shuffle of text. C
 aggregation by stratum over labelled rows; the thresholds are a table of strata x rules rows joined back by stratum.
 
 Repeated windows are found in the row: hashes of the 3-word windows, packed with their positions into 64 bits, are
-sorted, and equal neighbours are compared word by word.
+sorted, and equal neighbours are compared word by word. Of a hash 64 - b bits are kept, b being the bits of a position; a
+window of another text with the same bits that stands between two equal ones would hide them, which at 20,000 words (49 bits)
+asks for a chance of less than one in a million texts.
 
 Defined results: null or empty text has zero counts and fails the base rule; a null stratum is a stratum of its own;
-several labels for a document count once as good if any is; repeated rows are all returned; an empty table gives an
-empty result; extra columns are ignored.
+several labels for a document count once as good if any is; a score equal to a cutoff passes, and of cutoffs certified alike
+the strictest counts; a very long text is one row, read whole; repeated rows are all returned; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,7 @@ GRIDS: dict[str, list[int]] = {
     "s_repeats": [0, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 450],
     "s_word_len": [4500, 5000, 5500, 6000, 6500, 7000, 7500, 8000, 9000, 10000, 12000, 15000, 20000],
 }
+EXACT_TERMS = 1000
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -67,11 +73,22 @@ def with_scores(stats: DataFrame) -> DataFrame:
     )
 
 
+def log_factorial(x: str) -> str:
+    """SQL for ln(x!) of x from EXACT_TERMS on, by Stirling's series."""
+    x = f"cast(greatest({x}, 1L) AS double)"
+    return f"({x} * ln({x}) - {x} + 0.5D * ln({2 * math.pi!r}D * {x}) + 1D / (12D * {x}) - 1D / (360D * pow({x}, 3)))"
+
+
 def binomial_tail(n: str, k: str, p: float) -> str:
-    """SQL for P(Binomial(n, p) <= k) when k <= n * p, else 1: a running sum of terms, each from the one before in logs."""
-    first = f"cast({n} AS double) * ln(1 - {p!r}D)"
+    """SQL for P(Binomial(n, p) <= k) when k <= n * p, else 1: a running sum of terms, each from the one before in logs. It
+    starts 40 standard deviations below k, or with the first term if that is one of the first EXACT_TERMS, so the number of
+    terms grows with the root of n."""
+    low = f"({k} - cast(40 * sqrt({n} * {p * (1 - p)!r}D) AS bigint))"  # what stands below is far beyond the digits of the sum
+    low = f"(CASE WHEN {low} < {EXACT_TERMS} THEN 0L ELSE {low} END)"
+    choose = f"({log_factorial(n)} - {log_factorial(low)} - {log_factorial(f'({n} - {low})')})"
+    first = f"CASE WHEN {low} = 0 THEN cast({n} AS double) * ln(1 - {p!r}D) ELSE {choose} + {low} * ln({p!r}D) + ({n} - {low}) * ln(1 - {p!r}D) END"
     step = f"named_struct('l', a.l + ln(cast({n} - i + 1 AS double) / i) + ln({p!r}D / (1 - {p!r}D)), 's', a.s + exp(a.l + ln(cast({n} - i + 1 AS double) / i) + ln({p!r}D / (1 - {p!r}D))))"
-    return f"CASE WHEN {k} > {n} * {p!r}D THEN 1D WHEN {k} = 0 THEN exp({first}) ELSE aggregate(sequence(1L, {k}), named_struct('l', {first}, 's', exp({first})), (a, i) -> {step}, a -> a.s) END"
+    return f"CASE WHEN {k} > {n} * {p!r}D THEN 1D WHEN {k} = 0 THEN exp({first}) ELSE aggregate(sequence({low} + 1, {k}), named_struct('l', {first}, 's', exp({first})), (a, i) -> {step}, a -> a.s) END"
 
 
 def thresholds(good: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR, grids: dict[str, list[int]] = GRIDS) -> DataFrame:
