@@ -8,29 +8,37 @@ its size), and classes with Jaccard similarity of at least 3/4 are linked; the r
    common order is right for prefix filtering; this one puts frequent shingles last.
 2. A set's prefix are its n - ceil(3n/4) + 1 rarest shingles, of which the first n - ceil(6n/7) + 1 are index entries:
    linked sets share a shingle that is in the prefix of the larger and among the index entries of the smaller one.
-   Prefix entries meet by shingle; those shared by two classes stay.
-3. Star rounds: in every bucket one entry is the pivot and all entries of other components try it. A pair must pass the
-   length filter (4 * smaller >= 3 * larger) and the positional filter (a first common shingle at positions i, j leaves
-   at most 1 + min(n - i - 1, m - j - 1) common ones), then the suffix filter (the sets cut at fixed hash values: the sum
-   of the smaller counts bounds the overlap), and is then verified on the sets, once per pair. Links merge components,
-   and pairs inside a component need no look, so groups of near copies are never expanded into all pairs.
-4. When the rounds merge little more, all pairs across components are tried: entries outside a bucket's largest component
-   ask all its entries. Each task packs the partners of an asking entry into one row; rows of one entry meet, where each
-   partner is named once, if it shares as many prefix entries as linked sets must. That last step makes the result exact
-   whatever the rounds did. Where a crowded bucket leaves classes outside, those few classes are sent to all tasks and
-   counted against each class's prefix on the spot, so the pairs are never shuffled.
-
-Distribution: broadcast are the table of at most FREQUENT ranks and, if counted to be within BROADCAST_ROWS and
-BUSY_ENTRIES, the ids of the classes whose sets are needed and the entries of busy classes; beyond that, joins shuffle. Frequent shingles are spread over tasks, since
-they need no grouping to know that they are shared; the later joins by shingle aggregate before they shuffle, and hot
-buckets are split by the adaptive skew join. Sets are joined only for pairs that passed all filters.
+   Prefix entries meet by shingle; those of two classes that pass the length filter (4 * smaller >= 3 * larger) stay.
+3. A star round where they meet: each entry tries the smallest set of its bucket and length band. A pair must pass the
+   positional filter (a first common shingle at positions i, j leaves at most 1 + min(n - i - 1, m - j - 1) common ones),
+   then the suffix filter (the sets cut at fixed hash values: the sum of the smaller counts bounds the overlap), and is
+   verified on the sets. Links merge components, and pairs inside a component need no look from here on, so groups of near
+   copies are never expanded into all pairs.
+4. The entries meet once more. Linked sets share `least_votes` prefix shingles, so an entry whose class has too few entries
+   for any partner it met goes, and so does a pair of which one class has too few. Shingles with at most EASY entries outside
+   their largest component name their pairs, whose votes are summed; pairs with enough votes are verified, once each.
+5. Crowded shingles, with more entries outside, go through further star rounds, in which an entry of the largest component is
+   tried by all others, until these merge little more. Of two classes that are still apart and share a crowded shingle, one is
+   outside its largest component. If those classes are counted to be few, they are broadcast with their sets, all classes of
+   crowded shingles meet them on the spot, best partners first, and a pair that links found in the same task have joined
+   needs no look: at most one link is made for each merger. Otherwise all pairs across components are listed, packed by their
+   smaller class, and summed with the others. Either way the result is exact whatever the star rounds did.
+
+Distribution: broadcast are the table of at most FREQUENT ranks and, if counted to be within BROADCAST_ROWS, BUSY_ENTRIES and
+BUSY_SHINGLES, the ids of the classes whose sets are needed and the busy classes; beyond that, joins shuffle. Shingles known
+to be frequent are spread over tasks, since they need no grouping to know that they are shared, and they and all with more than WIDE
+entries go on as crowded ones, whose steps aggregate before they shuffle. A shingle that no slice of COUNTED shingles held
+twice has at most one entry for each such slice. Sets are joined only for pairs that passed all other filters. The
+result is written, and all other tables are deleted.
 
 Exactness: shingles and classes are compared by 64-bit hashes, sets by 40 bits of them, or more for larger sets (32 and
-the bits of the smaller histogram).
+the bits of the smaller histogram); two sets of 500 shingles hold one false agreement in some 4 million pairs, which counts
+only if their similarity is within one shingle of the threshold.
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing (component: own doc_id);
 1 to k-1 words are one shingle; repeated rows share class and component; a component's id is its smallest doc_id (null
-only if all are null); an empty table gives an empty result; extra columns are ignored.
+only if all are null), whichever of several copies has it; a very long text is one set, made in one task; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,11 +2,14 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brute import components as brute_components
-from matchloom.llm import pieces, queries
+from brute import language_probabilities, line_dedup
+from matchloom.llm import langid, pieces, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -61,6 +64,58 @@ def test_stages_against_plain_steps(spark, folder):
     assert {r["doc_id"]: r["text"] for r in back} == text
 
 
+def test_first_stages_agree_with_plain_versions(spark):
+    rng = random.Random(21)
+    say = lambda lang, n: " ".join(rng.choice(WORDS[lang].split()) for _ in range(n))
+    rows = []
+    for i in range(160):
+        lang = ("en", "fr")[i % 2]
+        text = say(lang, rng.randint(1, 12)) if i % 5 else say("en", 6) + " " + say("fr", 6)
+        rows.append((i if i % 17 else None, text + rng.choice(["", "\nshared line a", "\nshared line b\n\nown"]), lang, f"s{i % 3}" if i % 11 else None))
+    rows += [rows[7]] * 3 + [(900, say("fr", 40_000) + "\nshared line a", "fr", "s1"), (901, None, "en", "s1"), (902, "12 !!", None, "s1"), (903, "", "fr", None)] + [(910 + i, f"qqqq zzqz {i} zzzz qz", None, "s2") for i in range(8)]
+    df = spark.createDataFrame([(*r, 0, "x", 1, "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, h string, column_0 int, lang_pred string").repartition(4)
+    known = df.select("doc_id", "text", "lang").where(~langid.held_out(F.col("doc_id")))
+    model = langid.train(known)
+    first = corpus_pipeline.language_id(spark, df, "")
+    assert first.columns == df.columns
+    kept = sorted((tuple(r) for r in first.collect()), key=repr)
+    sure, vague = [], []
+    for r in rows:
+        if any(c.isalpha() for c in r[1] or ""):
+            two = np.sort(language_probabilities(r[1], model))[-2:]
+            (vague if abs(two[1] - two[0] - langid.GAP) < 4e-3 else sure if two[1] - two[0] >= langid.GAP else []).append((*r, 0, "x", 1, "y"))
+    assert set(sure) <= set(kept) <= set(sure) | set(vague) and len(sure) <= len(rows) - 3
+    second = corpus_pipeline.line_dedup(spark, first, "")
+    assert second.columns == df.columns
+    want = line_dedup([(i, r[3], r[1]) for i, r in enumerate(kept)], corpus_pipeline.LINE_RATIO)
+    out = sorted((tuple(r) for r in second.collect()), key=repr)
+    assert out == sorted(((r[0], want[i][0], *r[2:4], len(want[i][0]), *r[5:]) for i, r in enumerate(kept)), key=repr)
+    assert sum(w[2] for w in want.values()) > 20
+
+
+def test_ties_and_clashing_names_in_the_later_stages(spark, tmp_path):
+    rng = random.Random(22)
+    say = lambda n: " ".join(rng.choice(WORDS["en"].split()) + str(rng.randint(0, 99)) for _ in range(n))
+    item, long = say(20), say(20_000)
+    rows = [(i, say(40)) for i in range(20)] + [(5, "same text of two rows with one id")] * 2 + [(None, "same text of two rows with one id"), (30, long), (31, long + " end"), (32, say(30) + " " + item), (33, ""), (34, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "q", "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, column_1 string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = corpus_pipeline.near_dedup(spark, df, "")
+    assert near.columns == df.columns
+    ids = sorted((r["doc_id"] for r in near.collect()), key=repr)
+    assert ids == sorted([*range(20), None, 30, 32, 33], key=repr) or ids == sorted([*range(20), None, 30, 32, 33, 34], key=repr)
+    clean = corpus_pipeline.decontaminate(spark, near, str(tmp_path))
+    assert clean.columns == df.columns and {r["doc_id"] for r in near.collect()} - {r["doc_id"] for r in clean.collect()} == {32}
+
+
+def test_run_leaves_one_table(spark, folder):
+    at, _ = folder
+    before = set(os.listdir(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")))
+    corpus_pipeline.run(spark, at).count()
+    after = set(os.listdir(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")))
+    assert len([x for x in after - before if x.startswith("table-") and os.listdir(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:") + "/" + x)]) <= 3
+
+
 def test_run_and_empty_table(spark, folder, tmp_path):
     at, _ = folder
     assert corpus_pipeline.run(spark, at).count() == 90
