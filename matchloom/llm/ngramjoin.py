@@ -498,7 +498,8 @@ def is_linked(n: int, sig: bytes, low: bytes, m: int, sig_m: bytes, low_m: bytes
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of the pairs that are linked."""
+    """(u, v) of the pairs that are linked. Many pairs may have one class, as a pivot; their joins have nothing but a shuffle on
+    either side, so the adaptive skew join can split them."""
 
     def run(batches):
         for b in batches:
@@ -506,7 +507,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array([is_linked(*x) for x in zip(*cols, strict=True)], pa.bool_()))
 
     pairs = cut(pairs.select("u", "v"))
-    held = only(sets, pairs)
+    held = cut(only(sets, pairs))
     for s in "uv":
         side = held.select(*[F.col(c).alias(f"{c}_{s}") for c in held.columns])
         pairs = pairs.join(side, F.col(s) == F.col(f"cls_{s}")).drop(f"cls_{s}")
