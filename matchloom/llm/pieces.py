@@ -14,10 +14,13 @@ one candidate passes at each position, so the backpointers give the merge order'
 Decoding is the exact inverse for every text: a space character of the model that stands in the text itself is written
 in byte pieces (the library would turn it into a space).
 
-Distribution: a map over whole texts, without a shuffle; the model is read on the driver and has a fixed size.
+Distribution: a map over whole texts, without a shuffle; the model is read on the driver and has a fixed size. Its path is a
+parameter, or the session's setting spark.matchloom.tokenizer, or MODEL.
 
-Defined results: null and empty texts have no tokens (decoding gives an empty text); repeated rows are encoded alike; an
-empty table gives an empty result; extra columns are ignored unless named in `keep`.
+Defined results: null and empty texts have no tokens (decoding gives an empty text); a very long text is encoded whole, words
+of one length in tables of at most CELLS cells; of segmentations with equal scores the one with the shorter last piece counts
+(with merge ranks there are none); repeated rows are encoded alike; an empty table gives an empty result; extra columns are
+ignored unless named in `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -314,10 +317,15 @@ def decode_ids(ids: np.ndarray, offs: np.ndarray, model: Model) -> tuple[np.ndar
     return data[keep], ends - np.searchsorted(lead, ends)
 
 
-def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
+def session_model(docs: DataFrame, path: str | None) -> Model:
+    """The model at `path`, or where the session says, or at MODEL."""
+    return load(path or docs.sparkSession.conf.get("spark.matchloom.tokenizer", MODEL))
+
+
+def encode(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """`keep` columns with n_tokens, ids, round_trip (whether decoding gives the text's bytes back)."""
     small_batches(docs.sparkSession)
-    model = load(path)
+    model = session_model(docs, path)
 
     def run(batches):
         store = Store(model)
@@ -335,10 +343,10 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, keep: list[str], ids: str = "ids", path: str = MODEL) -> DataFrame:
+def decode(tokens: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
     """`keep` columns with the decoded text; null ids give an empty text, bytes that are no UTF-8 become U+FFFD."""
     small_batches(tokens.sparkSession)
-    model = load(path)
+    model = session_model(tokens, path)
 
     def run(batches):
         for b in batches:
