@@ -20,7 +20,7 @@ are ignored by `shard_documents` and kept by `shard_rows`, whatever their names.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,12 +37,12 @@ RUN_SCHEMA = "cell int, part int, lo long, hi long, shard int, slot0 long"
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
     """(point, shard) of every virtual node in clockwise order."""
-    return sorted((zlib.crc32(f"shard-{s}/vnode-{v}".encode()) * 2654435761 % RING, s) for s in range(shards) for v in range(vnodes))
+    return sorted((int(hashlib.md5(f"shard-{s}/vnode-{v}".encode()).hexdigest()[:8], 16), s) for s in range(shards) for v in range(vnodes))
 
 
 def key_point(key: Column) -> Column:
-    """A key's point on the ring, 0 to 2**32 - 1."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("null"))), F.lit(RING))
+    """A key's point on the ring, 0 to 2**32 - 1: the first 32 bits of its MD5, as for the virtual nodes."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
 
 
 def capacities(rows: int, shards: int, slack: float) -> list[int]:

@@ -83,3 +83,105 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules_failed = 0 AS kept, rules_failed FROM judged
 """
 )
+
+#: Shingles, all pairs that share one, and reachability over the linked ones.
+ORACLES["op1_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 75 * (s.n + t.n - c)),
+links AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+first_of AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id))::BIGINT AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN first_of ON x = d.doc_id
+"""
+
+
+def doubled_hashes() -> str:
+    """CTEs h1, h2, h4 ... h128: the hash of so many bytes from each place on, from two hashes of half as many."""
+    out, kept = ["h1 AS (SELECT doc_id, i, n, x, hash(x) AS h1 FROM bytes)"], ""
+    for size in (2, 4, 8, 16, 32, 64, 128):
+        half = size // 2
+        kept += f", h{half}" if half in (8, 64) else ""
+        out.append(f"h{size} AS (SELECT doc_id, i, n, x{kept}, hash(h{half}, lead(h{half}, {half}) OVER place) AS h{size} FROM h{half} WINDOW place AS (PARTITION BY doc_id ORDER BY i))")
+    return ",\n".join(out)
+
+
+#: Every 200-byte string by its hash (128 + 64 + 8 bytes), those that occur twice, and the bytes they cover.
+ORACLES["op3_suffix_dedup"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+bytes AS (SELECT doc_id, unnest(b) AS x, generate_subscripts(b, 1) AS i, len(b) AS n FROM d),
+{doubled_hashes()},
+strings AS (
+  SELECT doc_id, i, x, CASE WHEN i + 199 <= n THEN hash(h128, lead(h64, 128) OVER place, lead(h8, 192) OVER place) END AS s
+  FROM h128 WINDOW place AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT s FROM strings WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+marked AS (
+  SELECT doc_id, i, x, max((a.s IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone
+  FROM strings LEFT JOIN again a ON strings.s = a.s),
+runs AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS begins FROM marked),
+kept AS (SELECT doc_id, sum(gone) AS n_removed, count_if(begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (gone = 0) AS rest FROM runs GROUP BY doc_id)
+SELECT d.doc_id, len(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def crc_shifts(levels: int = 24) -> list[list[int]]:
+    """For each level k, what a CRC-32 register with one bit set becomes by 2**k more zero bytes: 32 numbers."""
+
+    def step(c: int) -> int:
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    images, out = [(1 << j >> 8) ^ step((1 << j) & 255) for j in range(32)], []
+    for _ in range(levels):
+        out.append(images)
+        moved = []
+        for c in images:
+            r = 0
+            for j in range(32):
+                r ^= images[j] if c >> j & 1 else 0
+            moved.append(r)
+        images = moved
+    return out
+
+
+def crc_levels() -> str:
+    """CTEs crc1, crc2 ...: registers of blocks of 2, 4 ... bytes from crc0 (doc_id, j: bytes that follow, v)."""
+
+    def image(images: list[int]) -> str:
+        terms = [f"(v >> {j} & 1) * {c}" for j, c in enumerate(images)]
+        while len(terms) > 1:
+            terms = [f"xor({a}, {b})" for a, b in zip(terms[::2], terms[1::2], strict=True)]
+        return terms[0]
+
+    return ",\n".join(f"crc{k + 1} AS (SELECT doc_id, j // 2 AS j, bit_xor(CASE WHEN j % 2 = 1 THEN {image(c)} ELSE v END) AS v FROM crc{k} GROUP BY doc_id, j // 2)" for k, c in enumerate(crc_shifts()))
+
+
+#: Rows in the order of their cells walk the ring one by one; a register of each text for its checksum (texts below 2**24 bytes).
+ORACLES["op6_ring_shards"] = rf"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, encode(coalesce(text, '')) AS raw, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS point FROM documents),
+served AS MATERIALIZED (SELECT doc_id, point // 1048576 AS cell, row_number() OVER (ORDER BY point, doc_id) AS k FROM docs),
+nodes AS (SELECT s, ('0x' || substr(md5('shard-' || s || '/vnode-' || v), 1, 8))::BIGINT AS p FROM range(24) a(s), range(160) b(v)),
+orders AS MATERIALIZED (
+  SELECT cell, list(s ORDER BY distance, s) AS shards
+  FROM (SELECT cell, s, min((p - cell * 1048576 + 4294967296) % 4294967296) AS distance FROM (SELECT DISTINCT cell FROM served), nodes GROUP BY cell, s) GROUP BY cell),
+room AS MATERIALIZED (SELECT list(total // 24 + (s < total % 24)::INT ORDER BY s) AS cap FROM (SELECT count(*) AS total FROM docs), range(24) a(s)),
+walk(k, used, shard, slot) AS (
+  SELECT 0::BIGINT, [0::BIGINT FOR x IN range(24)], -1::BIGINT, -1::BIGINT
+  UNION ALL
+  SELECT k, [used[x + 1] + (x = pick)::INT FOR x IN range(24)], pick, used[pick + 1]
+  FROM (SELECT served.k, used, [s FOR s IN shards IF used[s + 1] < cap[s + 1]][1] AS pick FROM walk JOIN served ON served.k = walk.k + 1 JOIN orders USING (cell), room)),
+bits(n, i, c) AS (SELECT x, 0, x FROM range(256) t(x) UNION ALL SELECT n, i + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE i < 8),
+bytes AS (SELECT doc_id, unnest(h) AS x, len(h) - generate_subscripts(h, 1) AS j FROM (SELECT doc_id, regexp_extract_all(hex(raw), '..') AS h FROM docs)),
+crc0 AS (SELECT doc_id, j, c AS v FROM bytes JOIN bits ON i = 8 AND n = ('0x' || x)::BIGINT UNION ALL SELECT doc_id, octet_length(raw), 4294967295 FROM docs),
+{crc_levels()}
+SELECT docs.doc_id, octet_length(raw)::BIGINT + 8 AS size, xor(v, 4294967295)::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, slot, NULL::INT AS grown_shard
+FROM walk JOIN served USING (k) JOIN docs USING (doc_id) JOIN crc24 ON crc24.doc_id = docs.doc_id
+"""
