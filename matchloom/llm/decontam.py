@@ -208,7 +208,9 @@ def chunk_matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.
         part = by_size[c:z]
         words, passages = [index["words"][item[start[i]]] for i in part], [h[lo[i] : hi[i]] for i in part]
         got, ends = align(words, passages)
-        _, back = align([w[::-1] for w in words], [p[: e + 1][::-1] for p, e in zip(passages, ends, strict=True)])
+        good = np.flatnonzero(got / (2 * long[start][part]) >= index["threshold"])
+        back = np.zeros(len(part), np.int64)  # the same alignments from their ends, which gives their first words
+        back[good] = align([words[g][::-1] for g in good], [passages[g][: ends[g] + 1][::-1] for g in good])[1]
         for i, s, e, r in zip(part, got, ends, back, strict=True):
             key = (int(row[start[i]]), int(item[start[i]]))
             score = float(s) / (2 * int(long[start[i]]))
