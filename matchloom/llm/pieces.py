@@ -35,8 +35,8 @@ from matchloom.llm._text import mix, ragged, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 LITERAL = 0x110000  # stands for a SPACE that the text itself has; beyond Unicode
-SLICE = 2 << 20
-CELLS = 1 << 21
+SLICE = 1 << 20
+CELLS = 1 << 20
 U64 = np.uint64
 
 
