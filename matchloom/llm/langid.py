@@ -29,6 +29,7 @@ from matchloom.llm._spark import small_batches
 from matchloom.llm._text import text_slices
 
 DIM = 4096
+SLICE = 1 << 18  # bytes of texts whose counts are held at once
 PER_LANGUAGE = 400
 GAP = 0.2
 ROUNDS = 150
@@ -151,7 +152,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offs in text_slices(b, limit=1 << 20):
+            for lo, hi, data, offs in text_slices(b, limit=SLICE):
                 f = features(data, offs).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in f], pa.binary())], names=["at", "lang", "f"])
 
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str], gap: float = GAP, tex
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offs in text_slices(b, text, 1 << 20):
+            for lo, hi, data, offs in text_slices(b, text, SLICE):
                 n = hi - lo
                 ok = has_letter(data, offs)
                 if code is None:
