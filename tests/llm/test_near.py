@@ -84,6 +84,19 @@ def test_least_votes_of_sizes_between_two():
                 assert (ngramjoin.least_votes(x, np.arange(y, z + 1)) >= w).all()
 
 
+def test_very_long_texts_and_ties(texts):
+    rng = random.Random(17)
+    long = [f"w{rng.randint(0, 3000)}" for _ in range(40_000)]
+    near, far = list(long), list(long)
+    for i in rng.sample(range(len(long)), 900):
+        near[i] = f"n{i}"
+    for i in rng.sample(range(len(long)), 6000):
+        far[i] = f"f{i}"
+    eight = "a b c d e f g h i j k"  # 7 shingles; of the next text 7 of 9.33 would be needed, it has 7 of 9 and 7 of 10
+    rows = [(3, " ".join(long)), (2, " ".join(near)), (1, " ".join(far)), (7, eight), (6, eight + " l m"), (9, eight + " l m n"), (8, eight)]
+    assert linked(ngramjoin.link(texts(rows))) == sorted(brute_components(rows))
+
+
 def test_repeated_ids_and_null_ids(texts):
     out = linked(ngramjoin.link(texts([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "")])).where("doc_id IS NOT NULL"))
     assert out == [(7, 2, 7), (7, 2, 7), (9, 0, 9)]

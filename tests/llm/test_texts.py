@@ -457,6 +457,34 @@ def test_quality_statistics(spark):
     assert quality.judge(df.limit(0), labels).collect() == []
 
 
+def plain_quality(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {j for at in seen.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_of_long_repeated_and_clashing_rows(spark):
+    rng = random.Random(14)
+    word = lambda: rng.choice(["a", "bb", "#c", "d&", "é", f"w{rng.randint(0, 500)}"])
+    rows = [(i, " ".join(word() + rng.choice(["", "", "\n"]) for _ in range(rng.randint(0, 150))), rng.choice(["en", "fr", None])) for i in range(40)]
+    rows += [rows[3]] * 4 + [(None, rows[4][1], "en"), (900, " ".join(word() for _ in range(60_000)), "en"), (901, "same line here\n" * 3000, None)]
+    df = spark.createDataFrame([(*r, 1, "x", True, 2.0) for r in rows], "doc_id long, text string, lang string, n_words int, _t string, kept boolean, stratum double")
+    labels = spark.createDataFrame([(i % 30, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = quality.judge(df, labels).collect()
+    got = sorted(((r["doc_id"], r["lang"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in out), key=repr)
+    want = []
+    for i, t, lang in rows:
+        s = plain_quality(t)
+        failed = s[0] < 50 or 100 * s[4] > 50 * s[0]
+        want.append((i, lang, *s, failed, not failed))
+    assert got == sorted(want, key=repr)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "c", " ", "\n", "  "]), max_size=60).map("".join))
 def test_repeated_windows(spark, text):
