@@ -16,7 +16,7 @@ to LENGTH bytes are what an LCP array would show.
 Distribution: places are texts, not documents, so copies of a text count once (a text with copies is covered whole).
 Anchors are counted with map-side combination. An anchor with more than BOUND places (64 windows count as one) is split over
 tasks by text and place; tasks then exchange digests of their distinct windows, which are counted with map-side combination as well. A task sorts segments
-in chunks of CHUNK bytes that end between buckets, so memory is bounded. The result is written, and all other tables are deleted.
+in chunks of WINDOWS windows that end between buckets, so memory is bounded. The result is written, and all other tables are deleted.
 
 Exactness: texts are told apart by 64-bit hash and length; windows of a split anchor are compared across tasks by
 128-bit digests, all other comparisons are of bytes. Defined results: null counts as empty; texts shorter than LENGTH
@@ -41,7 +41,8 @@ LENGTH = 200
 GRAM = 40
 SHALLOW = 32
 BOUND = 1 << 14
-CHUNK = 4 << 20
+CHUNK = 4 << 20  # bytes of segments that travel in one batch
+WINDOWS = 1 << 20  # windows sorted together, more if one bucket has more
 PIECE = 1 << 15  # windows of one segment
 U64 = np.uint64
 
@@ -228,7 +229,7 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, bucket: np.ndarray, leng
 FOUND = "h long, nb long, a int, b int, d1 long, d2 long, lone boolean"
 
 
-def repeats(parts: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
+def repeats(parts: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = WINDOWS) -> DataFrame:
     """Covered spans (h, nb, a, b; d1 is null) and, of split anchors, each distinct window's digest with a place (b = a + length)."""
     tables = spread(256, 21), spread(256, 22)
 
@@ -294,11 +295,11 @@ def repeats(parts: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int
             else:
                 held = [np.concatenate(x) for x in zip(held, cols, strict=True)]
                 blobs = np.concatenate([blobs[0], data]), np.concatenate([blobs[1], offs[1:] + blobs[1][-1]])
-            while len(blobs[0]) > chunk:
+            while len(blobs[0]) - (length - 1) * len(held[0]) > chunk:
                 change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
                 if not len(change):
                     break
-                fit = change[blobs[1][change] <= chunk]
+                fit = change[blobs[1][change] - (length - 1) * change <= chunk]
                 yield from flush(int(fit[-1] if len(fit) else change[0]))
         if held is not None and len(held[0]):
             yield from flush(len(held[0]))
