@@ -58,3 +58,20 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)  # the cleaner works beside
+
+
+class Steps:
+    """The tables of one run of an operator, deleted together when its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(written(df))
+        return self.tables[-1]
+
+    def done(self, result: DataFrame) -> DataFrame:
+        out = written(result)
+        for table in self.tables:
+            drop(table)
+        return out

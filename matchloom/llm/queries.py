@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup
+from matchloom.llm import decontam, itemsets, langid, linededup, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup
 from matchloom.llm._spark import drop, written
 
 
@@ -69,5 +69,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
+def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed frequent itemsets of the sales, each with its rules."""
+    return itemsets.rule_digest(itemsets.itemsets(table(spark, sf_dir, "sale_lines"), "sale_id", "item_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan, op11_closed_itemsets)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

@@ -185,3 +185,28 @@ crc0 AS (SELECT doc_id, j, c AS v FROM bytes JOIN bits ON i = 8 AND n = ('0x' ||
 SELECT docs.doc_id, octet_length(raw)::BIGINT + 8 AS size, xor(v, 4294967295)::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, slot, NULL::INT AS grown_shard
 FROM walk JOIN served USING (k) JOIN docs USING (doc_id) JOIN crc24 ON crc24.doc_id = docs.doc_id
 """
+
+#: All frequent itemsets level by level, as sorted lists with the baskets that hold them; then those without an equal superset.
+ORACLES["op11_closed_itemsets"] = """
+WITH RECURSIVE e AS (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+b AS (SELECT count(DISTINCT sale_id) AS baskets FROM e),
+one AS (SELECT item_id, count(*) AS s FROM e GROUP BY item_id HAVING count(*) >= 5 AND count(*) * 20000 >= (SELECT baskets FROM b)),
+f AS (SELECT e.* FROM e JOIN one USING (item_id)),
+occ AS (
+  SELECT [item_id] AS xs, item_id AS last, sale_id FROM f
+  UNION ALL
+  SELECT xs, last, sale_id FROM (
+    SELECT list_append(o.xs, f.item_id) AS xs, f.item_id AS last, o.sale_id, count(*) OVER (PARTITION BY o.xs, f.item_id) AS n
+    FROM occ o JOIN f ON f.sale_id = o.sale_id AND f.item_id > o.last)
+  WHERE n >= 5 AND n * 20000 >= (SELECT baskets FROM b)),
+freq AS (SELECT xs, count(*) AS support FROM occ GROUP BY xs),
+part AS (SELECT xs, support, c, list_filter(xs, lambda x: x <> c) AS rest FROM (SELECT xs, support, unnest(xs) AS c FROM freq WHERE len(xs) > 1)),
+closed AS (SELECT * FROM freq WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.rest = freq.xs AND part.support = freq.support)),
+told AS (
+  SELECT p.xs, p.c, r.support AS a, one.s FROM part p JOIN freq r ON r.xs = p.rest JOIN one ON one.item_id = p.c
+  WHERE 100 * p.support >= 60 * r.support AND p.support * (SELECT baskets FROM b) > r.support * one.s),
+rules AS (SELECT xs, count(*) AS n, arg_min(c, (a, c)) AS best, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS said FROM told GROUP BY xs)
+SELECT array_to_string(xs, ',') AS items, len(xs)::BIGINT AS n_items, support::BIGINT AS support, coalesce(n, 0)::BIGINT AS n_rules,
+  best::BIGINT AS best_item, sha256(coalesce(said, '')) AS rules_sha256
+FROM closed LEFT JOIN rules USING (xs)
+"""
