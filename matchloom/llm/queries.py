@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontam, itemsets, langid, linededup, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup
+from matchloom.llm import decontam, itemsets, langid, linededup, merkle, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup
 from matchloom.llm._spark import drop, written
 
 
@@ -74,5 +74,10 @@ def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.rule_digest(itemsets.itemsets(table(spark, sf_dir, "sale_lines"), "sale_id", "item_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan, op11_closed_itemsets)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether it still verifies after tampering."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan, op11_closed_itemsets, op12_merkle_manifest)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

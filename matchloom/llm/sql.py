@@ -210,3 +210,51 @@ SELECT array_to_string(xs, ',') AS items, len(xs)::BIGINT AS n_items, support::B
   best::BIGINT AS best_item, sha256(coalesce(said, '')) AS rules_sha256
 FROM closed LEFT JOIN rules USING (xs)
 """
+
+#: The trees level by level (tree), their runs, then every leaf's way through its source (up) and over the sources (top).
+ORACLES["op12_merkle_manifest"] = """
+WITH RECURSIVE coded AS (
+  SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents),
+step(n, i, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, i + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE i < 8),
+bytes AS (SELECT n, v FROM step WHERE i = 8),
+odd(doc_id, rest, v) AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR, 4294967295 FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, rest[2:], xor(b.v, o.v >> 8) FROM odd o JOIN bytes b ON b.n = xor(o.v & 255, ord(o.rest[1])) WHERE rest <> ''),
+even AS (SELECT doc_id FROM odd WHERE rest = '' AND xor(v, 4294967295) % 2 = 0),
+hashed AS (
+  SELECT c.doc_id, c.source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN e.doc_id IS NULL THEN sha256(head || coalesce(strlen(text) || ':' || text, '-'))
+      ELSE sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS changed
+  FROM coded c LEFT JOIN even e ON e.doc_id = c.doc_id),
+leaf AS (
+  SELECT *, coalesce('s' || source, '-') AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    row_number() OVER () AS row, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+tree(k, lvl, i, n, d) AS (
+  SELECT k, 0, i, n, leaf FROM leaf
+  UNION ALL SELECT k, lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY k, lvl, i // 3),
+sub AS (SELECT k, d, row_number() OVER (ORDER BY encode(k)) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown(lvl, i, n, d) AS (
+  SELECT 0, i, n, d FROM sub
+  UNION ALL SELECT lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY lvl, i // 3),
+runs AS (SELECT k, lvl, i // 3 AS r, list(d ORDER BY i) AS run FROM tree WHERE n > 1 GROUP BY k, lvl, i // 3),
+bands AS (SELECT lvl, i // 3 AS r, list(d ORDER BY i) AS run FROM crown WHERE n > 1 GROUP BY lvl, i // 3),
+up(row, k, lvl, i, f, proof) AS (
+  SELECT row, k, 0, i, changed, '' FROM leaf
+  UNION ALL SELECT u.row, u.k, u.lvl + 1, u.i // 3,
+    sha256(array_to_string(run[1:u.i % 3], '') || u.f || array_to_string(run[u.i % 3 + 2:], '')),
+    u.proof || array_to_string(run[1:u.i % 3], '') || array_to_string(run[u.i % 3 + 2:], '')
+  FROM up u JOIN runs r ON r.k = u.k AND r.lvl = u.lvl AND r.r = u.i // 3),
+reached AS (SELECT u.*, s.d AS subroot, s.i AS j FROM up u JOIN sub s USING (k) WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.k = u.k AND r.lvl = u.lvl)),
+top(row, subroot, lvl, i, f, proof) AS (
+  SELECT row, subroot, 0, j, f, proof FROM reached
+  UNION ALL SELECT t.row, t.subroot, t.lvl + 1, t.i // 3,
+    sha256(array_to_string(run[1:t.i % 3], '') || t.f || array_to_string(run[t.i % 3 + 2:], '')),
+    t.proof || array_to_string(run[1:t.i % 3], '') || array_to_string(run[t.i % 3 + 2:], '')
+  FROM top t JOIN bands b ON b.lvl = t.lvl AND b.r = t.i // 3)
+SELECT l.doc_id, l.leaf, t.subroot, (SELECT d FROM crown WHERE n = 1) AS root, sha256(t.proof) AS proof_sha256, t.f AS folded_root,
+  t.f = (SELECT d FROM crown WHERE n = 1) AS verified
+FROM leaf l JOIN top t USING (row) WHERE NOT EXISTS (SELECT 1 FROM bands b WHERE b.lvl = t.lvl)
+"""
