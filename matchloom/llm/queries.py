@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontam, itemsets, langid, linededup, merkle, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup
+from matchloom.llm import decontam, itemsets, langid, linededup, merkle, ngramjoin, pieces, pii, quality, secretscan, sharding, sql, suffixdedup, tokencount
 from matchloom.llm._spark import drop, written
 
 
@@ -79,5 +79,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan, op11_closed_itemsets, op12_merkle_manifest)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and how many characters fit into the limit."""
+    import public_tokenizers
+
+    path = spark.conf.get("spark.matchloom.byte_tokenizer", None) or public_tokenizers.path(tokencount.FILE)
+    return tokencount.counted(table(spark, sf_dir, "documents"), ["doc_id"], path)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ring_shards, op7_pii, op8_quality_rules, op9_decontaminate, op10_secret_scan, op11_closed_itemsets, op12_merkle_manifest, op13_token_counts)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
