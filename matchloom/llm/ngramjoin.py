@@ -19,13 +19,13 @@ its size), and classes with Jaccard similarity of at least 3/4 are linked; the r
    their largest component name their pairs, whose votes are summed; pairs with enough votes are verified, once each.
 5. Crowded shingles, with more entries outside, go through further star rounds, in which an entry of the largest component is
    tried by all others, until these merge little more. Of two classes that are still apart and share a crowded shingle, one is
-   outside its largest component. If those classes are counted to be few, they are broadcast with their sets, all classes of
-   crowded shingles meet them on the spot, best partners first, and a pair that links found in the same task have joined
-   needs no look: at most one link is made for each merger. Otherwise all pairs across components are listed, packed by their
-   smaller class, and summed with the others. Either way the result is exact whatever the star rounds did.
+   outside its largest component. Those classes are broadcast with their sets, in blocks of a fixed size, one after the other; all
+   classes of crowded shingles meet them on the spot, best partners first, and a pair that links found in the same task or in a
+   block before have joined needs no look: at most one link is made for each merger and task. Pairs are never listed, and the result is
+   exact whatever the star rounds did.
 
-Distribution: broadcast are the table of at most FREQUENT ranks and, if counted to be within BROADCAST_ROWS, BUSY_ENTRIES and
-BUSY_SHINGLES, the ids of the classes whose sets are needed and the busy classes; beyond that, joins shuffle. Shingles known
+Distribution: broadcast are the table of at most FREQUENT ranks, blocks of about BUSY_ENTRIES entries and BUSY_SHINGLES shingles of
+busy classes and, if counted to be within BROADCAST_ROWS, the ids of the classes whose sets are needed; beyond that, joins shuffle. Shingles known
 to be frequent are spread over tasks, since they need no grouping to know that they are shared, and they and all with more than WIDE
 entries go on as crowded ones, whose steps aggregate before they shuffle. A shingle that no slice of COUNTED shingles held
 twice has at most one entry for each such slice. Sets are joined only for pairs that passed all other filters. The
@@ -61,7 +61,6 @@ COUNTED = 1 << 22  # shingles that a task counts at once
 ENTRIES = 1 << 19  # entries per task when prefixes meet
 MOST_TASKS = 20_000
 PAIRS_AT_ONCE = 1 << 20
-PARTNER = np.dtype([("cls", "<i8"), ("n", "<i4"), ("fits", "?")])
 HOT = 50_000  # a shingle counted in so many documents is spread over tasks
 ROUNDS = 8
 EASY = 64  # pairs to try per entry that need no further star round: listing a pair moves some 13 bytes, a round some 500 an entry
@@ -398,87 +397,6 @@ def star_pairs(entries: DataFrame, step: int) -> DataFrame:
     return tried.groupBy(F.col("e.cls").alias("u"), F.col("p.cls").alias("v")).agg(F.count(F.lit(1)).alias("votes"))
 
 
-def partner_lists(entries: DataFrame, bound: int = ENTRIES) -> DataFrame:
-    """(m, n, partners): for each token the pairs of entries in different components that pass the length filter, of which
-    one at least is outside the token's largest component; each is packed with its smaller class m, with the other's size
-    and whether this token passes all filters. Tokens with more than `bound` entries are split over tasks, with
-    their minor entries sent to each part."""
-    counts = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    tokens = cut(counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("k"), F.ceil(F.sum("c") / bound).cast("int").alias("parts")).where("k > 1").drop("k"))
-    e = entries.join(tokens, "token")
-    members = e.select("token", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls", "n", "pos", "comp", (F.col("comp") != F.col("major")).alias("minor"), F.lit(False).alias("asks"))
-    asking = e.where("comp <> major").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cls", "n", "pos", "comp", F.lit(True).alias("minor"), F.lit(True).alias("asks"))
-
-    def lists(cls, n, pos, comp, minor, asks):
-        ask, own = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for lo in range(0, len(ask), max(1, PAIRS_AT_ONCE // max(len(own), 1))):
-            q = ask[lo : lo + max(1, PAIRS_AT_ONCE // max(len(own), 1))][:, None]
-            ok = (4 * np.minimum(n[q], n[own]) >= 3 * np.maximum(n[q], n[own])) & (comp[q] != comp[own]) & (~minor[own] | (cls[q] < cls[own]))
-            good = fits(n[q], pos[q], n[own], pos[own])
-            up = cls[own] > cls[q]
-            for one, other, yes, fit in ((q[:, 0], own, ok & up, good), (own, q[:, 0], (ok & ~up).T, good.T)):  # a pair is listed with its smaller class
-                for i in np.flatnonzero(yes.any(1)):
-                    row = np.empty(int(yes[i].sum()), PARTNER)
-                    row["cls"], row["n"], row["fits"] = cls[other[yes[i]]], n[other[yes[i]]], fit[i][yes[i]]
-                    yield int(cls[one[i]]), int(n[one[i]]), row.tobytes()
-
-    def run(batches):
-        held = None
-        for b in batches:
-            cols = [np.asarray(b.column(c)) if b.schema.types[c] != pa.bool_() else b.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
-            if len(change):
-                yield from packed(held, np.concatenate([[0], change]))
-                held = [c[change[-1] :] for c in held]
-        if held is not None:
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
-            yield from packed(held, np.concatenate([[0], change, [len(held[0])]]))
-
-    def packed(held, cuts):
-        out = []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            n, pos = held[3][lo:hi].astype(np.int64), held[4][lo:hi].astype(np.int64)
-            for row in lists(held[2][lo:hi], n, pos, held[5][lo:hi], held[6][lo:hi], held[7][lo:hi]):
-                out.append(row)
-                if len(out) == 1024:
-                    yield batch(out)
-                    out = []
-        if out:
-            yield batch(out)
-
-    def batch(out):
-        m, n, partners = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(n, pa.int32()), pa.array(partners, pa.binary())], names=["m", "n", "partners"])
-
-    return members.unionByName(asking).repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "m long, n int, partners binary")
-
-
-def listed_pairs(entries: DataFrame) -> DataFrame:
-    """Rows (cls, v, n, m, votes, fit) of all pairs across components, one for each pair, from the lists of partners of each class."""
-
-    def run(batches):
-        m, n, parts = None, 0, []
-        for b in batches:
-            for own, size, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if own != m and parts:
-                    yield once(m, n, parts)
-                    parts = []
-                m, n = own, size
-                parts.append(np.frombuffer(raw, PARTNER))
-        if parts:
-            yield once(m, n, parts)
-
-    def once(m, n, parts):
-        p = np.concatenate(parts)
-        v, first, at, votes = np.unique(p["cls"], return_index=True, return_inverse=True, return_counts=True)
-        some = np.zeros(len(v), bool)
-        some[at[p["fits"]]] = True
-        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.full(len(v), m)), pa.array(p["n"][first]), pa.array(np.full(len(v), n, np.int32)), pa.array(votes.astype(np.int32)), pa.array(some)], names=["cls", "v", "n", "m", "votes", "fit"])
-
-    return partner_lists(entries).repartition("m").sortWithinPartitions("m").mapInArrow(run, "cls long, v long, n int, m int, votes int, fit boolean")
-
-
 def only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cls, n, sig, low), one row for each class of the pairs. Their classes are broadcast if there are counted to be few."""
     needed = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
@@ -530,33 +448,40 @@ def few(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def asked(crowd: DataFrame, tokens: DataFrame, n_tokens: int, sets: DataFrame) -> DataFrame | None:
-    """(u, v): links that join all components which crowded tokens show to be linked; none if the classes that these tokens
-    leave outside their largest components are too many to be broadcast.
+def asked(crowd: DataFrame, tokens: DataFrame, n_tokens: int, sets: DataFrame, found: list[DataFrame]) -> list[DataFrame]:
+    """Links (u, v) that join all components which crowded tokens show to be linked, on top of those `found`.
 
     Of two classes in different components that share a crowded token, one is outside the largest component. All classes of
-    crowded tokens come with their sets, meet these busy ones on the spot, best partners first, and are verified there. A
-    pair that links found before in the task have joined needs no look, so at most one link is made for each merger.
+    crowded tokens come with their sets, meet these busy ones on the spot, best partners first, and are verified there. Busy
+    classes are settled once and come in blocks; between blocks the components are joined, so a pair is looked at only while apart.
     """
     own = few(tokens.select("token", "major"), n_tokens)
     busy = cut(crowd.join(own, "token").where("comp <> major").select("cls").distinct())
     theirs = crowd.join(few(busy, busy.count()), "cls", "left_semi")
     size = theirs.groupBy("cls").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    if size[0] > BUSY_SHINGLES or size[1] > BUSY_ENTRIES:
-        return None
+    blocks = max(1, -(-size[0] // BUSY_SHINGLES), -(-size[1] // BUSY_ENTRIES))
     grouped = crowd.groupBy("cls").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("t").alias("t"), F.collect_list("token").alias("tokens"))
     needed = F.broadcast(grouped.select("cls")) if n_tokens <= BROADCAST_ROWS and crowd.count() <= BROADCAST_ROWS else grouped.select("cls")
     packed = sets.select("cls", "sig", "low").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
     ready = cut(grouped.join(packed, "cls"))
-    rows = ready.join(few(busy, size[1]), "cls", "left_semi").orderBy("cls").toArrow().to_pylist()
-    if not rows:
-        return None
+    links: list[DataFrame] = []
+    for block in range(blocks):
+        part = busy.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(blocks)) == block)
+        now = with_components(ready.drop("comp"), components(reduce(DataFrame.unionByName, found + links))) if links else ready
+        rows = now.join(few(part, size[1] if blocks == 1 else 0), "cls", "left_semi").orderBy("cls").toArrow().to_pylist()  # a block of bounded size
+        if rows:
+            links.append(cut(met_on_the_spot(now, rows)))
+    return links
+
+
+def met_on_the_spot(ready: DataFrame, rows: list[dict]) -> DataFrame:
+    """(u, v) of classes linked with those of `rows`, as long as their components are apart."""
     cls, n, comp, t = (np.array([r[c] for r in rows], np.int64) for c in ("cls", "n", "comp", "t"))
     token = np.concatenate([np.array(r["tokens"], np.int64) for r in rows])
     index = np.repeat(np.arange(len(rows)), [len(r["tokens"]) for r in rows])
     order = np.argsort(token, kind="stable")
     rest = t - np.bincount(index, minlength=len(rows))
-    known = crowd.sparkSession.sparkContext.broadcast((cls, n, comp, rest, token[order], index[order], [r["sig"] for r in rows], [r["low"] for r in rows]))
+    known = ready.sparkSession.sparkContext.broadcast((cls, n, comp, rest, token[order], index[order], [r["sig"] for r in rows], [r["low"] for r in rows]))
 
     def run(batches):
         b_cls, b_n, b_comp, b_rest, b_token, b_index, sigs, lows = known.value
@@ -650,13 +575,8 @@ def link(docs: DataFrame, k: int = K, hot: int = HOT, frequent: int = FREQUENT,
         n_tokens = tokens.count()
     if n_tokens:
         crowd = cut(crowd.join(few(tokens.select("token"), n_tokens), "token", "left_semi"))
-        more = asked(crowd, tokens, n_tokens, sets)
-        if more is None:
-            rows = rows.unionByName(listed_pairs(crowd))
-        else:
-            more = cut(more)
-            found.append(more)
-            comps = components(reduce(DataFrame.unionByName, found))
+        found += asked(crowd, tokens, n_tokens, sets, found)
+        comps = components(reduce(DataFrame.unionByName, found))
     pairs = voted(rows)
     for side in "uv":
         pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")

@@ -49,12 +49,19 @@ def test_crowded_tokens(texts, kw):
 
 
 @pytest.mark.parametrize("kw", [{"rounds": 0, "easy": 2}, {"rounds": 1, "easy": 0, "hot": 3}])
-def test_crowded_tokens_whose_classes_are_too_many_to_broadcast(texts, monkeypatch, kw):
+def test_crowded_tokens_whose_classes_come_in_blocks(texts, monkeypatch, kw):
     rows = corpus(2)
-    old = ngramjoin.partner_lists
-    monkeypatch.setattr(ngramjoin, "BUSY_ENTRIES", 0)
-    monkeypatch.setattr(ngramjoin, "partner_lists", lambda e: old(e, bound=4))
+    old, made = ngramjoin.met_on_the_spot, []
+
+    def counting(ready, block):
+        links = ngramjoin.cut(old(ready, block))
+        made.append((links.count(), len(block)))
+        return links
+
+    monkeypatch.setattr(ngramjoin, "BUSY_ENTRIES", 40)
+    monkeypatch.setattr(ngramjoin, "met_on_the_spot", counting)
     assert linked(ngramjoin.link(texts(rows), **kw)) == sorted(brute_components(rows))
+    assert len(made) > 1 and sum(n for n, _ in made) <= 3 * len(rows)  # in each of three tasks a link a merger at most
 
 
 def test_wide_tokens_and_small_bounds(texts, monkeypatch):
