@@ -1,8 +1,11 @@
-"""Benchmark decontamination: word-pair seeds, a lossless count filter, then Smith-Waterman alignment.
-
-Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Seeds of an item are all its pairs of words that
-stand side by side or one word apart, found in the documents side by side or one word apart; how often an item leaked
-plays no part. Hits of one item on nearby diagonals are gathered into passages, and each passage is aligned with its item
+"""Benchmark decontamination: rare word-pair seeds, a lossless count filter, then Smith-Waterman alignment.
+
+Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. The pairs of an item are its words that stand side by side
+or one word apart, found in the documents side by side or one word apart; how often an item leaked plays no part. An
+alignment at the threshold holds pairs of a weight `need` of the item's weight W, so it holds one of any pairs weighing more than
+W - need: the item's seeds are its rarest such pairs, by the number of items with a pair. A text meets an item only through a
+seed, however often its words stand there; the item then needs pairs of weight `need` among the text's distinct ones. Just for
+the items left, all hits are listed; those on nearby diagonals are gathered into passages, and each passage is aligned with its item
 word by word (match +2, mismatch -1, gap -1). The score is the best local alignment divided by a full match; pairs at or
 above `threshold` are contaminated, which covers paraphrased and edited copies.
 
@@ -13,8 +16,8 @@ aligned with that many words on either side, which holds the whole alignment. Th
 true of 4 words at thresholds above 0.25.
 
 Distribution: one map over whole texts; nothing is shuffled. Items are taken in blocks of at most `block_words` words, so
-what is sent to the executors has a fixed bound; more blocks mean more passes. Hits are held for at most HITS or one text
-at a time. Alignment costs are linear in the hits: a passage holds each hit once.
+what is sent to the executors has a fixed bound; more blocks mean more passes. Hits are held for at most HITS, or one text with one
+item, at a time. Alignment costs are linear in the hits: a passage holds each hit once.
 
 Defined results: null or empty texts and items match nothing; an item shorter than n words is one seed and must stand
 whole; an item found several times in a document gives one row with its best passage (the first and last word of the best
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm._spark import small_batches
-from matchloom.llm._text import mix, punctuation_table, spread, text_slices, word_hashes
+from matchloom.llm._text import mix, punctuation_table, ragged, spread, text_slices, word_hashes
 
 N = 4
 THRESHOLD = 0.4
@@ -82,12 +85,20 @@ def item_index(words: list[np.ndarray], n: int, threshold: float) -> dict:
     parts = [seeds(w, np.zeros(len(w), np.int64), *(((1, 2), ()) if len(w) >= n else ((), (len(w),)))) for w in words]
     at, g, loose = (np.concatenate(x) for x in zip(*parts, strict=True))
     item = np.repeat(np.arange(len(words)), [len(p[0]) for p in parts])
-    order = np.argsort(g, kind="stable")
-    known, counts = np.unique(g, return_counts=True)
+    known, number = np.unique(g, return_inverse=True)
     need = np.where(lens >= n, np.maximum(np.ceil(2 * threshold * lens - 2 - 1e-9), 1), 1).astype(np.int64)
+    weight = np.where(loose, 1, 2)
+    holders = np.bincount(np.unique(number * len(words) + item) // len(words), minlength=len(known))
+    order = np.lexsort((number, -holders[number], item))  # each item's commonest pairs first
+    upto = np.cumsum(weight[order])
+    own = np.searchsorted(item[order], np.arange(len(words) + 1))
+    upto -= np.repeat(np.concatenate([[0], upto])[own[:-1]], np.diff(own))
+    rare = upto >= need[item[order]]  # the commonest pairs alone weigh less than needed
+    seed = np.unique(number[order][rare] * len(words) + item[order][rare])
     span = np.maximum(np.floor(2 * (1 - threshold) * lens + 1e-9), 0).astype(np.int64)
     short = tuple(int(k) for k in np.unique(lens[lens < n]))
-    return {"known": known, "ends": np.concatenate([[0], np.cumsum(counts)]), "item": item[order], "at": at[order], "loose": loose[order], "words": words, "lens": lens, "need": need, "span": span, "short": short, "steps": (1, 2) if (lens >= n).any() else (), "threshold": threshold}
+    by_item = np.argsort(item, kind="stable")
+    return {"known": known, "seed_ends": np.searchsorted(seed, np.arange(len(known) + 1) * len(words)), "seed_item": seed % len(words), "own": own, "pair": number[by_item], "at": at[by_item], "loose": loose[by_item], "words": words, "lens": lens, "need": need, "span": span, "short": short, "steps": (1, 2) if (lens >= n).any() else (), "threshold": threshold}
 
 
 def lookup(h: np.ndarray, rows: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,13 +153,12 @@ def batches_of(sizes: np.ndarray, cells: int = CELLS) -> list[tuple[int, int]]:
     return out
 
 
-def chunks(rows: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of `n` that end with a row and sum to at most HITS, or hold one row."""
-    ends = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) + 1
-    sums, out, lo = np.cumsum(n)[ends - 1], [], 0
-    while lo < len(ends):
+def chunks(n: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges whose numbers sum to at most HITS, or of one number."""
+    sums, out, lo = np.cumsum(n), [], 0
+    while lo < len(n):
         hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + HITS, "right")))
-        out.append((int(ends[lo - 1]) if lo else 0, int(ends[hi - 1])))
+        out.append((lo, hi))
         lo = hi
     return out
 
@@ -165,21 +175,67 @@ def strong(pair: np.ndarray, diag: np.ndarray, weight: np.ndarray, need: np.ndar
     return np.cumsum(cover[:-1]) > 0
 
 
+def met_items(present: np.ndarray, index: dict) -> np.ndarray:
+    """row x items + item of those met by a seed whose pairs in the row weigh enough. present: row x pairs + pair, ascending."""
+    n_items, n_pairs = len(index["lens"]), len(index["known"])
+    row, pair = present // n_pairs, present % n_pairs
+    n = index["seed_ends"][pair + 1] - index["seed_ends"][pair]
+    some = np.flatnonzero(n)
+    row, pair, n = row[some], pair[some], n[some]
+    met = [np.unique(np.repeat(row[a:b], n[a:b]) * n_items + index["seed_item"][ragged(index["seed_ends"][pair[a:b]], n[a:b])]) for a, b in chunks(n)]
+    met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    out = []
+    for a, b in chunks(np.diff(index["own"])[met % n_items]):
+        part = met[a:b]
+        owner, entry = entries(part, index)
+        held = is_in(part[owner] // n_items * n_pairs + index["pair"][entry], present)
+        weight = np.bincount(owner[held], np.where(index["loose"][entry[held]], 1, 2), len(part))
+        out.append(part[weight >= index["need"][part % n_items]])
+    return np.concatenate(out) if out else met
+
+
+def entries(met: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `met`, pair of its item) of every pair of the items met."""
+    item = met % len(index["lens"])
+    size = np.diff(index["own"])[item]
+    return np.repeat(np.arange(len(met)), size), ragged(index["own"][item], size)
+
+
+def is_in(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
+
+
 def matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.ndarray, loose: np.ndarray, index: dict) -> list[tuple[int, int, int, float, int, int]]:
     """(row, item number, seeds, score, first word, last word) of the pairs above the threshold in one slice."""
     if not len(where):
         return []
-    n = index["ends"][which + 1] - index["ends"][which]
-    return [m for a, b in chunks(rows[where], n) for m in chunk_matches(h, rows, where[a:b], which[a:b], loose[a:b], n[a:b], index)]
+    n_items, n_pairs = len(index["lens"]), len(index["known"])
+    key = rows[where].astype(np.int64) * n_pairs + which
+    order = np.argsort(key, kind="stable")
+    present, begin, times = np.unique(key[order], return_index=True, return_counts=True)
+    met = met_items(present, index)
+    owner, entry = entries(met, index)
+    at = np.minimum(np.searchsorted(present, met[owner] // n_items * n_pairs + index["pair"][entry]), len(present) - 1)
+    held = present[at] == met[owner] // n_items * n_pairs + index["pair"][entry]
+    owner, entry, at = owner[held], entry[held], at[held]
+    total = np.bincount(owner, times[at], len(met)).astype(np.int64)
+    first = np.searchsorted(owner, np.arange(len(met) + 1))
+    out = []
+    for a, b in chunks(total):
+        x = slice(first[a], first[b])
+        n = times[at[x]]
+        hit = order[ragged(begin[at[x]], n)]
+        out += chunk_matches(h, rows, where[hit], np.repeat(entry[x], n), loose[hit], np.repeat(met[owner[x]] % n_items, n), index)
+    return out
 
 
-def chunk_matches(h: np.ndarray, rows: np.ndarray, where: np.ndarray, which: np.ndarray, loose: np.ndarray, n: np.ndarray, index: dict) -> list[tuple[int, int, int, float, int, int]]:
+def chunk_matches(h: np.ndarray, rows: np.ndarray, at: np.ndarray, slot: np.ndarray, loose: np.ndarray, item: np.ndarray, index: dict) -> list[tuple[int, int, int, float, int, int]]:
+    """The same from hits: word number, pair of the item, whether a word is skipped, item."""
+    if not len(at):
+        return []
     first = np.searchsorted(rows, np.arange(rows[-1] + 2))
-    hit = np.repeat(np.arange(len(where)), n)
-    slot = np.repeat(index["ends"][which], n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
-    item, at = index["item"][slot], where[hit]
     row, diag = rows[at], at - index["at"][slot]
-    weight = np.where(loose[hit] | index["loose"][slot], 1, 2)
+    weight = np.where(loose | index["loose"][slot], 1, 2)
     most = int(index["lens"].max())
     width = len(h) + 4 * most + 4  # diagonals of one pair and a span never reach the next pair
     pair, diag = row * len(index["lens"]) + item, diag + most
