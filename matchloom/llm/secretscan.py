@@ -7,9 +7,10 @@ are propagated in reading order; a name that gets an unknown value is no constan
 of its target name and by its literal's length, entropy and character classes; pairs above the threshold add `pair` spans
 over their literals.
 
-A value joined from several parts or propagated is a constant while it has at most LONGEST characters and PARTS literals;
-beyond that, as where a name is doubled line by line, it is taken for data and its pair gives no span. A literal that
-stands alone may have any length. So memory and time per assignment are bounded, whatever the text.
+A joined or propagated value is kept as what its score needs: length, counts of characters, first and last few characters, and the
+values it was joined from. So a value may be joined from any number of literals and doubled any number of times; its literals
+are walked once a text, when a pair above the threshold needs them. A name whose new value uses its own old one is data, not a
+constant: its pair gives no span.
 
 Distribution: one map over whole texts without a shuffle. Patterns are run only where a character they need occurs.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -48,8 +50,7 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your|dummy|sample|redacted|xxx|\*\*\*|todo|none$|null$|true$|false$|undefined|\$\{|\{\{|<|%\(")
 THRESHOLD = 0.55
-LONGEST = 4096  # characters of a joined or propagated value
-PARTS = 64  # literals of such a value
+EDGE = 16  # longer than any placeholder
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,14 +68,49 @@ def name_score(name: str) -> float:
     return min(1.0, max(0.0, sum(SENSITIVE.get(w.lower(), 0.0) for w in SUBWORD.findall(name))))
 
 
-def literal_score(value: str) -> float:
-    """0 to 1 by length, entropy and character classes; 0 for short values and placeholders."""
-    if len(value) < 8 or PLACEHOLDER.search(value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.25 * min(n / 16, 1) + 0.5 * min(entropy / 4, 1) + 0.25 * min((kinds - 1) / 2, 1))
+class Value:
+    """A literal, or values joined one after the other, with what its score needs."""
+
+    __slots__ = ("counts", "head", "parts", "placeholder", "size", "span", "tail")
+
+    def __init__(self, text: str, span: tuple[int, int]) -> None:
+        self.size, self.counts, self.span, self.parts = len(text), Counter(text), span, ()
+        self.head, self.tail = text[:EDGE], text[-EDGE:]
+        self.placeholder = bool(PLACEHOLDER.search(text))
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls("", (0, 0))
+        out.span, out.parts = None, tuple(parts)
+        for p in parts:
+            out.placeholder |= p.placeholder or bool(PLACEHOLDER.search(out.tail + p.head))
+            out.size += p.size
+            out.counts.update(p.counts)
+            out.head = (out.head + p.head)[:EDGE]
+            out.tail = (out.tail + p.tail)[-EDGE:]
+        return out
+
+    def score(self) -> float:
+        """0 to 1 by length, entropy and character classes; 0 for short values and placeholders."""
+        if self.size < 8 or self.placeholder:
+            return 0.0
+        n = self.size
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        kinds = {("a" <= c <= "z") + 2 * ("A" <= c <= "Z") + 3 * ("0" <= c <= "9") for c in self.counts}
+        return min(1.0, 0.25 * min(n / 16, 1) + 0.5 * min(entropy / 4, 1) + 0.25 * min((len(kinds) - 1) / 2, 1))
+
+    def spans(self, seen: set[int]) -> list[tuple[int, int]]:
+        """Spans of its literals, of those values that are not in `seen` yet."""
+        out, todo = [], [self]
+        while todo:
+            v = todo.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                todo += v.parts
+                out += [v.span] if v.span else []
+        return out
 
 
 def target(text: str, at: int, floor: int) -> str:
@@ -90,9 +126,9 @@ def target(text: str, at: int, floor: int) -> str:
     return text[j:i].strip(".-")
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, literal value, literal spans) of every assignment whose value is known, constants propagated."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """(target name, value) of every assignment whose value is known, constants propagated."""
+    known: dict[str, Value] = {}
     out, floor = [], 0
     for op in OPERATOR.finditer(text):
         if op.start() < floor:
@@ -100,52 +136,58 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
         name = target(text, op.start(), floor)
         if not NAME.fullmatch(name):
             continue
-        value, spans, at, literal, joined = "", [], op.end(), True, False
+        parts, at, literal = [], op.end(), True
         while m := OPERAND.match(text, at):
             group = m.lastindex
             part = m[group]
             bare = group == 4
-            if bare and part.rstrip(".:") in known:
-                part, own = known[part.rstrip(".:")]
-                joined = True
-            elif bare and NAME.fullmatch(part) and not any(c.isdigit() for c in part):
+            used = part.rstrip(".:") if bare else ""
+            if bare and used in known and used != name:
+                parts.append(known[used])
+            elif bare and (used == name or NAME.fullmatch(part) and not any(c.isdigit() for c in part)):
                 literal = False
                 break
             else:
                 part = part.rstrip(".") if bare else part
-                own = [(m.start(group), m.start(group) + len(part))]
-                joined = joined or bool(spans)
-            value, spans = (value + part, list(dict.fromkeys(spans + own))) if spans else (part, own)
-            if joined and (len(value) > LONGEST or len(spans) > PARTS):
-                literal = False
-                break
+                parts.append(Value(part, (m.start(group), m.start(group) + len(part))))
             at = m.end()
             if not (j := JOIN.match(text, at)):
                 break
             at = j.end()
-        if literal and value:
-            known.pop(name, None)
-            if len(value) <= LONGEST:
-                known[name] = (value, spans)
-            out.append((name, value, spans))
+        if literal and any(p.size for p in parts):
+            known[name] = Value.joined(parts)
+            out.append((name, known[name]))
             floor = at
         elif not literal:
             known.pop(name, None)
     if "</" in text:
-        out += [(m[1], m[2], [m.span(2)]) for m in ELEMENT.finditer(text)]
+        out += [(m[1], Value(m[2], m.span(2))) for m in ELEMENT.finditer(text)]
     return out
 
 
 def pair_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    found = set()
+    found, seen = set(), set()
     if "=" in text or ":" in text or "</" in text:
-        for name, value, spans in pairs(text):
+        values = pairs(text)  # held, so the numbers of values stay theirs
+        for name, value in values:
             sensitive = name_score(name)
-            if sensitive >= 0.4 and (quality := literal_score(value)) > 0 and 0.6 * sensitive + 0.4 * quality >= threshold:
-                found.update(spans)
+            if sensitive >= 0.4 and (quality := value.score()) > 0 and 0.6 * sensitive + 0.4 * quality >= threshold:
+                found.update(value.spans(seen))
     return sorted(found)
 
 
+def inside(base: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> list[bool]:
+    """Which spans lie in a base span; spans of a kind do not overlap."""
+    out = [False] * len(spans)
+    for k in range(len(KINDS) - 1):
+        own = sorted((a, b) for a, b, kind in base if kind == k)
+        starts = [a for a, _ in own]
+        for i, (a, b) in enumerate(spans):
+            at = bisect_right(starts, a) - 1
+            out[i] |= at >= 0 and b <= own[at][1]
+    return out
+
+
 def written_spans(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
@@ -155,7 +197,8 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
     if not text:
         return [], []
     base = base_spans(text)
-    added = [(a, b, 3) for a, b in pair_spans(text) if not any(x <= a and b <= y for x, y, _ in base)]
+    found = pair_spans(text)
+    added = [(a, b, 3) for (a, b), held in zip(found, inside(base, found), strict=True) if not held]
     return base, added
 
 
