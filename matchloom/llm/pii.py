@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm._spark import small_batches
+from matchloom.llm._spark import cut, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -47,6 +47,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]++")
 EDGE = ".,;:!?\"'()[]{}<>"
 SAMPLE = 3000
 SAMPLE_WORDS = 4096
+SAMPLE_VARIABLES = 1 << 19
 TOGETHER = 1 << 19
 NEEDED = 0.8
 ROUNDS = 8
@@ -169,13 +170,30 @@ class Graph:
         return x
 
 
+def touched(spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words x kinds: whether a span of the kind meets each word. Spans of a kind do not overlap, so both their ends ascend."""
+    out = np.zeros((len(start), len(KINDS)), bool)
+    for k in range(len(KINDS)):
+        own = np.array(sorted((a, b) for a, b, kind in spans if kind == k), np.int64).reshape(-1, 2)
+        if len(own):
+            i = np.searchsorted(own[:, 1], start, "right")
+            out[:, k] = (i < len(own)) & (own[np.minimum(i, len(own) - 1), 0] < end)
+    return out
+
+
+def by_document(graph: Graph) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, its variables, their starts and ends)."""
+    doc, span = np.array(graph.doc, np.int64), np.array(graph.span, np.int64).reshape(-1, 2)
+    parts = np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []
+    return [(int(doc[i[0]]), i, span[i, 0], span[i, 1]) for i in parts]
+
+
 def weak_labels(graph: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
     """0 for O, 1 + kind for words inside or around a base span (the first in KINDS wins)."""
     y = np.zeros(len(graph.doc), np.int64)
-    for i, (d, (a, b)) in enumerate(zip(graph.doc, graph.span, strict=True)):
-        hit = [k for x, z, k in spans[d] if x < b and a < z]
-        if hit:
-            y[i] = 1 + min(hit)
+    for d, own, start, end in by_document(graph):
+        hit = touched(spans[d], start, end)
+        y[own] = np.where(hit.any(1), 1 + hit.argmax(1), 0)
     return y
 
 
@@ -263,7 +281,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["at", "feat", "chain", "skip", "y"])
 
     made = picked.mapInArrow(run, "at long, feat array<array<int>>, chain array<array<int>>, skip array<array<int>>, y array<int>")
-    rows = made.orderBy("at").limit(2 * sample).collect()  # bounded in rows and in words
+    made = cut(made)
+    words = made.agg(F.sum(F.size("y")).alias("n")).first()["n"] or 0
+    less = min(1.0, SAMPLE_VARIABLES / max(words, 1))
+    rows = made.where(F.pmod(F.xxhash64("at"), F.lit(1 << 20)) < F.lit(less * (1 << 20))).orderBy("at").limit(2 * sample).collect()  # about SAMPLE_VARIABLES words at most
     g, y = Graph(), []
     for r in sorted(rows, key=lambda r: (len(r["y"]), r["feat"])):
         at = len(y)
@@ -297,9 +318,12 @@ def find_spans(texts: list[str | None], model: dict | None, needed: float = NEED
     if graph.doc:
         p = infer(graph, model)
         label = p.argmax(1)
+        met = np.zeros(len(label), bool)
+        for d, own, start, end in by_document(graph):
+            met[own] = touched(base[d], start, end).any(1)
         for i in np.flatnonzero((label > 0) & (p.max(1) >= needed)):
             (a, b), d = graph.span[i], graph.doc[i]
-            if not any(x < b and a < y for x, y, _ in base[d]):
+            if not met[i]:
                 if added[d] and added[d][-1][2] == label[i] - 1 and (graph.doc[i - 1], graph.span[i - 1][1]) == (d, added[d][-1][1]) and not texts[d][added[d][-1][1] : a].strip(" ().-"):
                     a = added[d].pop()[0]
                 added[d].append((a, b, int(label[i]) - 1))
