@@ -11,6 +11,12 @@ candidate 1 if it may follow the best piece before it and 0 otherwise; two piece
 joined text in rank order gives them back, which is worked out from the merges at their common edge, latest first. Just
 one candidate passes at each position, so the backpointers give the merge order's own segmentation, the library's ids.
 
+A word above WHOLE characters is cut where no piece holds the two characters side by side, so a text without spaces falls into parts that
+advance together too. With merge ranks a part above LONG is cut into chunks that advance as if each began a word; each chunk's
+first characters are done again with the chunk before as context, and where the pieces found agree for as many characters as the
+longest piece has, they agree from there on. Only chunks that never agree are done one after the other. In a unigram model such a part
+is one row, in steps of one character.
+
 Decoding is the exact inverse for every text: a space character of the model that stands in the text itself is written
 in byte pieces (the library would turn it into a space).
 
@@ -37,6 +43,9 @@ SPACE = 0x2581
 LITERAL = 0x110000  # stands for a SPACE that the text itself has; beyond Unicode
 SLICE = 1 << 20
 CELLS = 1 << 20
+WHOLE = 64
+LONG = 4096
+CHUNK = 1024
 U64 = np.uint64
 
 
@@ -87,6 +96,7 @@ class Model:
         self.sums = np.array([self.string_sum(p) for p in own], U64)
         self.chars = np.array([len(p) for p in own], np.int64)
         self.ups = ups(2 * self.longest + 1)
+        self.beside = np.unique(np.concatenate([np.zeros(0, np.int64), *[c[:-1] << 32 | c[1:] for c in (np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.int64) for p in own)]]))
         self.bytes = np.array([byte_ids[b] for b in range(256)], np.int32)
         raw = [b""] * len(pieces)
         for i in normal:
@@ -125,6 +135,12 @@ class Model:
             left, right = np.where(back, self.right[left], left), np.where(back, right, self.left[right])
         return ok
 
+    def apart(self, cps: np.ndarray) -> np.ndarray:
+        """Where no piece holds a character and the next one side by side."""
+        pair = cps[:-1].astype(np.int64) << 32 | cps[1:]
+        i = np.minimum(np.searchsorted(self.beside, pair), max(len(self.beside) - 1, 0))
+        return self.beside[i] != pair if len(self.beside) else np.ones(len(pair), bool)
+
     @staticmethod
     def code_values(cps: np.ndarray) -> np.ndarray:
         return mix(cps.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1)) | U64(1)
@@ -161,20 +177,16 @@ def load(path: str = MODEL) -> Model:
     return Model(pieces, [m.get_score(i) for i in range(n)], byte_ids, special)
 
 
-def viterbi(words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """words: n x L code points. Returns n x L piece ids, right-aligned, and counts; an unknown code point c is -c - 1."""
+def advance(words: np.ndarray, model: Model, best: np.ndarray, back: np.ndarray, found: np.ndarray, first: int = 0) -> None:
+    """Best score, backpointer and last piece of the prefixes longer than `first` of rows of code points."""
     n, size = words.shape
     most = min(model.longest, size)
     up, down = ups(size), downs(size + 1)
     prefix = np.zeros((n, size + 1), U64)
     np.cumsum(Model.code_values(words) * up, axis=1, out=prefix[:, 1:])
-    best = np.full((n, size + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((n, size + 1), np.int16)
-    found = np.full((n, size + 1), -1, np.int64)
     rows = np.arange(n)
     block = max(1, CELLS // (n * most))
-    for e0 in range(1, size + 1, block):
+    for e0 in range(first + 1, size + 1, block):
         ends = np.arange(e0, min(e0 + block, size + 1))
         lens = np.arange(1, most + 1)
         s = ends[:, None] - lens[None]
@@ -198,6 +210,53 @@ def viterbi(words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
             best[:, e] = total[rows, k]
             back[:, e] = k + 1
             found[:, e] = own[rows, k]
+
+
+def tables(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    best = np.full((n, size + 1), -np.inf)
+    best[:, 0] = 0
+    return best, np.zeros((n, size + 1), np.int16), np.full((n, size + 1), -1, np.int64)
+
+
+def in_chunks(word: np.ndarray, model: Model, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of one long word under merge ranks, from chunks."""
+    far = model.longest
+    chunk = max(chunk, 4 * far)
+    n = -(-len(word) // chunk)
+    parts = np.zeros((n, chunk), word.dtype)
+    parts.ravel()[: len(word)] = word
+    local = tables(n, chunk)
+    step = max(1, CELLS // (chunk * 8))
+    for i in range(0, n, step):
+        advance(parts[i : i + step], model, *(t[i : i + step] for t in local))
+    over = 3 * far
+
+    def redo(found: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same pieces after a context of `far` characters whose last pieces are `found`."""
+        again = tables(len(own), far + own.shape[1])
+        again[2][:, : far + 1] = found
+        advance(np.concatenate([before, own], axis=1), model, *again, first=far)
+        return tuple(t[:, far:] for t in again)
+
+    start = redo(local[2][:-1, chunk - far :], parts[:-1, chunk - far :], parts[1:, :over])
+    agree = (start[2][:, over - far + 1 :] == local[2][1:, over - far + 1 : over + 1]).all(1)
+    out = [[t[0] for t in local]]
+    for i in range(1, n):
+        if agree[i - 1] and np.array_equal(out[-1][2][chunk - far :], local[2][i - 1, chunk - far :]):
+            out.append([np.concatenate([s[i - 1], t[i, over + 1 :]]) for s, t in zip(start, local, strict=True)])
+        else:
+            out.append([t[0] for t in redo(out[-1][2][None, chunk - far :], parts[i - 1 : i, chunk - far :], parts[i : i + 1])])
+    return tuple(np.concatenate([out[0][k][:1], *[o[k][1:] for o in out]])[None, : len(word) + 1] for k in range(3))
+
+
+def viterbi(words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """words: n x L code points. Returns n x L piece ids, right-aligned, and counts; an unknown code point c is -c - 1."""
+    n, size = words.shape
+    if n == 1 and size > LONG and model.bpe:
+        best, back, found = in_chunks(words[0], model)
+    else:
+        best, back, found = tables(n, size)
+        advance(words, model, best, back, found)
     out = np.zeros((n, size), np.int64)
     counts = np.zeros(n, np.int64)
     pos = np.full(n, size)
@@ -217,13 +276,27 @@ def viterbi(words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_words(cps: np.ndarray, start: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all words one after the other, and each word's count."""
+    if not (size > WHOLE).any():
+        return encode_parts(cps, start, size, model)
+    firsts = [np.concatenate([[0], np.flatnonzero(model.apart(cps[a : a + n])) + 1]) if n > WHOLE else np.zeros(1, np.int64) for a, n in zip(start, size, strict=True)]
+    many = np.array([len(f) for f in firsts])
+    at = np.concatenate(firsts) + np.repeat(start, many)
+    ends = np.append(at[1:], 0)
+    last = np.cumsum(many) - 1
+    ends[last] = start + size
+    ids, counts = encode_parts(cps, at, ends - at, model)
+    return ids, np.add.reduceat(counts, last - many + 1)
+
+
+def encode_parts(cps: np.ndarray, start: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """encode_words for parts that no piece crosses."""
     counts = np.zeros(len(start), np.int64)
     parts, owners = [], []
     order = np.argsort(size, kind="stable")
     cuts = np.flatnonzero(np.diff(size[order])) + 1
     for group in np.split(order, cuts) if len(order) else []:
         long = int(size[group[0]])
-        step = max(1, CELLS // (long * min(model.longest, long)))
+        step = max(1, CELLS // (long * min(model.longest, long))) if long <= LONG or not model.bpe else 1
         for lo in range(0, len(group), step):
             own = group[lo : lo + step]
             out, n = viterbi(cps[start[own][:, None] + np.arange(long)], model)
