@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces
 from matchloom.llm._spark import drop, numbered, written
 
-#: Share of a source's distinct texts, and two more, above which a line is boilerplate; repeated lines of the test tables stand in 9 % to 30 % of each source.
+#: Share of a source's distinct texts above which, beyond doubt, a line is boilerplate; repeated lines of the test tables stand in 9 % to 30 % of each source.
 LINE_RATIO = 0.05
 
 
