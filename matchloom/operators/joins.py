@@ -48,9 +48,18 @@ def reduce_join(start, join_data: list, data_cols: list | None = None, join_type
 
 
 def merge_scores(scores: dict[str, DataFrame], keys: Sequence[str] = ("reference_id", "paired_id"), score: str = "score") -> DataFrame:
-    """Full joins of score tables on their ids; each score column gets its key: score_<key>."""
-    named = [df.select(*keys, F.col(score).alias(f"{score}_{k}")) for k, df in scores.items()]
-    return reduce(lambda a, b: a.join(b, list(keys), "full"), named)
+    """Full join of any number of score tables on their ids in one shuffle; each score column gets its key: score_<key>.
+
+    The tables are stacked with their numbers and aggregated by id into one list for each table; the lists are then laid out beside each
+    other, so repeated ids pair up as in a join. Rows with a null id match nothing and stay as they are. An id's lists are one row.
+    """
+    cols = {k: f"{score}_{k}" for k in scores}
+    stacked = union_by_name(*[df.select(*keys, F.struct(F.col(score).alias("s")).alias(cols[k])) for k, df in scores.items()])
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    out = stacked.where(known).groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in cols.values()])
+    for c in cols.values():
+        out = out.withColumn(c, F.explode_outer(c))
+    return out.unionByName(stacked.where(~known)).select(*keys, *[F.col(f"{c}.s").alias(c) for c in cols.values()])
 
 
 def merge_score_results(a: DataFrame, b: DataFrame, how: str = "inner", score_cols: Sequence[str] = ("score",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import pattern_renamed
+from matchloom.operators.scan import scanned
 
 
 def null_profile(data: DataFrame) -> DataFrame:
@@ -110,11 +111,11 @@ def quantile_bins(data: DataFrame, col: str, n: int = 10, name: str = "bin") ->
 
 
 def ecdf(data: DataFrame, value: Column) -> DataFrame:
-    """(value, n, density): counts of each value and the share of rows up to it. The window runs over distinct values."""
+    """(value, n, density): counts of each value and the share of rows up to it, by a scan over ranges of the distinct values."""
     counts = data.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    upto = scanned(counts, [F.col("value")], place="_place", value="n", running="_upto")
     total = counts.agg(F.sum("n").alias("_all"))
-    running = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("_upto", running).crossJoin(total).select("value", "n", (F.col("_upto") / F.col("_all")).alias("density"))  # `total` is one row
+    return upto.crossJoin(total).select("value", "n", (F.col("_upto") / F.col("_all")).alias("density"))  # `total` is one row
 
 
 def tags(conditions: dict[str, Column], sep: str = "_") -> Column:

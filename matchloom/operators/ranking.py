@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.scan import null_safe, scanned
 from matchloom.operators.scoring import PLACES
 
 
@@ -31,10 +32,24 @@ def score_rank(score: Column, by: list[str]) -> Column:
     return F.when(s != 0, F.dense_rank().over(w))
 
 
-def rank_scores(data: DataFrame, score_col: str, ref_col: str, rank_by: str | None = None, filter_ranks: bool = False, rank_cutoff: int = 10) -> DataFrame:
-    """Adds <score>_rank per reference, or per reference and partner data set."""
-    out = data.withColumn(f"{score_col}_rank", score_rank(F.col(score_col), [ref_col, *([rank_by] if rank_by else [])]))
-    return out.where(F.col(f"{score_col}_rank") <= rank_cutoff) if filter_ranks else out
+def spread_ranks(data: DataFrame, score_col: str, by: list[str], name: str) -> DataFrame:
+    """The same ranks without a window over a group: the distinct scores are numbered by a range-sorted scan and joined back, so
+    a group with any share of the rows is spread over many tasks."""
+    s = F.round(F.col(score_col), PLACES)
+    own = data.withColumn("_s", s)
+    groups = {f"_g{i}": c for i, c in enumerate(by)}
+    values = own.where("_s IS NOT NULL").select(*[F.col(c).alias(g) for g, c in groups.items()], F.col("_s").alias("_v")).distinct()
+    places = scanned(values, [F.col("_v").desc()], list(groups), name)
+    same = null_safe(own, places, {c: g for g, c in groups.items()}) & (own["_s"] == places["_v"])
+    return own.join(places, same, "left").select(*data.columns, F.when(F.col("_s") != 0, F.col(name)).cast("int").alias(name))
+
+
+def rank_scores(data: DataFrame, score_col: str, ref_col: str, rank_by: str | None = None, filter_ranks: bool = False, rank_cutoff: int = 10, spread: bool = False) -> DataFrame:
+    """Adds <score>_rank per reference, or per reference and partner data set; `spread` where one reference may have very many rows."""
+    by = [ref_col, *([rank_by] if rank_by else [])]
+    name = f"{score_col}_rank"
+    out = spread_ranks(data, score_col, by, name) if spread else data.withColumn(name, score_rank(F.col(score_col), by))
+    return out.where(F.col(name) <= rank_cutoff) if filter_ranks else out
 
 
 def calc_ranks_all_scores(data: DataFrame, score_cols: list[str], ref_col: str, rank_by: str | None = None, filter_ranks: bool = True, rank_cutoff: int = 10) -> DataFrame:
@@ -51,21 +66,10 @@ def row_numbers(data: DataFrame, by: list[str], order: list, name: str = "row_nu
     return data.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def numbered_rows(data: DataFrame, key: str, name: str = "row_number", buckets: int = 256) -> DataFrame:
-    """Rows with their place 1..n in the order of a numeric key, nulls first. Approximate quantiles cut the keys into
-    buckets, which are numbered apart and moved by the counts of the buckets before, so no task sorts all rows. Rows of one
-    key are numbered in any order."""
-    cuts = sorted({c for c in data.select(F.col(key).cast("double").alias("_x")).approxQuantile("_x", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))})
-    bucket = F.when(F.col(key).isNull(), 0).otherwise(1 + (F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(key).cast("double") > c)) if cuts else F.lit(0)))
-    own = data.withColumn("_bucket", bucket)
-    counts = {r["_bucket"]: r["c"] for r in own.groupBy("_bucket").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most `buckets` + 1 rows
-    starts, at = [], 0
-    for i in sorted(counts):
-        starts += [F.lit(i), F.lit(at).cast("long")]
-        at += counts[i]
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    before = F.create_map(*starts)[F.col("_bucket")] if starts else F.lit(0)
-    return own.withColumn(name, place + before).drop("_bucket")
+def numbered_rows(data: DataFrame, key: str, name: str = "row_number") -> DataFrame:
+    """Rows with their place 1..n in the order of a key, nulls first, then of a hash of the row: a task that runs again gives the same
+    places (only equal rows may change theirs), and rows of one key are spread over tasks like any others."""
+    return scanned(data, [F.col(key).asc_nulls_first(), F.xxhash64(*data.columns)], place=name)
 
 
 def top_with_ties(data: DataFrame, by: list[str], score: str, n: int = 10) -> DataFrame:

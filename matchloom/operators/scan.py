@@ -37,7 +37,7 @@ def scanned(data: DataFrame, order: Sequence[Column], by: Sequence[str] = (), pl
         parts = parts.withColumns(kinds)
     else:
         parts = summed_up(parts, value)
-    names = {f"_g{i}": c for i, c in enumerate(by)}
+    names = {f"_scan{i}": c for i, c in enumerate(by)}
     parts = parts.select(*[F.col(c).alias(g) for g, c in names.items()], F.col("_part").alias("_p"), *[c for c in parts.columns if c not in by and c != "_part"])
     if value:
         rows = rows.withColumn("_local", F.sum(value).over(Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import predicates, stats, text
-from matchloom.operators import combine, corpus, distribution, evaluation, joins, profile, ranking, scoring, tfidf, vectors
+from matchloom.operators import balls, combine, corpus, distribution, evaluation, grid, joins, profile, ranking, scoring, tfidf, topn, vectors
 from matchloom.plans import sql
 from matchloom.sources import files, ontology
 
@@ -132,6 +132,23 @@ def text_scores_by_group(s, d):
     return scored(item_scores(s, d, select_scores=scoring.TopNByGroup(3, groups)))
 
 
+def item_weights(s, d):
+    """(references, candidates) of TF-IDF weights."""
+    w = tfidf.calc_tfidf(both(s, d))[1].select("doc_id", "term", "weight")
+    return w.where("doc_id LIKE 'b%'"), w.where("doc_id LIKE 'd%'")
+
+
+@query("pruned_top5", ORACLES["text_scores_top5"])
+def pruned_top5(s, d):
+    return scored(topn.pruned_top(*item_weights(s, d), 5).scores)
+
+
+@query("pruned_top3_by_lang", ORACLES["text_scores_by_group"])
+def pruned_top3_by_lang(s, d):
+    groups = table(s, d, "documents").where("lang IS NOT NULL").select(F.concat(F.lit("d"), "doc_id").alias("paired_id"), F.col("lang").alias("grp"))
+    return scored(topn.pruned_top(*item_weights(s, d), 3, groups).scores)
+
+
 @query("select_then_filter", f"WITH {sql.SCORES} SELECT reference_id, paired_id, round(score, 6) AS score FROM (SELECT *, {TOP.format('reference_id')} AS k FROM scores) WHERE k <= 3 AND score > 0 AND reference_id <> paired_id")
 def select_then_filter(s, d):
     return scored(item_scores(s, d, everything=True, select_scores=scoring.TopN(3)))
@@ -196,6 +213,12 @@ def embed_topk(s, d):
     return scored(scoring.VariableSimilarityCalculator(stated(v), predicates.always, scoring.TopN(10)).score_variables(v, dense=True))
 
 
+@query("ball_topk", ORACLES["embed_topk"])
+def ball_topk(s, d):
+    v = unit_vectors(s, d)
+    return scored(balls.ball_top(stated(v), v, 10).scores)
+
+
 @query("embed_cohesion", f"WITH {sql.UNIT} SELECT label AS grp, count(DISTINCT a) AS n, round(avg(x), 6) AS cohesion FROM (SELECT p.label, p.vec_id AS a, CASE WHEN p.vec_id > q.vec_id THEN list_dot_product(p.v, q.v) END AS x FROM u p JOIN u q ON p.label = q.label) GROUP BY label")
 def embed_cohesion(s, d):
     return vectors.dense_cohesion(unit_vectors(s, d), "label").select("grp", "n", *six("cohesion"))
@@ -276,7 +299,7 @@ def truth(s, d):
 
 
 def ranked(s, d, by_group):
-    return ranking.rank_scores(truth(s, d), "score", "ref_id", "pair_group" if by_group else None)
+    return ranking.rank_scores(truth(s, d), "score", "ref_id", "pair_group" if by_group else None, spread=not by_group)
 
 
 @query("pairable_pairs", f"WITH {sql.PAIRABLE} SELECT concept::BIGINT AS concept, ref_id, pair_id FROM pairable")
@@ -438,6 +461,18 @@ def full_join_scores(s, d):
     return joins.merge_scores({"desc": a, "units": b})
 
 
+FOUR = f"{KEYED}, c AS (SELECT l_suppkey AS reference_id, l_linenumber AS paired_id, round(min(l_quantity), 6) AS score FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL), e AS (SELECT l_suppkey AS reference_id, l_linenumber AS paired_id, l_tax AS score FROM lineitem WHERE l_quantity = 50)"
+
+
+@query("full_join_four", f"WITH {FOUR} SELECT reference_id, paired_id, a.score AS score_desc, b.score AS score_units, c.score AS score_coding, e.score AS score_repeated FROM a FULL JOIN b USING (reference_id, paired_id) FULL JOIN c USING (reference_id, paired_id) FULL JOIN e USING (reference_id, paired_id)")
+def full_join_four(s, d):
+    a, b = key_scores(s, d)
+    li = table(s, d, "lineitem").select(F.col("l_suppkey").alias("reference_id"), F.col("l_linenumber").alias("paired_id"), "l_quantity", "l_tax", "l_linestatus")
+    c = li.where("l_linestatus = 'O'").groupBy("reference_id", "paired_id").agg(F.round(F.min("l_quantity"), 6).alias("score"))
+    e = li.where("l_quantity = 50").select("reference_id", "paired_id", F.col("l_tax").alias("score"))
+    return joins.merge_scores({"desc": a, "units": b, "coding": c, "repeated": e})
+
+
 @query("left_join_scores", f"WITH {KEYED} SELECT a.reference_id AS ref, a.paired_id AS pair, a.score AS discount, b.score AS tax FROM a LEFT JOIN b USING (reference_id, paired_id)")
 def left_join_scores(s, d):
     a, b = key_scores(s, d)
@@ -483,6 +518,13 @@ def cross_theta(s, d):
     return distribution.calc_pairings_data(b, a, F.col("region_1") != F.col("region_2")).select("name_1", "name_2")
 
 
+@query("grid_pairs", "SELECT a.s_suppkey AS id_1, b.s_suppkey AS id_2 FROM supplier a, supplier b WHERE a.s_acctbal < b.s_acctbal AND a.s_nationkey <> b.s_nationkey")
+def grid_pairs(s, d):
+    a = table(s, d, "supplier").select(F.col("s_suppkey").alias("id_1"), F.col("s_acctbal").alias("balance_1"), F.col("s_nationkey").alias("nation_1"))
+    b = distribution.as_partner(a)
+    return grid.grid_join(a, b, F.col("nation_1") != F.col("nation_2"), ("balance_1", "balance_2"), area=1 << 14).select("id_1", "id_2")
+
+
 @query("symmetry", f"WITH {sql.UNIT}, s AS (SELECT r.vec_id AS reference_id, p.vec_id AS paired_id, round(list_dot_product(r.v, p.v), 6) AS score FROM u r, u p WHERE r.vec_id % 50 = 0) SELECT s.*, t.score AS score_reverse FROM s LEFT JOIN s t ON s.reference_id = t.paired_id AND s.paired_id = t.reference_id")
 def symmetry(s, d):
     v = unit_vectors(s, d)

@@ -240,10 +240,10 @@ def test_quantiles_are_exact(spark, exact_rows):
     assert profile.quantiles(df.limit(0), "x", shares, ["g"]).collect() == []
 
 
-def test_rows_are_numbered_over_buckets(spark):
+def test_rows_are_numbered_over_ranges(spark):
     rng = random.Random(9)
     keys = [rng.randint(0, 50) for _ in range(400)] + [None] * 3
-    out = ranking.numbered_rows(spark.createDataFrame([(k,) for k in keys], "k int").repartition(5), "k", "i", buckets=8).collect()
+    out = ranking.numbered_rows(spark.createDataFrame([(k,) for k in keys], "k int").repartition(5), "k", "i").collect()
     assert sorted(r["i"] for r in out) == list(range(1, 404))
     assert [r["k"] for r in sorted(out, key=lambda r: r["i"])] == sorted(keys, key=lambda k: (k is not None, k or 0))
     a, b = spark.createDataFrame([(3, "c"), (1, "a")], "k int, x string"), spark.createDataFrame([(9, "z")], "j int, y string")
