@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.stats import f1, precision, recall
@@ -74,14 +74,36 @@ def with_rates(data: DataFrame, cutoffs: Sequence[int] = CUTOFFS, prefixes: Sequ
     return data.withColumns(new)
 
 
-def class_totals(report: DataFrame, ref: str, class_col: str, group: str | None, cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
-    """One row "All <class> (N = k)": sums over references, and over classes for n_*."""
+def total_columns(ref: str, group: str | None, cutoffs: Sequence[int]) -> tuple[list[str], list[str]]:
+    """Columns summed over references, and those that count once a class."""
     counts = [f"top{k}{t}_pred" for k in cutoffs for t in ("", "_true")] + ["actual_pairings"]
-    once = [f"n_{c}" for c in counts] + [f"n_{ref}"] + ([f"n_{group}"] if group else [])
-    own = report.agg(*[F.sum(c).alias(c) for c in counts])
-    classes = report.select(class_col, *once).distinct().agg(F.count(F.lit(1)).alias("_k"), *[F.sum(c).alias(c) for c in once])
-    label = F.concat(F.lit(f"All {class_col} (N = "), F.col("_k").cast("string"), F.lit(")"))
-    return own.crossJoin(classes).withColumn(class_col, label).drop("_k")  # one row each
+    return counts, [f"n_{c}" for c in counts] + [f"n_{ref}"] + ([f"n_{group}"] if group else [])
+
+
+def total_label(class_col: str, classes: Column) -> Column:
+    return F.concat(F.lit(f"All {class_col} (N = "), classes.cast("string"), F.lit(")"))
+
+
+def class_totals(report: DataFrame, ref: str, class_col: str, group: str | None, cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
+    """One row "All <class> (N = k)": sums over references, and over classes for n_*; classes are summed up first."""
+    counts, once = total_columns(ref, group, cutoffs)
+    classes = report.groupBy(class_col, *once).agg(*[F.sum(c).alias(c) for c in counts])
+    return classes.agg(*[F.sum(c).alias(c) for c in [*counts, *once]], F.count(F.lit(1)).alias("_k")).withColumn(class_col, total_label(class_col, F.col("_k"))).drop("_k")
+
+
+def with_totals(report: DataFrame, ref: str, class_col: str, group: str | None, cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
+    """The report with the row of `class_totals`, in one pass: grouping sets of all columns and of none, over rows of which the first
+    of each class is marked, so n_* are summed once a class."""
+    counts, once = total_columns(ref, group, cutoffs)
+    own = report.columns
+    first = F.row_number().over(Window.partitionBy(class_col, *once).orderBy(*[c for c in (ref, group) if c])) == 1
+    marked = report.withColumn("_first", first)
+    sums = [F.sum(c).alias(f"_sum_{c}") for c in counts] + [F.sum(F.when(F.col("_first"), F.col(c))).alias(f"_sum_{c}") for c in once]
+    both = marked.withColumn("_row", F.monotonically_increasing_id()).groupingSets([[*own, "_row"], []], *own, "_row").agg(F.grouping("_row").alias("_total"), *sums, F.count_if("_first").alias("_k"))
+    total = F.col("_total") == 1
+    new = {c: F.when(total, F.col(f"_sum_{c}")).otherwise(F.col(c)) for c in [*counts, *once]}
+    new[class_col] = F.when(total, total_label(class_col, F.col("_k"))).otherwise(F.col(class_col).cast("string"))
+    return both.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in own])
 
 
 def calc_accuracy(data: DataFrame, ref: str, class_col: str, rank: str, true_pairing: str = "true_pairing", group: str | None = None, paired_group: str | None = None, multiple_correction: bool = False, cutoffs: Sequence[int] = CUTOFFS, per_ref: bool = True) -> DataFrame:
@@ -90,9 +112,9 @@ def calc_accuracy(data: DataFrame, ref: str, class_col: str, rank: str, true_pai
     predicted = summarize_predictions(data, ref_cols, true_pairing, rank, cutoffs, multiple_correction, paired_group, class_col)
     actual = summarize_actual_pairings(data, ref, class_col, group, multiple_correction)
     report = predicted.join(actual, [class_col, *ref_cols]).drop(f"{rank}_pairs", f"n_{rank}_pairs")
-    total = class_totals(report, ref, class_col, group, cutoffs)
     if per_ref:
-        return with_rates(report.unionByName(total, allowMissingColumns=True), cutoffs)
+        return with_rates(with_totals(report, ref, class_col, group, cutoffs), cutoffs)
+    total = class_totals(report, ref, class_col, group, cutoffs)
     counts = [c for c in report.columns if c.startswith("n_")]
     return with_rates(report.select(class_col, *counts).distinct().unionByName(total.select(class_col, *counts)), cutoffs, ("n_",))
 

@@ -31,7 +31,16 @@ def csv_round_trip(s, d):
 def csv_line_breaks(s, d):
     path = scratch_path(s, "csv")
     files.write_csv(table(s, d, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit("\n")).alias("text")), path)
-    return files.read_csv(s, path, "item_id long, text string")
+    return files.read_csv(s, path, "item_id long, text string", multi_line=True)
+
+
+@query("scores_appended", "SELECT s_suppkey::VARCHAR AS reference_id, 'n' || s_nationkey AS paired_id, s_acctbal AS score FROM supplier")
+def scores_appended(s, d):
+    path = scratch_path(s, "scores")
+    rows = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("reference_id"), F.concat(F.lit("n"), "s_nationkey").alias("paired_id"), F.col("s_acctbal").alias("score"))
+    for run, part in (("even", "s_suppkey % 2 = 0"), ("odd", "s_suppkey % 2 = 1"), ("even", "s_suppkey % 2 = 0")):
+        files.append_scores(rows.where(part.replace("s_suppkey", "reference_id::BIGINT")), path, run)
+    return files.read_appended(s, path)
 
 
 @query("csv_ragged", "SELECT p_partkey, p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS size FROM part")

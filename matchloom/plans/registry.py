@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import predicates, stats, text
-from matchloom.operators import balls, combine, corpus, distribution, evaluation, grid, joins, profile, ranking, scoring, tfidf, topn, vectors
+from matchloom.operators import balls, combine, corpus, distinct, distribution, evaluation, grid, joins, profile, ranking, scoring, tfidf, topn, vectors
 from matchloom.plans import sql
 from matchloom.sources import files, ontology
 
@@ -709,6 +709,16 @@ def n_unique(s, d):
     return x.groupBy("lang").agg(stats.n_unique(F.col("quality")).alias("n"), stats.n_pairings(F.col("quality"), F.col("toxic")).alias("pairings"))
 
 
+@query(
+    "distinct_levels",
+    "SELECT p_brand AS brand, p_size AS size, count(DISTINCT p_type) AS n FROM part GROUP BY ALL UNION ALL SELECT p_brand, NULL, count(DISTINCT p_type) FROM part GROUP BY p_brand UNION ALL SELECT NULL, NULL, count(DISTINCT p_type) FROM part",
+)
+def distinct_levels(s, d):
+    maps = distinct.bitmaps(table(s, d, "part"), "p_type", ["p_brand", "p_size"])
+    levels = [distinct.distinct_counts(maps, by) for by in (["p_brand", "p_size"], ["p_brand"], [])]
+    return joins.union_by_name(*levels).select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), "n")
+
+
 @query("row_extremes", f"WITH {sql.PART_SCORES} SELECT id, CASE WHEN s3 IS NOT NULL THEN round(greatest(s1, s2, s3), 6) END AS strict_max, round(least(s1, s2, coalesce(s3, 9)), 6) AS min_known FROM ps")
 def row_extremes(s, d):
     return part_scores(s, d).select("id", F.round(stats.strict_greatest(F.col("s1"), F.col("s2"), F.col("s3")), 6).alias("strict_max"), F.round(F.least("s1", "s2", "s3"), 6).alias("min_known"))

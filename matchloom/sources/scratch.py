@@ -31,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # else the files stay for good
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import balls, grid, joins, profile, ranking, scan, scoring, topn
+from matchloom.operators import balls, distinct, evaluation, grid, joins, profile, ranking, scan, scoring, topn
 
 
 def plan_of(df):
@@ -166,3 +166,27 @@ def test_columns_glued_by_repeated_keys_are_the_same_every_time(spark):
     b = spark.range(90).select((F.col("id") % 3).alias("q"), F.col("id").alias("b"))
     first = sorted(map(str, joins.bind_columns(a.repartition(3), b.repartition(7), "k", "q").collect()))
     assert first == sorted(map(str, joins.bind_columns(a.repartition(7), b.repartition(2), "k", "q").collect()))
+
+
+def test_bitmaps_add_up_over_levels(spark):
+    rng = random.Random(6)
+    data = spark.createDataFrame([(rng.choice("abc"), rng.choice([1, 2, None]), rng.choice([None, *range(40)]) if i % 3 else i) for i in range(900)], "g string, h int, v long")
+    maps = distinct.bitmaps(data, "v", ["g", "h"])
+    plain = lambda by: sorted(map(str, data.groupBy(*by).agg((F.count_distinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("n")).collect()))
+    for by in (["g", "h"], ["g"], ["h"], []):
+        assert sorted(map(str, distinct.distinct_counts(maps, by).collect())) == plain(by)
+
+
+def test_totals_come_with_the_report_in_one_pass(spark):
+    rng = random.Random(2)
+    rows = [(c, r, g, *(rng.randint(0, 9) for _ in range(7))) for c in (1, 2) for r, g in ((f"r{c}{i}", i % 3) for i in range(5))]
+    counts = ["top1_pred", "top1_true_pred", "top5_pred", "top5_true_pred", "top10_pred", "top10_true_pred", "actual_pairings"]
+    report = spark.createDataFrame(rows, "concept int, ref string, grp int, " + ", ".join(f"{c} long" for c in counts))
+    report = report.join(report.groupBy("concept").agg(*[F.sum(c).alias(f"n_{c}") for c in counts], F.count("*").alias("n_ref"), F.count_distinct("grp").alias("n_grp")), "concept")
+    report = report.unionAll(report.where("ref = 'r11'"))
+    both = evaluation.with_totals(report, "ref", "concept", "grp").collect()
+    total = evaluation.class_totals(report, "ref", "concept", "grp").first()
+    (last,) = [r for r in both if r["concept"].startswith("All ")]
+    assert last["concept"] == "All concept (N = 2)" == total["concept"] and all(last[c] == total[c] for c in total.asDict()) and last["ref"] is None
+    details = sorted(str(tuple(r)) for r in both if r is not last)
+    assert details == sorted(str(tuple(r)) for r in report.select(*[F.col(c).cast("string") if c == "concept" else c for c in report.columns]).collect())

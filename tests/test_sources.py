@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import predicates
 from matchloom.operators import corpus, joins, tfidf
 from matchloom.plans import pipelines
-from matchloom.sources import files, lexicon, ontology, scratch, vectors
+from matchloom.sources import csvlines, files, lexicon, ontology, scratch, vectors
 from matchloom.streaming import scores as streaming
 
 
@@ -167,3 +168,54 @@ def test_a_cluster_session_must_name_its_shared_folder(spark):
 
     with pytest.raises(ValueError, match="share"):
         scratch.shared_folder(Fake)
+
+
+def test_csv_with_line_breaks_is_read_by_splits(spark, tmp_path):
+    import csv
+
+    rng = random.Random(5)
+    rows = [["id", "about", "more"]]
+    for i in range(3000):
+        text = "".join(rng.choice(["word ", "\n", '"', ",", "é", "\r\n" if i % 50 == 0 else "x"]) for _ in range(rng.randint(0, 12)))
+        rows.append([str(i), text.strip() or "-", "long\n" * 400 if i in (700, 701, 2000) else "b"])
+    for name in ("a.csv", "b.csv"):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator="\n").writerows(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for kw in ({"schema": "id string, about string, more string"}, {}):
+            out = files.read_csv(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv")], multi_line=True, **kw)
+            got = sorted((r["id"], r["about"], r["more"]) for r in out.collect())
+            assert got == sorted(tuple(r) for r in 2 * rows[1:])
+        raw = csvlines.logical_lines(spark, str(tmp_path / "a.csv"))
+        assert raw.rdd.getNumPartitions() > 3 and raw.where("first").count() == 1 and raw.count() == 3001
+        assert files.read_csv(spark, str(tmp_path / "a.csv"), "id string, about string, more string").count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_empty_and_headless_csv_by_splits(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("id,about\n")
+    assert files.read_csv(spark, str(tmp_path / "e.csv"), "id string, about string", multi_line=True).collect() == []
+    (tmp_path / "h.csv").write_text('1,"a\nb"\n2\n')
+    got = files.read_csv(spark, str(tmp_path / "h.csv"), "id int, about string", header=False, multi_line=True).collect()
+    assert sorted(map(tuple, got)) == [(1, "a\nb"), (2, None)]
+
+
+def test_an_append_that_broke_off_and_ran_again_leaves_each_row_once(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    make = lambda rows: spark.createDataFrame(rows, "reference_id string, paired_id string, score double")
+    assert files.read_appended(spark, path).count() == 0
+    files.append_scores(make([("a", "x,1", 0.5)]), path, "first")
+    broken = make([("b", "y", 0.25), ("b", "z", 0.5)]).repartition(2).withColumn("score", F.when(F.col("paired_id") == "z", F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="stop"):
+        files.append_scores(broken, path, "second")
+    assert [tuple(r) for r in files.read_appended(spark, path).collect()] == [("a", "x,1", 0.5)]
+    for _ in range(2):
+        files.append_scores(make([("b", "y", 0.25), ("b", "z", 0.5)]), path, "second")
+    assert sorted(map(tuple, files.read_appended(spark, path).collect())) == [("a", "x,1", 0.5), ("b", "y", 0.25), ("b", "z", 0.5)]
+    with pytest.raises(ValueError, match="name"):
+        files.append_scores(make([]), path, "../x")
