@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontam, langid, linededup, ngramjoin, pieces
-from matchloom.llm._spark import drop, numbered, written
+from matchloom.llm._spark import cut, drop, numbered, written
 
 #: Share of a source's distinct texts above which, beyond doubt, a line is boilerplate; repeated lines of the test tables stand in 9 % to 30 % of each source.
 LINE_RATIO = 0.05
@@ -51,12 +51,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = own.groupBy(F.col(doc_id).alias("id"), "h").agg(F.count(F.lit(1)).alias("copies")).join(linked, "h")
     first = ids.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "h", "copies")).alias("x")).select("x.*")
     alone = ids.where("n_shingles = 0").select("id", "h", F.lit(1).cast("long").alias("copies"))
-    keep = first.unionByName(alone)
+    keep = cut(first.unionByName(alone))
 
     def chosen(part: DataFrame) -> DataFrame:
         return own.join(part, own[doc_id].eqNullSafe(part["id"]) & (own["h"] == part["h"]), "left_semi")
 
-    out = chosen(keep.where("copies = 1")).unionByName(chosen(keep.where("copies > 1")).dropDuplicates([doc_id, "h"]))
+    out, repeated = chosen(keep.where("copies = 1")), keep.where("copies > 1")
+    if not repeated.isEmpty():  # rows with an id and a text that stand there several times
+        out = out.unionByName(chosen(repeated).dropDuplicates([doc_id, "h"]))
     return renamed(out, docs)
 
 
