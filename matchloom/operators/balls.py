@@ -14,10 +14,13 @@ gives an empty result; repeated rows are each scored.
 
 from __future__ import annotations
 
+import sys
+
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from matchloom.operators.scan import scanned
 from matchloom.operators.scoring import PLACES
 from matchloom.sources.scratch import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the library
+
 CENTRES = 256
 ROWS = 512
 BATCH = 256

@@ -98,6 +98,7 @@ def word_ends(df):
 def word2vec_round_trip(s, d):
     path = scratch_path(s, "word2vec")
     vectors.save_word2vec(embedded_words(s, d), path)
+    vectors.index_word2vec(s, path)
     return word_ends(vectors.load_word2vec(s, path))
 
 

@@ -11,14 +11,19 @@ inside an unquoted field does, as it does for any reader of such files. A carria
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the library
+
 PIECE = ["file string", "split long", "i long", "line string", "odd boolean", "opens boolean", "at0 long", "at1 long"]
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-
 BLOCK = 1 << 20
+FILE_BYTES = 1 << 26
+EVERY = 1 << 14
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -24,35 +26,95 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
+class Words:
+    """A word2vec stream, read in blocks of `block` bytes: a header line "count size", then for each word its text, a space, and floats."""
+
+    def __init__(self, stream, at: int = 0, block: int = BLOCK) -> None:
+        self.stream, self.block, self.held, self.at, self.base = stream, block, bytearray(), 0, at
+
+    def more(self) -> bool:
+        got = self.stream.read(self.block)
+        self.base += self.at
+        self.held, self.at = self.held[self.at :] + got, 0
+        return bool(got)
+
+    def until(self, end: bytes, what: str) -> bytes:
+        while (i := self.held.find(end, self.at)) < 0:
+            if not self.more():
+                raise EOFError(f"the file ends in {what}")
+        out, self.at = bytes(self.held[self.at : i]), i + 1
+        return out
+
+    def header(self) -> tuple[int, int]:
+        count, size = map(int, self.until(b"\n", "its header").split())
+        return count, size
+
+    def word(self, size: int, vector: bool = True) -> tuple[str, list[float]] | None:
+        """The next word; without `vector` it is only passed by."""
+        word = self.until(b" ", "a word")
+        while len(self.held) - self.at < 4 * size:
+            if not self.more():
+                raise EOFError("the file ends in a vector")
+        self.at += 4 * size
+        if vector:
+            return word.replace(b"\n", b"").decode("utf-8", "replace"), list(struct.unpack_from(f"<{size}f", self.held, self.at - 4 * size))
+        return None
+
+    def place(self) -> int:
+        return self.base + self.at
+
+
 def read_word2vec(path: str, limit: int | None = None, block: int = BLOCK) -> Iterator[tuple[str, list[float]]]:
-    """Words and vectors of a file: a header line "count size", then for each word its text, a space, and floats. The file is
-    read in blocks of `block` bytes."""
+    """Words and vectors of a whole file."""
+    system, at = file_system(path)
+    with system.open_input_stream(at) as f:
+        words = Words(f, block=block)
+        count, size = words.header()
+        for _ in range(min(count, count if limit is None else limit)):
+            yield words.word(size)
+
+
+def index_path(at: str) -> str:
+    """The index stands beside its file, under a hidden name."""
+    folder, _, name = at.rpartition("/")
+    return f"{folder}/.{name}.index"
+
+
+def write_index(path: str, every: int) -> int:
+    """Offsets of every `every`-th word of a file, for reads by ranges; vectors are passed by, not decoded. Returns the words."""
     system, at = file_system(path)
     with system.open_input_stream(at) as f:
-        held, at = bytearray(), 0
-
-        def more() -> bool:
-            nonlocal held, at
-            got = f.read(block)
-            held, at = held[at:] + got, 0
-            return bool(got)
-
-        def until(end: bytes, what: str) -> bytes:
-            nonlocal at
-            while (i := held.find(end, at)) < 0:
-                if not more():
-                    raise EOFError(f"the file ends in {what}")
-            out, at = bytes(held[at:i]), i + 1
-            return out
-
-        count, size = map(int, until(b"\n", "its header").split())
-        for _ in range(min(count, limit or count)):
-            word = until(b" ", "a word").replace(b"\n", b"")
-            while len(held) - at < 4 * size:
-                if not more():
-                    raise EOFError("the file ends in a vector")
-            yield word.decode("utf-8", "replace"), list(struct.unpack_from(f"<{size}f", held, at))
-            at += 4 * size
+        words = Words(f)
+        count, size = words.header()
+        offsets = []
+        for i in range(count):
+            if i % every == 0:
+                offsets.append(words.place())
+            words.word(size, vector=False)
+    told = {"bytes": system.get_file_info(at).size, "count": count, "size": size, "every": every, "offsets": offsets}
+    with system.open_output_stream(index_path(at)) as out:
+        out.write(json.dumps(told).encode())
+    return count
+
+
+def read_index(path: str) -> dict | None:
+    """The index of a file, unless there is none or the file has another size since."""
+    system, at = file_system(path)
+    if system.get_file_info(index_path(at)).type != fs.FileType.File:
+        return None
+    with system.open_input_stream(index_path(at)) as f:
+        told = json.loads(f.read())
+    return told if told["bytes"] == system.get_file_info(at).size else None
+
+
+def read_range(path: str, offset: int, n: int, size: int) -> Iterator[tuple[str, list[float]]]:
+    """`n` words from an offset on."""
+    system, at = file_system(path)
+    with system.open_input_file(at) as f:
+        f.seek(offset)
+        words = Words(f, offset)
+        for _ in range(n):
+            yield words.word(size)
 
 
 def files_of(path: str) -> list[str]:
@@ -64,9 +126,12 @@ def files_of(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{n}" for n in names]
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+@dataclass
+class _Part(InputPartition):
+    path: str
+    offset: int | None = None
+    words: int = 0
+    size: int = 0
 
 
 class _Reader(DataSourceReader):
@@ -74,10 +139,22 @@ class _Reader(DataSourceReader):
         self.path, self.limit = path, limit
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in files_of(self.path)]  # words have no fixed length, so a file is read in one go
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        yield from read_word2vec(partition.path, self.limit)
+        """Words have no fixed length: a file is read by the ranges of its index, or in one go if it has none."""
+        out = []
+        for f in files_of(self.path):
+            told = read_index(f)
+            if told is None:
+                out.append(_Part(f))
+                continue
+            most = told["count"] if self.limit is None else min(self.limit, told["count"])
+            out += [_Part(f, offset, min(told["every"], most - i * told["every"]), told["size"]) for i, offset in enumerate(told["offsets"]) if i * told["every"] < most]
+        return out
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        if partition.offset is None:
+            yield from read_word2vec(partition.path, self.limit)
+        else:
+            yield from read_range(partition.path, partition.offset, partition.words, partition.size)
 
 
 class _Writer(DataSourceWriter):
@@ -85,43 +162,46 @@ class _Writer(DataSourceWriter):
         self.path = path
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        """A file for each task, under a name of the task's attempt; the vectors wait in a local file, since their number comes first."""
-        with tempfile.TemporaryFile() as body:
-            n, size = 0, 0
-            for r in iterator:
-                size = len(r["vec"])
-                body.write(r["word"].encode() + b" " + struct.pack(f"<{size}f", *r["vec"]) + b"\n")
-                n += 1
-            if not n:
-                return _Written(None)
-            body.seek(0)
-            system, at = file_system(self.path)
+        """Files under names of the task's attempt, each of about FILE_BYTES, which wait in memory since the number of words comes first."""
+        names, body, n, size = [], bytearray(), 0, 0
+        system, at = file_system(self.path)
+
+        def flush() -> None:
             system.create_dir(at, recursive=True)
-            name = f"part-{uuid.uuid4().hex}.bin"
-            with system.open_output_stream(f"{at}/.{name}") as out:
+            names.append(f"part-{uuid.uuid4().hex}.bin")
+            with system.open_output_stream(f"{at}/.{names[-1]}") as out:
                 out.write(f"{n} {size}\n".encode())
-                while chunk := body.read(BLOCK):
-                    out.write(chunk)
-        return _Written(name)
+                out.write(bytes(body))
+
+        for r in iterator:
+            size = len(r["vec"])
+            body += r["word"].encode() + b" " + struct.pack(f"<{size}f", *r["vec"]) + b"\n"
+            n += 1
+            if len(body) >= FILE_BYTES:
+                flush()
+                body, n = bytearray(), 0
+        if n:
+            flush()
+        return _Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """Names of complete files lose their dot; what attempts that were lost have left stays hidden."""
         system, at = file_system(self.path)
         system.create_dir(at, recursive=True)
         for m in messages:
-            if m is not None and m.name:
-                system.move(f"{at}/.{m.name}", f"{at}/{m.name}")
+            for name in m.names if m is not None else ():
+                system.move(f"{at}/.{name}", f"{at}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system, at = file_system(self.path)
         for m in messages:
-            if m is not None and m.name:
-                system.delete_file(f"{at}/.{m.name}")
+            for name in m.names if m is not None else ():
+                system.delete_file(f"{at}/.{name}")
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class Word2VecSource(DataSource):
@@ -155,6 +235,19 @@ def load_word2vec(spark: SparkSession, path: str, limit: int | None = None) -> D
     return (r.option("limit", str(limit)) if limit else r).load(path)
 
 
+def index_word2vec(spark: SparkSession, path: str, every: int = EVERY) -> int:
+    """Writes an index beside each file of `path`, a task a file, so that later reads take a task for every `every` words. Returns the words."""
+    spark.dataSource.register(Word2VecSource)
+    names = files_of(path)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([write_index(p, every) for p in b.column(0).to_pylist()], pa.int64())], names=["n"])
+
+    table = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)), "path")
+    return table.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def convert_to_keyed_vectors(spark: SparkSession, source: str, target: str, limit: int | None = None) -> None:
     """Writes a word2vec file as Parquet, which later reads prune and split."""
     load_word2vec(spark, source, limit).write.mode("overwrite").parquet(target)

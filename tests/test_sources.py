@@ -219,3 +219,32 @@ def test_an_append_that_broke_off_and_ran_again_leaves_each_row_once(spark, tmp_
     assert sorted(map(tuple, files.read_appended(spark, path).collect())) == [("a", "x,1", 0.5), ("b", "y", 0.25), ("b", "z", 0.5)]
     with pytest.raises(ValueError, match="name"):
         files.append_scores(make([]), path, "../x")
+
+
+def test_one_word2vec_file_is_read_by_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{'é' * rng.randint(0, 9)}{i}" for i in range(1000)]
+    with open(tmp_path / "v.bin", "wb") as f:
+        f.write(b"1000 5\n")
+        for i, w in enumerate(words):
+            f.write(w.encode() + b" " + struct.pack("<5f", *[i + k for k in range(5)]) + (b"\n" if i % 2 else b""))
+    path = str(tmp_path / "v.bin")
+    whole = sorted((r["word"], r["vec"]) for r in vectors.load_word2vec(spark, path).collect())
+    assert vectors.index_word2vec(spark, path, every=250) == 1000
+    out = vectors.load_word2vec(spark, path)
+    assert out.rdd.getNumPartitions() == 4 and sorted((r["word"], r["vec"]) for r in out.collect()) == whole
+    assert [r["word"] for r in vectors.load_word2vec(spark, path, limit=260).collect()] == words[:260]
+    assert vectors.load_word2vec(spark, str(tmp_path)).count() == 1000
+    with open(path, "r+b") as f:
+        f.write(b"0003 5\n")
+        f.truncate(200)
+    assert vectors.load_word2vec(spark, path).rdd.getNumPartitions() == 1  # the index is of another file
+
+
+def test_a_task_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    writer = vectors._Writer(str(tmp_path / "w"))
+    monkeypatch.setattr(vectors, "FILE_BYTES", 100)
+    done = writer.write(iter([{"word": f"w{i}", "vec": [1.0, float(i)]} for i in range(40)]))
+    writer.commit([done, vectors._Written([])])
+    got = [x for f in vectors.files_of(str(tmp_path / "w")) for x in vectors.read_word2vec(f)]
+    assert len(done.names) > 3 and sorted(got) == sorted((f"w{i}", [1.0, float(i)]) for i in range(40))
