@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.sources.scratch import shared_folder
+from matchloom.sources.scratch import cut, delete, shared_folder
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,12 +23,6 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(name, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared folder; Spark's cleaner removes it when it is no longer referenced."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, for larger tables of which later steps read some columns."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -40,9 +34,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def drop(table: DataFrame) -> None:
     """Deletes a table of `written` once everything derived from it is written itself."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(table.sparkSession, table.written_to)
 
 
 def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
@@ -60,6 +52,9 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)  # the cleaner works beside
 
 
+__all__ = ["Steps", "cut", "drop", "numbered", "release", "shared_dir", "small_batches", "written"]
+
+
 class Steps:
     """The tables of one run of an operator, deleted together when its result is written."""
 

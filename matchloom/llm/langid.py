@@ -30,6 +30,7 @@ from matchloom.llm._text import text_slices
 
 DIM = 4096
 SLICE = 1 << 18  # bytes of texts whose counts are held at once
+MOST_ROWS = 10_000  # of all languages, some 160 MB; twice as many at most
 PER_LANGUAGE = 400
 GAP = 0.2
 ROUNDS = 150
@@ -143,6 +144,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "code": None}
+    per_language = max(1, min(per_language, MOST_ROWS // len(langs)))
     code = codewords(len(langs))
     if len(langs) == 1:
         return {"langs": langs, "code": code, "w": np.zeros((DIM + 1, 1), np.float32), "acc": np.ones((1, 1), np.float32)}
