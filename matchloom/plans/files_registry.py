@@ -123,18 +123,21 @@ def lemmas_from_files(s, d):
     return corpus.lemmatize(parts.withColumn("tokens", plural), lemmas).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("output_names", "SELECT * FROM (VALUES (1, 'tfidf.csv'), (2, 'fhs_vocab_multtfcdf_embed.csv'), (3, 'fhs_tfidf_desc_v2.txt')) t(id, name)")
+@query("output_names", "SELECT c_custkey, concat_ws('_', lower(c_mktsegment), CASE WHEN c_custkey % 3 > 0 THEN 'vocab' END, CASE WHEN c_custkey % 2 = 0 THEN 'multtfcdf' ELSE 'tfidf' END, CASE WHEN c_nationkey > 9 THEN 'embed' END, c_nationkey) || '.csv' AS name FROM customer")
 def output_names(s, d):
-    names = [files.output_name(), files.output_name("fhs", "vocab", corpora=True, embedded=True), files.output_name("fhs", key="desc", suffix="v2", ending=".txt")]
-    return s.createDataFrame(list(enumerate(names, 1)), "id int, name string")
+    key = F.col("c_custkey")
+    name = files.output_names(F.lower("c_mktsegment"), F.when(key % 3 > 0, "vocab").otherwise(""), key % 2 == 0, F.col("c_nationkey") > 9, F.col("c_nationkey"))
+    return table(s, d, "customer").select("c_custkey", name.alias("name"))
 
 
 @query(
     "frames_in_memory",
-    "WITH a(k, x) AS (VALUES ('s1', 3.5), ('s2', 3.0), ('s3', 3.2)), b(k, y) AS (VALUES ('s1', 5.1), ('s2', 4.9), ('s3', 4.7), ('s4', 4.6)), c(k, z) AS (VALUES ('s1', 1.5), ('s4', 2.5)) SELECT k, x::DOUBLE AS score_1, y::DOUBLE AS score_2, z::DOUBLE AS score_3 FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)",
+    "SELECT k, x::DOUBLE AS score_1, y::DOUBLE AS score_2, z::DOUBLE AS score_3 FROM (SELECT n_name AS k, n_nationkey AS x FROM nation WHERE n_regionkey < 3) FULL JOIN (SELECT n_name AS k, n_regionkey AS y FROM nation WHERE n_regionkey > 1) USING (k) FULL JOIN (SELECT n_name AS k, n_nationkey / 2 AS z FROM nation WHERE n_nationkey % 2 = 0) USING (k)",
 )
 def frames_in_memory(s, d):
-    rows = [[("s1", 3.5), ("s2", 3.0), ("s3", 3.2)], [("s1", 5.1), ("s2", 4.9), ("s3", 4.7), ("s4", 4.6)], [("s1", 1.5), ("s4", 2.5)]]
+    """Frames made from rows that the caller holds: those of the 25 nations."""
+    held = table(s, d, "nation").collect()
+    rows = [[(r["n_name"], float(r["n_nationkey"])) for r in held if r["n_regionkey"] < 3], [(r["n_name"], float(r["n_regionkey"])) for r in held if r["n_regionkey"] > 1], [(r["n_name"], r["n_nationkey"] / 2) for r in held if r["n_nationkey"] % 2 == 0]]
     frames = [s.createDataFrame(r, "k string, score double") for r in rows]
     return joins.merge_scores({str(i): f for i, f in enumerate(frames, 1)}, ["k"])
 

@@ -272,8 +272,7 @@ def lang_cohesion(s, d):
 def doc_embeddings(s, d):
     parts = corpus.build_corpus(table(s, d, "part"), ["p_name", "p_type"], "p_partkey")
     vocab, weights = tfidf.calc_tfidf(parts)
-    terms = F.transform(F.array_sort(F.collect_set("term")), lambda t, i: F.struct(i.cast("long").alias("id"), t.alias("word")))
-    words = vocab.agg(F.explode(terms).alias("x")).select("x.*")  # the parts' few distinct words
+    words = ranking.numbered_rows(vocab, "term", "place").select((F.col("place") - 1).alias("id"), F.col("term").alias("word"))
     vecs = words.join(table(s, d, "embeddings"), F.col("id") == F.col("vec_id")).select("word", F.col("embedding").alias("vec"))
     out = vectors.calc_doc_embeddings(weights, vecs)
     return out.select("doc_id", F.posexplode("vec").alias("dim", "x")).select("doc_id", "dim", *six("x"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -118,3 +118,9 @@ def output_name(prefix: str = "", kind: str = "", corpora: bool = False, embedde
     """Parts that are not empty, joined: prefix, kind, weighting, embedding, key, suffix."""
     parts = [prefix, kind, "multtfcdf" if corpora else "tfidf", "embed" if embedded else "", key, suffix]
     return "_".join(p for p in parts if p) + ending
+
+
+def output_names(prefix: Column, kind: Column, corpora: Column, embedded: Column, key: Column, ending: str = ".csv") -> Column:
+    """The same name from columns, for one file for each row; null or empty parts are left out."""
+    parts = [prefix, kind, F.when(corpora, "multtfcdf").otherwise("tfidf"), F.when(embedded, "embed"), key]
+    return F.concat(F.concat_ws("_", *[F.nullif(p.cast("string"), F.lit("")) for p in parts]), F.lit(ending))
