@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from matchloom.llm._spark import cut, numbered
 
-RATIO = 0.1
-DOUBT = 0.002
+RATIO = 0.03
+DOUBT = 0.0005
 SPACE = " \t\n\x0b\f\r"
 
 

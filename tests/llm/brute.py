@@ -69,7 +69,7 @@ def align(a, b):
     return best
 
 
-def line_dedup(rows, ratio=0.1, doubt=0.002):
+def line_dedup(rows, ratio=0.03, doubt=0.0005):
     """{id: (text, lines, dropped)} of (id, host, text) rows."""
     hosts = {}
     for _, host, text in rows:

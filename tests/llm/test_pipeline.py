@@ -87,7 +87,7 @@ def test_first_stages_agree_with_plain_versions(spark):
     assert set(sure) <= set(kept) <= set(sure) | set(vague) and len(sure) <= len(rows) - 3
     second = corpus_pipeline.line_dedup(spark, first, "")
     assert second.columns == df.columns
-    want = line_dedup([(i, r[3], r[1]) for i, r in enumerate(kept)], corpus_pipeline.LINE_RATIO)
+    want = line_dedup([(i, r[3], r[1]) for i, r in enumerate(kept)], corpus_pipeline.LINE_RATIO, corpus_pipeline.LINE_DOUBT)
     out = sorted((tuple(r) for r in second.collect()), key=repr)
     assert out == sorted(((r[0], want[i][0], *r[2:4], len(want[i][0]), *r[5:]) for i, r in enumerate(kept)), key=repr)
     assert sum(w[2] for w in want.values()) > 20
