@@ -19,6 +19,8 @@ from matchloom.llm._spark import cut, drop, numbered, written
 
 #: Share of a source's distinct texts above which, beyond doubt, a line is boilerplate; repeated lines of the test tables stand in 9 % to 30 % of each source.
 LINE_RATIO = 0.05
+#: Chance of so many texts at the ratio, by Chernoff's bound, at which there is no doubt left.
+LINE_DOUBT = 0.002
 
 
 def renamed(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that stand in too many documents of their source out of the texts; n_chars follows."""
-    out = linededup.dedup_lines(docs, "source", "text", LINE_RATIO)
+    out = linededup.dedup_lines(docs, "source", "text", LINE_RATIO, LINE_DOUBT)
     own, (text, n_chars) = numbered(out, "text", "n_chars")
     kind = dict(own.dtypes)[n_chars]
     return renamed(own.withColumn(n_chars, F.coalesce(F.length(text).cast(kind), F.col(n_chars))), docs)
