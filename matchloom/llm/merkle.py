@@ -180,7 +180,7 @@ def proved(depth: int, id_type: pa.DataType):
 def manifest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row."""
     steps = Steps()
-    placed = scanned(leaves(docs), [F.col("id"), F.col("leaf")], ["key"], "pos", size="n")
+    placed = scanned(steps.keep(leaves(docs)), [F.col("id"), F.col("leaf")], ["key"], "pos", size="n")
     nodes = steps.keep(placed.select("key", (F.col("pos") - 1).alias("pos"), "n", "id", "leaf", "tampered"))
     firsts = steps.keep(tops(nodes.select("key", "pos", "n", F.col("leaf").alias("d")), depth))
     within = climbed(firsts, steps, depth)
