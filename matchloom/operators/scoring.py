@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.predicates import Predicate, always, default_pairable
 from matchloom.functions.stats import dot
+from matchloom.operators.grid import grid_join
 
 #: Scores are rounded to so many places before they are compared, so that ties do not depend on the order of summation.
 PLACES = 10
@@ -45,9 +46,12 @@ def all_scores(scores: DataFrame) -> DataFrame:
     return scores
 
 
-def bounded(side: DataFrame) -> DataFrame:
-    """`side`, with a broadcast hint if it is counted to be small."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+def crossed(pairs: DataFrame, refs: DataFrame, few: bool = False) -> DataFrame:
+    """Every candidate with every row of a stated reference set, which is broadcast if it is counted (or known) to be small and
+    else meets the candidates on a grid; never a plain cartesian product."""
+    if few or refs.count() <= BROADCAST_ROWS:
+        return pairs.crossJoin(F.broadcast(refs))
+    return grid_join(pairs, refs)
 
 
 def sparse_scores(refs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -60,16 +64,15 @@ def sparse_scores(refs: DataFrame, pairs: DataFrame) -> DataFrame:
 def with_zeros(scores: DataFrame, ref_ids: DataFrame, pair_ids: DataFrame, counted: bool = False) -> DataFrame:
     """Scores of all pairs of a stated reference set with the candidates, 0 where they share nothing. `counted`: the
     references are known to be few already."""
-    refs = ref_ids.select("reference_id")
-    every = pair_ids.select("paired_id").crossJoin(F.broadcast(refs) if counted else bounded(refs))
+    every = crossed(pair_ids.select("paired_id"), ref_ids.select("reference_id"), counted)
     return every.join(scores, ["reference_id", "paired_id"], "left").select("reference_id", "paired_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def dense_scores(refs: DataFrame, pairs: DataFrame, vec: str = "vec") -> DataFrame:
     """(reference_id, paired_id, score) of a stated reference set with all candidates: dot products of arrays."""
-    r = bounded(refs.select(F.col("doc_id").alias("reference_id"), F.col(vec).alias("rv")))
+    r = refs.select(F.col("doc_id").alias("reference_id"), F.col(vec).alias("rv"))
     p = pairs.select(F.col("doc_id").alias("paired_id"), F.col(vec).alias("pv"))
-    return p.crossJoin(r).select("reference_id", "paired_id", dot(F.col("rv"), F.col("pv")).alias("score"))
+    return crossed(p, r).select("reference_id", "paired_id", dot(F.col("rv"), F.col("pv")).alias("score"))
 
 
 def missing_ids(ids: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

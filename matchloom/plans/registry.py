@@ -283,10 +283,10 @@ def doc_embeddings(s, d):
 
 def vector_pairs(s, d):
     v = unit_vectors(s, d)
-    r = scoring.bounded(stated(v).select((F.col("label") % 3).cast("long").alias("concept"), F.col("doc_id").alias("ref_id"), (F.col("doc_id") % 4).alias("ref_group"), F.col("vec").alias("rv")))
+    r = stated(v).select((F.col("label") % 3).cast("long").alias("concept"), F.col("doc_id").alias("ref_id"), (F.col("doc_id") % 4).alias("ref_group"), F.col("vec").alias("rv"))
     p = v.select(F.col("doc_id").alias("pair_id"), (F.col("doc_id") % 4).alias("pair_group"), F.col("vec").alias("pv"))
     head = stats.dot(F.slice("rv", 1, 8), F.slice("pv", 1, 8))
-    return p.crossJoin(r).select("concept", "ref_id", "ref_group", "pair_id", "pair_group", stats.dot(F.col("rv"), F.col("pv")).alias("score"), head.alias("score_head"))
+    return scoring.crossed(p, r).select("concept", "ref_id", "ref_group", "pair_id", "pair_group", stats.dot(F.col("rv"), F.col("pv")).alias("score"), head.alias("score_head"))
 
 
 def pairable(s, d):

@@ -190,3 +190,11 @@ def test_totals_come_with_the_report_in_one_pass(spark):
     assert last["concept"] == "All concept (N = 2)" == total["concept"] and all(last[c] == total[c] for c in total.asDict()) and last["ref"] is None
     details = sorted(str(tuple(r)) for r in both if r is not last)
     assert details == sorted(str(tuple(r)) for r in report.select(*[F.col(c).cast("string") if c == "concept" else c for c in report.columns]).collect())
+
+
+def test_many_references_meet_all_candidates_without_a_cartesian_product(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", 3)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc_id long, vec array<double>")
+    out = scoring.dense_scores(v.where("doc_id < 9"), v)
+    assert "CartesianProduct" not in plan_of(out) and "NestedLoop" not in plan_of(out)
+    assert sorted((r["reference_id"], r["paired_id"], r["score"]) for r in out.collect()) == [(i, j, i * j + 1.0) for i in range(9) for j in range(30)]
