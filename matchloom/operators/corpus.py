@@ -11,8 +11,22 @@ from matchloom.functions.lexicon import NOUN_EXCEPTIONS, NOUNS, STOP_WORDS
 from matchloom.functions.text import clean_tokens, doc_text, lemma_candidates
 
 
+def spread_out(data: DataFrame) -> DataFrame:
+    """Rows read from fewer splits than there are cores are dealt to all of them, since tokenising costs far more than moving so
+    little. Anything that a shuffle made is left alone."""
+    if data.isStreaming:
+        return data
+    plan = data._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("Adaptive"):
+        return data
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data.repartition(cores) if plan.execute().getNumPartitions() < cores else data
+
+
 def build_corpus(data: DataFrame, doc_cols: list[str], id_col: str, stop_words: Iterable[str] = STOP_WORDS, null_token: str = "nan", corpus: Column | None = None) -> DataFrame:
-    """(corpus_id, doc_id, tokens) of every row: a map without a shuffle."""
+    """(corpus_id, doc_id, tokens) of every row: a map, without a shuffle unless the rows come from a few splits."""
+    data = spread_out(data.select(*dict.fromkeys([*doc_cols, id_col]), *([] if corpus is None else [corpus.alias("_corpus")])))
+    corpus = None if corpus is None else F.col("_corpus")
     tokens = clean_tokens(doc_text(doc_cols, null_token), stop_words)
     return data.select((F.lit(0) if corpus is None else corpus).alias("corpus_id"), F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
 
