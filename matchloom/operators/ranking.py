@@ -52,10 +52,15 @@ def rank_scores(data: DataFrame, score_col: str, ref_col: str, rank_by: str | No
     return out.where(F.col(name) <= rank_cutoff) if filter_ranks else out
 
 
-def calc_ranks_all_scores(data: DataFrame, score_cols: list[str], ref_col: str, rank_by: str | None = None, filter_ranks: bool = True, rank_cutoff: int = 10) -> DataFrame:
-    """Ranks of several scores; rows stay if their best rank is within the cutoff."""
+def calc_ranks_all_scores(data: DataFrame, score_cols: list[str], ref_col: str, rank_by: str | None = None, filter_ranks: bool = True, rank_cutoff: int = 10, spread: bool = False) -> DataFrame:
+    """Ranks of several scores; rows stay if their best rank is within the cutoff. `spread`: see `rank_scores`."""
     by = [ref_col, *([rank_by] if rank_by else [])]
-    out = data.withColumns({f"{s}_rank": score_rank(F.col(s), by) for s in score_cols})
+    if spread:
+        out = data
+        for s in score_cols:
+            out = spread_ranks(out, s, by, f"{s}_rank")
+    else:
+        out = data.withColumns({f"{s}_rank": score_rank(F.col(s), by) for s in score_cols})
     if not filter_ranks:
         return out
     ranks = [F.col(f"{s}_rank") for s in score_cols]

@@ -127,6 +127,9 @@ def test_ranks_and_shares_of_one_reference_that_has_all_rows(spark):
     spread = ranking.rank_scores(data, "score", "ref", spread=True)
     assert "Window" not in plan_of(spread).replace("Window [sum(_n", "").replace("Window [coalesce(sum(_n", "") or "_part" in plan_of(spread)
     assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
+    two = data.withColumns({"other": -F.col("score"), "grp": F.col("id") % 2})
+    several = lambda spread: sorted(map(str, ranking.calc_ranks_all_scores(two, ["score", "other"], "ref", "grp", spread=spread).collect()))
+    assert several(True) == several(False)
     shares = profile.ecdf(data, F.col("score"))
     counts = data.where("score IS NOT NULL").groupBy(F.col("score").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
