@@ -2,10 +2,9 @@
 
 Documents are grouped by host. A line counts once per distinct page text; its frequency is the number of the host's
 distinct texts holding it divided by the number of its distinct texts, so copies of a page, however many, count as one page
-and are left to document dedup. A line is boilerplate and is dropped where this frequency exceeds the ratio beyond doubt: if every
-page held it with the probability `ratio`, the chance of so many pages would be at most `doubt` by Chernoff's bound,
-total x KL(frequency, ratio) >= ln(1 / doubt). One law for hosts of all sizes: a large host needs little more than the ratio, a small
-one more certainty. Near copies have different texts and count each. A line is compared after trimming white space; lines without a word are never boilerplate.
+and are left to document dedup. A line is boilerplate and is dropped where its pages exceed the ratio beyond chance: a count of n
+may lie `doubt` x sqrt(n) above what is usual, and the rest must still exceed ratio x total. One law for hosts of all sizes: a
+large host needs little more than the ratio, a small one more certainty. Near copies have different texts and count each. A line is compared after trimming white space; lines without a word are never boilerplate.
 
 Distribution: each page's distinct line keys are computed once and kept in the shared folder; of equal pages of a host one
 is kept, in each task before the shuffle, so a large group of copies is no hot key. The keys become (host, key) pairs whose
@@ -15,22 +14,20 @@ travel by host: counting moves hashes only, and each text moves once, to meet th
 again by a 64-bit hash of host and text with the length, so no text is shuffled for counting.
 
 Defined results: a null host is a host of its own; a null text stays null with zero lines; an empty text is one empty
-line; a page whose lines are all dropped keeps an empty text; a line at the ratio stays, one at the bound goes; a very long text is one row,
+line; a page whose lines are all dropped keeps an empty text; a line exactly at the limit stays; a very long text is one row,
 read whole; repeated rows are all kept; an empty table gives an empty table. Other columns pass through unchanged, whatever
 their names.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm._spark import cut, numbered
 
-RATIO = 0.03
-DOUBT = 0.0005
+RATIO = 0.05
+DOUBT = 1.5
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -46,20 +43,12 @@ def page_keys(pages: DataFrame, host: str, text: str) -> DataFrame:
     return cut(pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(F.col(host), F.col(text)).alias("row"), F.length(text).alias("size"), F.filter(keys, lambda k: k.isNotNull()).alias("keys")))
 
 
-def beyond_doubt(pages: Column, total: Column, ratio: float, doubt: float) -> Column:
-    """Whether pages / total exceeds the ratio by Chernoff's bound."""
-    rest = total - pages
-    there = pages * F.ln(pages / (total * F.lit(ratio)))
-    absent = F.when(rest > 0, rest * F.ln(rest / (total * F.lit(1 - ratio)))).otherwise(F.lit(0.0))
-    return (pages > total * F.lit(ratio)) & (there + absent >= F.lit(math.log(1 / doubt)))
-
-
 def boilerplate(keyed: DataFrame, totals: DataFrame, ratio: float = RATIO, doubt: float = DOUBT) -> DataFrame:
     """(host, key, pages, total) of each line above the ratio on its host. `totals`: (host, total)."""
-    least = math.log(1 / doubt) / math.log(1 / ratio)  # pages, were they all of a host
-    counts = keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
+    sure = F.col("pages") - F.lit(doubt) * F.sqrt("pages")
+    counts = keyed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where(sure > 0)
     t = totals.withColumnRenamed("host", "_host")
-    return counts.join(t, counts["host"].eqNullSafe(t["_host"])).where(beyond_doubt(F.col("pages"), F.col("total"), ratio, doubt)).drop("_host")
+    return counts.join(t, counts["host"].eqNullSafe(t["_host"])).where(sure > F.lit(ratio) * F.col("total")).drop("_host")
 
 
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, doubt: float = DOUBT, stats: bool = False) -> DataFrame:

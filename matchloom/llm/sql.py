@@ -23,8 +23,7 @@ ORACLES["op4_line_dedup"] = (
   FROM (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM shown)),
 totals AS (SELECT host, count(DISTINCT text) AS total FROM shown GROUP BY host),
 counts AS (SELECT l.host, k, count(DISTINCT s.text) AS n FROM lines l JOIN shown s ON l.page_id = s.page_id WHERE k <> '' GROUP BY l.host, k),
-gone AS (SELECT c.host, c.k FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n > 0.03 * t.total
-  AND c.n * ln(c.n / (t.total * 0.03)) + CASE WHEN c.n < t.total THEN (t.total - c.n) * ln((t.total - c.n) / (t.total * 0.97)) ELSE 0 END >= ln(2000)),
+gone AS (SELECT c.host, c.k FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE c.n - 1.5 * sqrt(c.n) > 0.05 * t.total),
 marked AS (SELECT l.*, g.k IS NOT NULL AS dropped FROM lines l LEFT JOIN gone g ON l.host IS NOT DISTINCT FROM g.host AND l.k = g.k),
 kept AS (
   SELECT page_id, host, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,

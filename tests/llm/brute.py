@@ -69,7 +69,7 @@ def align(a, b):
     return best
 
 
-def line_dedup(rows, ratio=0.03, doubt=0.0005):
+def line_dedup(rows, ratio=0.05, doubt=1.5):
     """{id: (text, lines, dropped)} of (id, host, text) rows."""
     hosts = {}
     for _, host, text in rows:
@@ -82,8 +82,7 @@ def line_dedup(rows, ratio=0.03, doubt=0.0005):
         for page in pages:
             for k in {key(line) for line in page.split("\n")} - {""}:
                 seen[k] = seen.get(k, 0) + 1
-        kl = lambda x, p: (x * math.log(x / p) if x else 0) + ((1 - x) * math.log((1 - x) / (1 - p)) if x < 1 else 0)
-        gone |= {(host, k) for k, n in seen.items() if n / len(pages) > ratio and len(pages) * kl(n / len(pages), ratio) >= math.log(1 / doubt)}
+        gone |= {(host, k) for k, n in seen.items() if n - doubt * math.sqrt(n) > ratio * len(pages)}
     out = {}
     for i, host, text in rows:
         lines = [] if text is None else text.split("\n")

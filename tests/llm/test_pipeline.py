@@ -12,7 +12,7 @@ from brute import language_probabilities, line_dedup
 from matchloom.llm import langid, pieces, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations sale_lines".split()
 WORDS = {"en": "the of and to in that is was for on are as with his they at be this have from", "fr": "de la le et les des en un du une que est pour qui dans par plus pas sur"}
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, h string"
 
@@ -87,7 +87,7 @@ def test_first_stages_agree_with_plain_versions(spark):
     assert set(sure) <= set(kept) <= set(sure) | set(vague) and len(sure) <= len(rows) - 3
     second = corpus_pipeline.line_dedup(spark, first, "")
     assert second.columns == df.columns
-    want = line_dedup([(i, r[3], r[1]) for i, r in enumerate(kept)], corpus_pipeline.LINE_RATIO, corpus_pipeline.LINE_DOUBT)
+    want = line_dedup([(i, r[3], r[1]) for i, r in enumerate(kept)], corpus_pipeline.LINE_RATIO)
     out = sorted((tuple(r) for r in second.collect()), key=repr)
     assert out == sorted(((r[0], want[i][0], *r[2:4], len(want[i][0]), *r[5:]) for i, r in enumerate(kept)), key=repr)
     assert sum(w[2] for w in want.values()) > 20
