@@ -55,3 +55,22 @@ def test_sums_and_rounding_are_those_of_the_column_expressions(spark):
 def test_reports_form_no_table_of_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "vector_pairs", lambda s, d: pytest.fail("all pairs"))
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("by_group", [False, True])
+def test_ranks_of_all_pairs(both, by_group):
+    sides, plain = both
+    by = ["ref_id", *(["pair_group"] if by_group else [])]
+    ranked = ranking.rank_scores(plain, "score", "ref_id", "pair_group" if by_group else None)
+    ranked = ranking.correct_match_max_rank(ranked, by, "true_pairing", "score_rank")
+    cols = ["ref_id", "pair_id", "pair_group", "true_pairing", "score", "score_rank", "max_rank"]
+    got = cells.pair_ranks(*sides, by_group, cols, {"score": None}, rows=5)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, ranked.select(*cols).collect())) != []
+    near = cells.pair_ranks(*sides, by_group, cols, {"score": None}, cutoff=2, rows=5)
+    assert sorted(map(repr, near.collect())) == sorted(map(repr, ranked.where("score_rank <= 2").select(*cols).collect()))
+
+
+@pytest.mark.parametrize("name", ["rank_scores", "rank_scores_by_group", "best_rank_filter", "correct_match_max_rank", "ecdf", "pct_top", "top_flags", "top_ratio"])
+def test_ranks_form_no_table_of_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(registry, "vector_pairs", lambda s, d: pytest.fail("all pairs"))
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
