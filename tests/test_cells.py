@@ -74,3 +74,16 @@ def test_ranks_of_all_pairs(both, by_group):
 def test_ranks_form_no_table_of_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "vector_pairs", lambda s, d: pytest.fail("all pairs"))
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("name", ["dist_scores", "dist_scaled"])
+def test_summaries_are_parsed_before_they_are_paired(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "Window" not in plan
+
+
+def test_best_rows_with_ties(both):
+    sides, plain = both
+    found = cells.top_rows(*sides, 4, True, rows=5, cols=17).withColumnsRenamed({"reference_id": "ref_id", "paired_id": "pair_id"})
+    best = lambda df: sorted(map(repr, ranking.top_with_ties(df, ["ref_id"], "score", 4).select("ref_id", "pair_id", "score").collect()))
+    assert best(found) == best(plain) != []
