@@ -87,3 +87,25 @@ def test_best_rows_with_ties(both):
     found = cells.top_rows(*sides, 4, True, rows=5, cols=17).withColumnsRenamed({"reference_id": "ref_id", "paired_id": "pair_id"})
     best = lambda df: sorted(map(repr, ranking.top_with_ties(df, ["ref_id"], "score", 4).select("ref_id", "pair_id", "score").collect()))
     assert best(found) == best(plain) != []
+
+
+def test_dense_rows_equal_the_plain_scores(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.5, 0.1, 0.0, 2.0, 1e-6]) for _ in range(4)]) for i in range(60)]
+    rows += [(3, [1.0, 1.0, 1.0, 1.0]), (None, [0.5] * 4), (61, None), (62, [1.0, None, 1.0, 1.0]), (65, [1.0]), (66, []), (70, [float("nan")] * 4)]
+    v = spark.createDataFrame(rows, "doc_id long, vec array<float>").repartition(3)
+    r = v.where("doc_id IS NULL OR doc_id % 3 = 0 OR doc_id > 60")
+    plain = v.select(F.col("doc_id").alias("paired_id"), F.col("vec").alias("pv")).crossJoin(r.select(F.col("doc_id").alias("reference_id"), F.col("vec").alias("rv")))
+    plain = plain.select("reference_id", "paired_id", stats.dot(F.col("rv"), F.col("pv")).alias("score"))
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) != []
+    assert same(cells.dense_rows(r, v, rows=7, cols=5), plain)
+    six = F.round("score", 6).alias("score")
+    assert same(cells.dense_rows(r, v, places=6, positive=True, rows=7, cols=5), plain.where(F.round("score", 10) > 0).select("reference_id", "paired_id", six))
+    assert cells.dense_rows(r.limit(0), v).count() == cells.dense_rows(r, v.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["embed_cosine"])
+def test_all_scores_come_from_cells(spark, name):
+    """No join of vectors with vectors and no join of all pairs: what is joined are scores of references with each other."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join Inner" not in plan and "aggregate(" not in plan.split("FlatMapGroupsInArrow")[0]
