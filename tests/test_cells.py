@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import stats
-from matchloom.operators import cells, evaluation, ranking, vectors
+from matchloom.operators import cells, evaluation, joins, ranking, vectors
 from matchloom.plans import registry
 
 SIDES = "doc_id long, label int, grp long, vec array<float>"
@@ -101,10 +101,12 @@ def test_dense_rows_equal_the_plain_scores(spark):
     assert same(cells.dense_rows(r, v, rows=7, cols=5), plain)
     six = F.round("score", 6).alias("score")
     assert same(cells.dense_rows(r, v, places=6, positive=True, rows=7, cols=5), plain.where(F.round("score", 10) > 0).select("reference_id", "paired_id", six))
+    back = joins.scores_with_reverse(r, v, lambda a, b: cells.dense_rows(a, b, places=6, rows=7, cols=5))
+    assert same(back, joins.with_reverse(plain.select("reference_id", "paired_id", six)))
     assert cells.dense_rows(r.limit(0), v).count() == cells.dense_rows(r, v.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["embed_cosine"])
+@pytest.mark.parametrize("name", ["embed_cosine", "symmetry"])
 def test_all_scores_come_from_cells(spark, name):
     """No join of vectors with vectors and no join of all pairs: what is joined are scores of references with each other."""
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
