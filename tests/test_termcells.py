@@ -37,7 +37,7 @@ def test_sparse_rows_equal_the_join(spark, weights):
     assert termcells.sparse_rows(weights, ids.limit(0)).count() == termcells.sparse_rows(weights.limit(0), ids).count() == 0
 
 
-@pytest.mark.parametrize("name", ["zero_scores_kept", "select_then_filter"])
+@pytest.mark.parametrize("name", ["zero_scores_kept", "pruned_top5", "pruned_top3_by_lang", "select_then_filter"])
 def test_postings_are_not_joined(spark, monkeypatch, name):
     for module, step in ((scoring, "sparse_scores"), (scoring, "with_zeros"), (topn, "pruned_top")):
         monkeypatch.setattr(module, step, lambda *a, **kw: pytest.fail("a table of the postings that meet"))
