@@ -111,3 +111,28 @@ def test_all_scores_come_from_cells(spark, name):
     """No join of vectors with vectors and no join of all pairs: what is joined are scores of references with each other."""
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join Inner" not in plan and "aggregate(" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_swapped_pairs_equal_the_join(spark, rows):
+    """Repeated ids on both sides, null ids, references that are no partners, vectors of other lengths and with nulls."""
+    rng = random.Random(rows)
+    make = lambda ids: spark.createDataFrame([(i, [rng.choice([-1.5, 0.1, 0.0, 2.0]) for _ in range(3)]) for i in ids] + [(None, [1.0] * 3), (8, None), (9, [1.0, None, 2.0]), (10, [1.0])], "doc_id long, vec array<float>").repartition(3).cache()
+    r, p = make([*range(0, 60, 4), 4, 4, 8, 900, 901, 901]), make([*range(50), 4, 8, 8])
+    score = lambda a, b: cells.dense_rows(a, b, places=6, rows=5, cols=9)
+    want = joins.with_reverse(score(r, p))
+    got = joins.scores_with_reverse(r, p, score, lambda a, b: cells.dense_rows_with_reverse(a, b, places=6, rows=rows))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+    assert cells.dense_rows_with_reverse(r.limit(0), p).count() == cells.dense_rows_with_reverse(r, p.limit(0)).count() == 0
+
+
+def test_symmetry_joins_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "with_reverse", lambda *a, **kw: pytest.fail("a join of pairs"))
+    assert registry.QUERIES["symmetry"](spark, "/root/testdata/sf0.001").where("score_reverse IS NOT NULL").count()
+
+
+def test_rows_are_sent_to_few_cells():
+    """A row of 615,384 partners and 12,308 references (6 GB) went to 7 and 301 cells."""
+    for refs, pairs in ((12_308, 615_384), (205, 10_256), (61_538, 3_076_920)):
+        rows, cols = cells.cells_out(refs, pairs)
+        assert -(-refs // rows) <= 4 and (-(-pairs // cols) <= 64 or cols == cells.SIDES_OUT[1]) and rows * cols <= 1 << 28
