@@ -103,6 +103,22 @@ def test_grid_join_equals_the_theta_join(spark, area):
         grid.grid_join(a, a)
 
 
+def test_grid_sends_a_row_to_few_cells(spark, monkeypatch):
+    """With 360,000 rows a side (6 GB) a row went to up to 2,046 cells, whatever the input."""
+    for n in (1000, 60_000, 360_000, 1_000_000):
+        assert -(-n // grid.side_of(n, n, 1 << 14)) <= grid.CELLS and grid.side_of(n, n, 1 << 14) <= grid.SIDE
+    assert grid.side_of(1 << 30, 5, 1 << 14) == grid.SIDE and grid.side_of(1000, 1000, 1 << 14) == 128 and grid.side_of(0, 0, 0) == 1
+    a = spark.range(70).select(F.col("id").alias("ida"), (F.col("id") * 7 % 31).alias("xa"))
+    b = spark.range(50).select(F.col("id").alias("idb"), (F.col("id") * 5 % 29).alias("xb"))
+    want = sorted(map(tuple, a.crossJoin(b).where("xa < xb AND ida <> idb").collect()))
+    for name, value in (("CELLS", 3), ("TASK", 40)):
+        monkeypatch.setattr(grid, name, value)
+        met = grid.grid_join(a, b, F.col("ida") != F.col("idb"), ("xa", "xb"), 4)
+        assert sorted(map(tuple, met.collect())) == want and "CartesianProduct" not in plan_of(met) and "NestedLoop" not in plan_of(met)
+        sent = {n["_j"] for n in grid.stretched(b, "xb", 50, grid.side_of(70, 50, 4), "_j").select("_j").collect()}
+        assert len(sent) <= 3
+
+
 def test_one_shuffle_joins_any_number_of_score_tables(spark):
     make = lambda rows: spark.createDataFrame(rows, "reference_id string, paired_id long, score double")
     tables = {
