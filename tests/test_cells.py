@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import stats
-from matchloom.operators import cells, evaluation, joins, ranking, vectors
+from matchloom.operators import cells, distribution, evaluation, joins, ranking, vectors
 from matchloom.plans import registry
 
 SIDES = "doc_id long, label int, grp long, vec array<float>"
@@ -136,3 +136,28 @@ def test_rows_are_sent_to_few_cells():
     for refs, pairs in ((12_308, 615_384), (205, 10_256), (61_538, 3_076_920)):
         rows, cols = cells.cells_out(refs, pairs)
         assert -(-refs // rows) <= 4 and (-(-pairs // cols) <= 64 or cols == cells.SIDES_OUT[1]) and rows * cols <= 1 << 28
+
+
+def test_distances_in_cells_equal_the_column_expressions(spark):
+    """Missing statistics, summaries with too few of them, zeros, infinite and large values, rows that are repeated."""
+    rng = random.Random(12)
+    number = lambda: rng.choice(["0", "-1.5", "2.25", "7.123457", "1e999", "-1e999", "123456789012.34567", "1e30", str(rng.random())])
+    rows = [(i, "; ".join(f"{k}={number()}" for k in ("min", "max", "median", "sd") if rng.random() < 0.85)) for i in range(60)] + [(3, None), (4, "min=1; max=2; sd=0")] * 2
+    one = distribution.with_parsed(spark.createDataFrame(rows, "id long, dist string"), "dist", "x")
+    refs, pairs = one.where("id % 4 = 0").select(F.col("id").alias("ref_id"), F.col("x").alias("ref_x")), one.select(F.col("id").alias("pair_id"), (F.col("id") % 3).alias("grp"), F.col("x").alias("pair_x"))
+    differ = F.col("ref_id") % 3 != F.col("grp")
+    plain = distribution.parsed_scores(distribution.calc_pairings_data(pairs, refs, differ), "ref_x", "pair_x")
+    names = ["ref_id", "pair_id", "grp", "euclidean", "relative"]
+    listed = lambda df: sorted(map(repr, df.select("ref_id", "pair_id", "grp", *[F.round(c, 9).alias(c) for c in names[3:]]).collect()))
+    got = distribution.pair_scores(pairs, refs, "pair_x", "ref_x", differ, rows=5, cols=11)
+    assert got.columns == names and listed(got) == listed(plain) != []
+    six = plain.select(*names[:3], *[F.round(c, 6).alias(c) for c in names[3:]])
+    assert sorted(map(repr, distribution.pair_scores(pairs, refs, "pair_x", "ref_x", differ, 6).collect())) == sorted(map(repr, six.collect()))
+    assert distribution.pair_scores(pairs, refs.limit(0), "pair_x", "ref_x").count() == distribution.pair_scores(pairs.limit(0), refs, "pair_x", "ref_x").count() == 0
+
+
+@pytest.mark.parametrize("name", ["dist_scores", "dist_scaled"])
+def test_distances_come_from_cells(spark, name):
+    """As column expressions of a join they took some 20 microseconds a pair."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "pow(" not in plan.lower()
